@@ -8,11 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm.heavy_hitters import heavy_hitters
+from geoloom.llm.tokens import encode
 from geoloom.sources.tables import table
 
 SHARE = 0.005
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     shapes = table(spark, sf_dir, "enriched_shapes")
     fields = {"hash": F.col("geo_shape_0.hash"), "wkb": F.col("geo_shape_0.wkb")}
@@ -23,6 +31,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_counts(spark, sf_dir).select("field", "val")
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), ["doc_id"], F.col("text"), vocabulary())
+
+
+def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), ["doc_id"], F.col("text"), vocabulary(), "tokens", only_counts=True)
+
+
 _P1 = """
 WITH v AS (
   SELECT 'hash' AS field, geo_shape_0.hash AS val FROM enriched_shapes WHERE geo_shape_0.hash IS NOT NULL
@@ -36,6 +52,8 @@ SELECT {columns} FROM c JOIN n USING (field) WHERE cnt >= 0.005 * rows_seen
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
+    "p6_ids": p6_ids,
+    "p6_counts": p6_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
