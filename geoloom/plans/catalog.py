@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from geoloom.plans import skew
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**skew.QUERIES}
+ORACLE_SQL: dict[str, str] = {**skew.ORACLE_SQL}
