@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm.heavy_hitters import heavy_hitters
+from geoloom.llm.spellings import collapse_spellings
 from geoloom.llm.tokens import encode
 from geoloom.sources.tables import table
 
@@ -31,6 +32,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_counts(spark, sf_dir).select("field", "val")
 
 
+FORMS = {"hash": "digits", "wkb": "hex", "fixed_shape": "shape", "props": "json"}
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, members = collapse_spellings(table(spark, sf_dir, "shape_feed"), "rec_id", FORMS, only_repeated=True)
+    return members.where("id <> keep_id").select("keep_id", F.col("id").alias("dup_id"))
+
+
+def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse_spellings(table(spark, sf_dir, "shape_feed"), "rec_id", FORMS)[0]
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), ["doc_id"], F.col("text"), vocabulary())
 
@@ -52,6 +65,8 @@ SELECT {columns} FROM c JOIN n USING (field) WHERE cnt >= 0.005 * rows_seen
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
+    "p3_found": p3_found,
+    "p3_records": p3_records,
     "p6_ids": p6_ids,
     "p6_counts": p6_counts,
 }
