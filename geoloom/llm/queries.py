@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm.heavy_hitters import heavy_hitters
+from geoloom.llm.outlines import near_outlines, outline_pairs
 from geoloom.llm.spellings import collapse_spellings
 from geoloom.llm.tokens import encode
 from geoloom.sources.tables import table
@@ -44,6 +45,22 @@ def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_spellings(table(spark, sf_dir, "shape_feed"), "rec_id", FORMS)[0]
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outlines = table(spark, sf_dir, "outlines")
+    return outline_pairs(near_outlines(outlines, "outline_id", "geoshape", "area"))
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each outline with its class of equal vertices and the number of classes linked to it."""
+    near = near_outlines(table(spark, sf_dir, "outlines"), "outline_id", "geoshape", "area")
+    ends = near.links.select(F.explode(F.array("a_class", "b_class")).alias("class_id"))
+    n_links = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+    members = near.members.select(F.col("id").alias("outline_id"), "class_id")
+    return members.join(n_links, "class_id", "left").select(
+        "outline_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), ["doc_id"], F.col("text"), vocabulary())
 
@@ -67,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_counts": p1_counts,
     "p3_found": p3_found,
     "p3_records": p3_records,
+    "p4_found": p4_found,
+    "p4_classes": p4_classes,
     "p6_ids": p6_ids,
     "p6_counts": p6_counts,
 }
