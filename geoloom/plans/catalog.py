@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.plans import skew
+from geoloom.plans import nearby, skew
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**skew.QUERIES}
-ORACLE_SQL: dict[str, str] = {**skew.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**skew.QUERIES, **nearby.QUERIES}
+ORACLE_SQL: dict[str, str] = {**skew.ORACLE_SQL, **nearby.ORACLE_SQL}
