@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from geoloom.llm.heavy_hitters import heavy_hitters
 from geoloom.llm.outlines import near_outlines, outline_pairs
+from geoloom.llm.quality import fit_quality, text_quality
 from geoloom.llm.spellings import collapse_spellings
 from geoloom.llm.tokens import encode
 from geoloom.sources.tables import table
@@ -69,6 +70,16 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), ["doc_id"], F.col("text"), vocabulary(), "tokens", only_counts=True)
 
 
+def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = fit_quality(documents, table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "common_words"))
+    return text_quality(documents, "doc_id", "text", model)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_stats(spark, sf_dir).where("label <> 'prose'").select("doc_id")
+
+
 _P1 = """
 WITH v AS (
   SELECT 'hash' AS field, geo_shape_0.hash AS val FROM enriched_shapes WHERE geo_shape_0.hash IS NOT NULL
@@ -88,6 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_classes": p4_classes,
     "p6_ids": p6_ids,
     "p6_counts": p6_counts,
+    "p8_found": p8_found,
+    "p8_stats": p8_stats,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -172,12 +172,7 @@ class BpeEncoder:
     def encode(self, texts: pa.Array, only_counts: bool = False) -> pa.Array:
         """Lists of ids, or their lengths; null and empty texts give an empty list."""
         texts = texts.cast(pa.string()).fill_null("")
-        out, at = [], 0
-        ends = _offsets(texts)
-        while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK_BYTES, "right")) - 1)
-            out.append(self._encode(texts.slice(at, to - at), only_counts))
-            at = to
+        out = [self._encode(texts.slice(at, n), only_counts) for at, n in slices(texts, CHUNK_BYTES)]
         kind = pa.int32() if only_counts else pa.list_(pa.int32())
         return pa.concat_arrays(out) if out else pa.array([], kind)
 
@@ -216,6 +211,15 @@ def _offsets(texts: pa.Array) -> np.ndarray:
     return np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
 
 
+def slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """(start, number) of runs of texts of at most ``size`` bytes; a longer text is a run of its own."""
+    ends, at = _offsets(texts), 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
+        yield at, to - at
+        at = to
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> BpeEncoder:
     """The encoder of a vocabulary file, once for each Python worker."""
