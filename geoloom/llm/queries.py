@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from geoloom.llm.heavy_hitters import heavy_hitters
 from geoloom.llm.outlines import near_outlines, outline_pairs
+from geoloom.llm.packing import pack_all
 from geoloom.llm.quality import fit_quality, text_quality
 from geoloom.llm.spellings import collapse_spellings
 from geoloom.llm.tokens import encode
@@ -70,6 +71,21 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), ["doc_id"], F.col("text"), vocabulary(), "tokens", only_counts=True)
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document, or piece of one, with its container of each capacity."""
+    sizes = p6_counts(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("tokens").alias("size"))
+    packed = pack_all(sizes, table(spark, sf_dir, "pack_sizes"), "pack_kind", "capacity")
+    names = {"id": "doc_id", "size": "tokens", "used": "used_tokens"}
+    return packed.withColumnsRenamed(names)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of each capacity, the tokens in them and the share of their room that is used."""
+    by = p7_packed(spark, sf_dir).groupBy("pack_kind", "capacity")
+    fill = F.sum("tokens") / (F.countDistinct("container") * F.col("capacity"))
+    return by.agg(F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens"), fill.alias("fill"))
+
+
 def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = fit_quality(documents, table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "common_words"))
@@ -99,6 +115,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_classes": p4_classes,
     "p6_ids": p6_ids,
     "p6_counts": p6_counts,
+    "p7_packed": p7_packed,
+    "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p8_stats": p8_stats,
 }
