@@ -19,6 +19,7 @@ from geoloom.kernel.shapes import (
     POINT,
     POLYGON,
     Shape,
+    checked,
 )
 
 
@@ -28,15 +29,17 @@ def drop_repeats(points: list) -> list:
 
 
 def dedup(shape: Shape) -> Shape:
-    """Without doubled vertices; MultiPoint and MultiLineString stay as they are."""
+    """Without doubled vertices; MultiPoint and MultiLineString stay as they are.
+
+    Raises ShapeError where a line keeps under two vertices, or a ring under four.
+    """
     kind, data = shape
     if kind == LINE:
-        kept = drop_repeats(data)
-        return kind, kept if len(kept) > 1 or not data else [kept[0], kept[0]]
+        return checked((kind, drop_repeats(data)))
     if kind == POLYGON:
-        return kind, [drop_repeats(r) for r in data]
+        return checked((kind, [drop_repeats(r) for r in data]))
     if kind == MULTI_POLYGON:
-        return kind, [[drop_repeats(r) for r in p] for p in data]
+        return checked((kind, [[drop_repeats(r) for r in p] for p in data]))
     if kind == COLLECTION:
         return kind, [dedup(s) for s in data]
     return shape

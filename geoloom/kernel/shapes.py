@@ -74,7 +74,7 @@ def vertices(shape: Shape):
             yield from vertices(s)
 
 
-def _checked(shape: Shape) -> Shape:
+def checked(shape: Shape) -> Shape:
     """Refuses rings that are open or have under 4 vertices, and lines of a single vertex."""
     kind, data = shape
     if kind == LINE and len(data) == 1:
@@ -85,7 +85,7 @@ def _checked(shape: Shape) -> Shape:
                 raise ShapeError("a ring that is open or too short")
     elif kind in (MULTI_LINE, MULTI_POLYGON):
         for d in data:
-            _checked((MEMBER[kind], d))
+            checked((MEMBER[kind], d))
     return shape
 
 
@@ -121,14 +121,14 @@ def _read_wkb(raw: bytes, at: int) -> tuple[Shape, int]:
     at += 4
     if kind == LINE:
         points, at = _read_points(raw, at, n, order)
-        return _checked((LINE, points)), at
+        return checked((LINE, points)), at
     data = []
     if kind == POLYGON:
         for _ in range(n):
             m = struct.unpack_from(order + "I", raw, at)[0]
             ring, at = _read_points(raw, at + 4, m, order)
             data.append(ring)
-        return _checked((POLYGON, data)), at
+        return checked((POLYGON, data)), at
     for _ in range(n):
         member, at = _read_wkb(raw, at)
         if kind != COLLECTION and member[0] != MEMBER[kind]:
@@ -337,7 +337,7 @@ class _WktReader:
             MULTI_POLYGON: lambda: self.several(self.rings),
             COLLECTION: lambda: self.several(self.shape),
         }[kind]
-        return _checked((kind, read()))
+        return checked((kind, read()))
 
 
 # --- GeoJSON -----------------------------------------------------------------------------------
@@ -387,12 +387,12 @@ def from_geojson(obj: dict) -> Shape:
         if kind == POINT:
             return kind, _xy(c) if c else None
         if kind in (LINE, MULTI_POINT):
-            return _checked((kind, [_xy(p) for p in c]))
+            return checked((kind, [_xy(p) for p in c]))
         if kind == POLYGON:
-            return _checked((kind, [_ring(r) for r in c]))
+            return checked((kind, [_ring(r) for r in c]))
         if kind == MULTI_LINE:
-            return _checked((kind, [[_xy(p) for p in r] for r in c]))
-        return _checked((kind, [[_ring(r) for r in p] for p in c]))
+            return checked((kind, [[_xy(p) for p in r] for r in c]))
+        return checked((kind, [[_ring(r) for r in p] for p in c]))
     except (KeyError, TypeError, IndexError, ValueError) as e:
         raise e if isinstance(e, ShapeError) else ShapeError(f"bad coordinates: {e}") from None
 
