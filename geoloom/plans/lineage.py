@@ -5,19 +5,24 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share.
 
-    The folder is the one that ``spark.checkpoint.dir`` names, which all executors share. Only
-    where a session has none, as in tests, a local one is made.
+    It is the one that ``spark.checkpoint.dir`` names; only where a session has none, as in tests, a
+    local one is made.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None)
-            or os.path.join(tempfile.gettempdir(), "geoloom-checkpoints")
+            spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "geoloom-checkpoints")
         )
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
