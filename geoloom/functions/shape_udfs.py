@@ -36,8 +36,7 @@ _POINT = pa.struct([("lat", pa.float64()), ("lon", pa.float64())])
 def _each(values: pa.Array, what: Callable, kind: pa.DataType) -> pa.Array:
     """``what`` of each value that is not null; null where it raises ShapeError."""
     out = []
-    for v in values:
-        v = v.as_py()
+    for v in values.to_pylist():
         try:
             out.append(None if v is None else what(v))
         except (ShapeError, RecursionError):
@@ -120,19 +119,29 @@ def render(wkb: Column, fmt: OutputFormat) -> Column:
 _ATTRIBUTES = pa.struct([("digest", pa.string()), ("perimeter", pa.float64()), ("type", pa.string())])
 
 
-def _attributes(raw: bytes) -> dict:
-    shape = decode_wkb(raw)
-    perimeter = measures.length(shape)
-    if perimeter != perimeter:
-        raise ShapeError("a perimeter that is no number")
-    return {"digest": str(murmur.digest(raw)), "perimeter": perimeter, "type": TYPE_NAMES[shape[0]]}
-
-
-#: digest, perimeter and type of a shape in one decoding; null where the bytes are no shape, or where
-#: the perimeter is no number.
-attributes = ShapeFunction(
-    "shape_attributes", "struct<digest:string,perimeter:double,type:string>", _ATTRIBUTES, _attributes
-)
+def _attributes(values: pa.Array) -> pa.Array:
+    known, out = [], []
+    for raw in values.to_pylist():
+        made = None
+        try:
+            if raw is not None:
+                shape = decode_wkb(raw)
+                perimeter = measures.length(shape)
+                if perimeter == perimeter:
+                    made = {"perimeter": perimeter, "type": TYPE_NAMES[shape[0]]}
+                    known.append((raw, made))
+        except ShapeError:
+            pass
+        out.append(made)
+    for (_, made), d in zip(known, murmur.digests([raw for raw, _ in known]).tolist()):
+        made["digest"] = str(d)
+    return pa.array(out, _ATTRIBUTES)
+
+
+def attributes(wkb: Column | str) -> Column:
+    """(digest, perimeter, type) of a shape in one decoding; null where the bytes are no shape, or where
+    the perimeter is no number."""
+    return F.arrow_udf(_attributes, "struct<digest:string,perimeter:double,type:string>")(wkb)
 
 
 def simplified_wkb(wkb: Column, zoom: int, how: Algorithm) -> Column:
@@ -162,8 +171,7 @@ def simplify_row(raw: bytes, tolerance: float, name: str, fmt: OutputFormat) ->
 def _simplified(values: pa.Array, tolerance: float, name: str, fmt: OutputFormat) -> pa.Array:
     """Bad bytes are an error, unlike nulls."""
     out = []
-    for v in values:
-        raw = v.as_py()
+    for raw in values.to_pylist():
         try:
             out.append(None if raw is None else simplify_row(raw, tolerance, name, fmt))
         except ShapeError as e:

@@ -8,6 +8,8 @@ one. Ring ends stay. Invalid results are not repaired.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 from geoloom.kernel.shapes import (
@@ -26,25 +28,62 @@ from geoloom.kernel.shapes import (
 ALGORITHMS = ("DOUGLAS_PEUCKER", "TOPOLOGY_PRESERVING")
 
 
-def _furthest(xs: np.ndarray, ys: np.ndarray, i: int, j: int) -> tuple[int, float]:
-    """The vertex between i and j that is furthest from their segment, and its distance."""
-    px, py = xs[i + 1 : j], ys[i + 1 : j]
-    ax, ay = xs[i], ys[i]
-    dx, dy = xs[j] - ax, ys[j] - ay
+#: Up to so many vertices or segments, plain loops are faster than arrays.
+SMALL = 48
+
+
+def _furthest_of_few(points: list, i: int, j: int) -> tuple[int, float]:
+    ax, ay = points[i]
+    bx, by = points[j]
+    dx, dy = bx - ax, by - ay
     whole = dx * dx + dy * dy
-    ux, uy = px - ax, py - ay
-    if whole:
-        t = (ux * dx + uy * dy) / whole
-        # beyond the ends the end itself is nearest; between them the line is
-        d = np.where(
-            t <= 0,
-            np.sqrt(ux * ux + uy * uy),
-            np.where(t >= 1, np.sqrt((px - xs[j]) ** 2 + (py - ys[j]) ** 2), np.abs(uy * dx - ux * dy) / np.sqrt(whole)),
-        )
-    else:
-        d = np.sqrt(ux * ux + uy * uy)
-    best = int(d.argmax())
-    return i + 1 + best, float(d[best])
+    root = math.sqrt(whole)
+    best, furthest = -1.0, i
+    for k in range(i + 1, j):
+        px, py = points[k]
+        ux, uy = px - ax, py - ay
+        t = ux * dx + uy * dy
+        if t <= 0 or not whole:
+            d = math.sqrt(ux * ux + uy * uy)
+        elif t / whole >= 1:
+            ux, uy = px - bx, py - by
+            d = math.sqrt(ux * ux + uy * uy)
+        else:
+            d = abs(uy * dx - ux * dy) / root
+        if d > best:
+            best, furthest = d, k
+    return furthest, best
+
+
+class _Line:
+    """A line's vertices; as arrays too, once that pays."""
+
+    def __init__(self, points: list):
+        self.points = points
+        self.arrays = np.array(points, float).T if len(points) > SMALL else None
+
+    def furthest(self, i: int, j: int) -> tuple[int, float]:
+        """The vertex between i and j that is furthest from their segment, and its distance."""
+        if j - i <= SMALL:
+            return _furthest_of_few(self.points, i, j)
+        xs, ys = self.arrays
+        px, py = xs[i + 1 : j], ys[i + 1 : j]
+        ax, ay = xs[i], ys[i]
+        dx, dy = xs[j] - ax, ys[j] - ay
+        whole = dx * dx + dy * dy
+        ux, uy = px - ax, py - ay
+        if whole:
+            t = (ux * dx + uy * dy) / whole
+            # beyond the ends the end itself is nearest; between them the line is
+            d = np.where(
+                t <= 0,
+                np.sqrt(ux * ux + uy * uy),
+                np.where(t >= 1, np.sqrt((px - xs[j]) ** 2 + (py - ys[j]) ** 2), np.abs(uy * dx - ux * dy) / np.sqrt(whole)),
+            )
+        else:
+            d = np.sqrt(ux * ux + uy * uy)
+        best = int(d.argmax())
+        return i + 1 + best, float(d[best])
 
 
 def reduce_line(points: list, tolerance: float) -> list:
@@ -52,15 +91,15 @@ def reduce_line(points: list, tolerance: float) -> list:
     n = len(points)
     if n < 3:
         return list(points)
-    xs, ys = np.array(points, float).T
-    keep = np.zeros(n, bool)
+    line = _Line(points)
+    keep = [False] * n
     keep[0] = keep[-1] = True
     stack = [(0, n - 1)]
     while stack:
         i, j = stack.pop()
         if i + 1 >= j:
             continue
-        k, d = _furthest(xs, ys, i, j)
+        k, d = line.furthest(i, j)
         if d > tolerance:
             keep[k] = True
             stack += [(i, k), (k, j)]
@@ -104,6 +143,37 @@ def _meets_inside(segments: np.ndarray, a: tuple, b: tuple) -> np.ndarray:
     return out
 
 
+def _one_meets_inside(s: tuple, a: tuple, b: tuple) -> bool:
+    """``_meets_inside`` of one segment."""
+    x0, y0, x1, y1 = s
+    ax, ay = a
+    bx, by = b
+    if (x0 if x0 < x1 else x1) > (ax if ax > bx else bx) or (x0 if x0 > x1 else x1) < (ax if ax < bx else bx):
+        return False
+    if (y0 if y0 < y1 else y1) > (ay if ay > by else by) or (y0 if y0 > y1 else y1) < (ay if ay < by else by):
+        return False
+    d1 = (bx - ax) * (y0 - ay) - (by - ay) * (x0 - ax)
+    d2 = (bx - ax) * (y1 - ay) - (by - ay) * (x1 - ax)
+    if (d1 > 0 and d2 > 0) or (d1 < 0 and d2 < 0):
+        return False
+    d3 = (x1 - x0) * (ay - y0) - (y1 - y0) * (ax - x0)
+    d4 = (x1 - x0) * (by - y0) - (y1 - y0) * (bx - x0)
+    if (d3 > 0 and d4 > 0) or (d3 < 0 and d4 < 0):
+        return False
+    if d1 and d2 and d3 and d4:
+        return True
+
+    def touches(side: float, px: float, py: float, q: tuple) -> bool:
+        if side:
+            return False
+        qx0, qy0, qx1, qy1 = q
+        within = min(qx0, qx1) <= px <= max(qx0, qx1) and min(qy0, qy1) <= py <= max(qy0, qy1)
+        return within and (px, py) != (qx0, qy0) and (px, py) != (qx1, qy1)
+
+    ab = (ax, ay, bx, by)
+    return touches(d1, x0, y0, ab) or touches(d2, x1, y1, ab) or touches(d3, ax, ay, s) or touches(d4, bx, by, s)
+
+
 class _Network:
     """The lines of a shape while they are simplified together."""
 
@@ -111,19 +181,26 @@ class _Network:
         self.tolerance = tolerance
         self.lines = lines
         # segments of all lines end to end; those that were flattened are no longer looked at
-        parts = [np.array([(*p, *q) for p, q in zip(line, line[1:])], float).reshape(-1, 4) for line in lines]
-        self.first = np.cumsum([0] + [len(p) for p in parts])
-        self.segments = np.concatenate(parts) if parts else np.empty((0, 4))
-        self.open = np.ones(len(self.segments), bool)
+        flat = [(*p, *q) for line in lines for p, q in zip(line, line[1:])]
+        self.first = [0]
+        for line in lines:
+            self.first.append(self.first[-1] + max(len(line) - 1, 0))
+        self.few = len(flat) <= SMALL
+        self.segments = flat if self.few else np.array(flat, float)
+        self.open = [True] * len(flat) if self.few else np.ones(len(flat), bool)
         self.made: list[tuple] = []
 
     def _crosses(self, line: int, i: int, j: int) -> bool:
         a, b = self.lines[line][i], self.lines[line][j]
+        low, high = self.first[line] + i, self.first[line] + j
+        if self.few:
+            return any(_one_meets_inside(s, a, b) for s in self.made) or any(
+                _one_meets_inside(s, a, b) for n, s in enumerate(self.segments) if self.open[n] and not low <= n < high
+            )
         if self.made and _meets_inside(np.array(self.made), a, b).any():
             return True
         hit = _meets_inside(self.segments, a, b) & self.open
-        start = self.first[line]
-        hit[start + i : start + j] = False
+        hit[low:high] = False
         return bool(hit.any())
 
     def reduce(self, line: int) -> list:
@@ -131,7 +208,7 @@ class _Network:
         n = len(points)
         if n < 3:
             return list(points)
-        xs, ys = np.array(points, float).T
+        own = _Line(points)
         least = 4 if points[0] == points[-1] else 2
         kept = [0]
         stack = [(0, n - 1, 1)]
@@ -140,11 +217,12 @@ class _Network:
             if i + 1 == j:
                 kept.append(j)
                 continue
-            k, d = _furthest(xs, ys, i, j)
+            k, d = own.furthest(i, j)
             size = len(kept) if len(kept) > 1 else 0
             flat = d <= self.tolerance and not (size < least and depth + 1 < least) and not self._crosses(line, i, j)
             if flat:
-                self.open[self.first[line] + i : self.first[line] + j] = False
+                low, high = self.first[line] + i, self.first[line] + j
+                self.open[low:high] = [False] * (high - low)
                 self.made.append((*points[i], *points[j]))
                 kept.append(j)
             else:

@@ -66,7 +66,7 @@ class EnrichOptions:
 
 
 def derive(text: str, wanted: set[str]) -> dict:
-    """The members of one shape by what they are."""
+    """The members of one shape by what they are, all but the digest of its ``wkb``."""
     shape = parse(text)
     try:
         clean = normalize(dedup(shape))
@@ -76,8 +76,6 @@ def derive(text: str, wanted: set[str]) -> dict:
     out = {"wkb": raw}
     if "fix_shape" in wanted:
         out["fix_shape"] = to_wkt(clean, host=True)
-    if "hash" in wanted:
-        out["hash"] = str(murmur.digest(raw))
     if "type" in wanted:
         out["type"] = TYPE_NAMES[clean[0]]
     if "area" in wanted:
@@ -96,19 +94,23 @@ def _derived(texts: Column, options: EnrichOptions, mode: str) -> Column:
     returns = "struct<" + "".join(f"m{i}:{spark}," for i, (_, _, spark, _) in enumerate(members)) + "error:string>"
 
     def over(values: pa.Array) -> pa.Array:
-        out = []
+        made, errors = [], []
         for text in values.to_pylist():
-            if text is None:
-                out.append(None)
-                continue
+            row, error = None, None
             try:
-                made = derive(text, wanted)
-                out.append({f"m{i}": made[what] for i, (what, *_) in enumerate(members)})
+                row = None if text is None else derive(text, wanted)
             except (ShapeError, RecursionError) as e:
                 if mode == FAILFAST:
                     raise ValueError(str(e)) from None
-                out.append({"error": str(e)})
-        return pa.array(out, pa.struct(fields_))
+                error = str(e)
+            made.append(row or {})
+            errors.append(error)
+        if "hash" in wanted:
+            rows = [row for row in made if row]
+            for row, d in zip(rows, murmur.digests([row["wkb"] for row in rows]).tolist()):
+                row["hash"] = str(d)
+        columns = [pa.array([row.get(what) for row in made], kind) for what, _, _, kind in members]
+        return pa.StructArray.from_arrays([*columns, pa.array(errors, pa.string())], fields=fields_)
 
     return F.arrow_udf(over, returns)(texts)
 

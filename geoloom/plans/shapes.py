@@ -23,7 +23,7 @@ from geoloom.operators.shape_agg import result_json, shape_agg
 from geoloom.operators.simplify import compile_script, geo_simplify
 from geoloom.plans import fixtures
 from geoloom.plans.lineage import shared_folder
-from geoloom.sources.tables import table
+from geoloom.sources.tables import spread, table
 from geoloom.streaming.enrichment import enrich_files
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -57,7 +57,7 @@ def _enriched(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     rows = table(spark, sf_dir, "enriched_shapes").select(
         "id", *keep, F.col("geo_shape_0").alias("stored"), F.col("geo_shape_0.shape").alias("shape")
     )
-    return enrich(rows.where("shape IS NOT NULL"), "shape", keep_original_shape=False)
+    return enrich(spread(rows.where("shape IS NOT NULL"), "id"), "shape", keep_original_shape=False)
 
 
 _LITTLE = "hex(substring(stored.wkb, 1, 1)) = '01'"
@@ -433,7 +433,7 @@ def simplify_dp_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def simplify_tp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every shape of the largest table, keeping the topology, for zoom 8."""
-    rows = table(spark, sf_dir, "enriched_shapes").select("id", F.col("geo_shape_0.wkb").alias("wkb"))
+    rows = spread(table(spark, sf_dir, "enriched_shapes").select("id", F.col("geo_shape_0.wkb").alias("wkb")), "id")
     return rows.select("id", geo_simplify(F.col("wkb"), 8, "TOPOLOGY_PRESERVING", "WKB").alias("s")).select("id", "s.*")
 
 

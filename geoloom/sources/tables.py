@@ -11,6 +11,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all cores, by a hash of ``keys``, where its scan has under half as many partitions.
+
+    For work that is heavy for its bytes: a file of one row group is one task otherwise. Where a scan
+    has partitions enough, as any large one, and on streams, nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() * 2 > cores:
+        return df
+    return df.repartition(cores, F.xxhash64(*keys))
+
+
 def first_delivery(df: DataFrame, key: str, *columns: str) -> DataFrame:
     """One row for each ``key`` of rows that were delivered again with the same content.
 

@@ -1,6 +1,7 @@
 import json
 import math
 import os
+from unittest import mock
 
 import numpy as np
 import pytest
@@ -8,9 +9,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from geoloom.kernel import measures, murmur
+from geoloom.kernel import simplify as kernel_simplify
 from geoloom.kernel.normal import dedup, drop_repeats, fold_lat, normalize, signed_area, wrap_lon
 from geoloom.kernel.shapes import (
     LINE,
+    MULTI_LINE,
     MULTI_POLYGON,
     POINT,
     POLYGON,
@@ -279,5 +282,15 @@ def test_reduced_lines(line, tolerance):
     assert simplify((LINE, line), tolerance, "DOUGLAS_PEUCKER")[1] == small
 
 
+@settings(deadline=None, max_examples=60)
+@given(st.lists(points, min_size=1, max_size=4), st.floats(0, 30))
+def test_loops_and_arrays_agree(lines, tolerance):
+    shape = (MULTI_LINE, [*lines, [*lines[0], lines[0][0]]])
+    for algorithm in ("DOUGLAS_PEUCKER", "TOPOLOGY_PRESERVING"):
+        with mock.patch.object(kernel_simplify, "SMALL", 0):
+            arrays = simplify(shape, tolerance, algorithm)
+        assert simplify(shape, tolerance, algorithm) == arrays
+
+
 def test_drop_repeats():
     assert drop_repeats([(0, 0), (0, 0), (1, 1), (0, 0)]) == [(0, 0), (1, 1), (0, 0)] and drop_repeats([]) == []
