@@ -17,6 +17,9 @@ PIECE = 200
 UPPER, LOWER, LETTER, DIGIT, BLANK, STOP, MARK, SYMBOL, BREAK = range(9)
 KINDS = 9
 
+#: Bits of the groups of signs that are counted.
+DIVIDES, COLUMN, ANGLE, VOWEL = 1, 2, 4, 8
+
 NAMES = (
     "bias", "log_chars", "letters", "digits", "blanks", "marks", "symbols", "upper", "title_words", "log_words",
     "word_length", "longest_word", "common", "no_common", "ends_stop", "ends_separator", "goes_on", "bullet", "number_first",
@@ -31,8 +34,8 @@ _VOWELS = "aeiouyäöüéèêëàâîïôûùáíóúñαειουωηάέίόύ
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Kind, lower-case form and hash of each code point, and whether it is a vowel."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kind of each code point, the hash of its lower-case form, and the groups it is in."""
     import unicodedata
 
     top = 0x20000
@@ -55,14 +58,15 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     for c in "©§¶ªº":  # signs of garbled text, whatever their category
         kind[ord(c)] = SYMBOL
     hashed = np.random.default_rng(20240607).integers(1, 1 << 63, 0x110000, dtype=np.uint64) | np.uint64(1)
-    vowel = np.zeros(0x110000, bool)
-    vowel[[ord(c) for c in _VOWELS]] = True
-    return kind, lower, hashed, vowel
+    groups = np.zeros(0x110000, np.uint8)
+    for bit, signs in ((DIVIDES, ";,:|*"), (COLUMN, "\t|"), (ANGLE, "<>"), (VOWEL, _VOWELS + _VOWELS.upper())):
+        groups[[ord(c) for c in signs]] |= bit
+    return kind, hashed[lower], groups
 
 
 def word_hash(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, without regard to case; the words' signs lie end to end."""
-    _, lower, hashed, _ = _tables()
+    _, hashed, _ = _tables()
     length = ends - starts
     if not len(length):
         return np.empty(0, np.uint64)
@@ -70,7 +74,7 @@ def word_hash(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     within = np.arange(length.sum()) - np.repeat(first, length)
     at = np.repeat(starts, length) + within
     with np.errstate(over="ignore"):
-        signs = hashed[lower[points[at]]] * (within.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        signs = hashed[points[at]] * (within.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
         return np.add.reduceat(signs ^ (signs >> np.uint64(31)), first)
 
 
@@ -103,7 +107,7 @@ class Lines:
     """Lines (or pieces of lines) of a batch of texts: ``text``, ``chars``, ``features`` of each."""
 
     def __init__(self, texts: pa.Array, common: np.ndarray):
-        kind_of, lower_of, hash_of, vowel_of = _tables()
+        kind_of, _, group_of = _tables()
         texts = texts.cast(pa.string()).fill_null("")
         n_texts = len(texts)
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n_texts + 1].astype(np.int64)
@@ -120,7 +124,7 @@ class Lines:
             self.inner_piece = np.empty(0, bool)
             self.count, self.features = np.empty((0, KINDS), np.int64), np.empty((0, WIDTH), np.float32)
             return
-        kind = kind_of[points]
+        kind, group = kind_of[points], group_of[points]
         text_of = np.repeat(np.arange(n_texts), self.text_chars)
 
         # a line begins behind a break and at the start of a text; pieces begin every PIECE signs
@@ -163,11 +167,9 @@ class Lines:
         wordly = kind <= DIGIT
         edge = np.zeros(n + 1, bool)
         edge[:n] = wordly
-        w_start = np.flatnonzero(edge[:n] & ~np.concatenate([[False], edge[: n - 1]]))
         cut = np.zeros(n + 1, bool)
         cut[bounds[:-1]] = True  # a word ends with its text
-        inner = np.flatnonzero(cut[:n] & wordly & np.concatenate([[False], wordly[:-1]]))
-        w_start = np.union1d(w_start, inner)
+        w_start = np.flatnonzero(wordly & (~np.append(False, wordly[:-1]) | cut[:n]))
         stop_at = np.flatnonzero(~edge | cut)
         w_end = stop_at[np.searchsorted(stop_at, w_start, "right")] if len(w_start) else w_start
         w_piece = piece_of[w_start]
@@ -198,25 +200,25 @@ class Lines:
         distinct = np.bincount(w_text[~again_1], minlength=n_texts)
         few = np.log1p(distinct) - np.minimum(0.75 * np.log1p(text_words), np.log(200))
 
-        # lines that come again, and lines of the same form, numbers and letters aside
+        # lines whose words come again, numbers aside, and lines of the same form
+        line_key = np.zeros(m, np.uint64)
         with np.errstate(over="ignore"):
-            sign = np.where(kind == DIGIT, np.uint64(77), hash_of[points])
-            place = (np.arange(n) - np.where(piece_of >= 0, start[piece_of], 0)).astype(np.uint64) if m else np.zeros(n, np.uint64)
-            mixed = sign * (place * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-            line_key = np.zeros(m, np.uint64)
-            if m:
-                line_key = np.add.reduceat((mixed ^ (mixed >> np.uint64(31)))[flat], np.cumsum(length) - length)
+            if len(w_piece):
+                at = np.flatnonzero(np.append(True, w_piece[1:] != w_piece[:-1]))
+                place = np.arange(len(w_piece)) - np.repeat(at, np.diff(np.append(at, len(w_piece))))
+                mixed = np.where(numeric, np.uint64(77), w_hash) * (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+                line_key[w_piece[at]] = np.add.reduceat(mixed ^ (mixed >> np.uint64(31)), at)
             head_class = np.where(kind[head] == DIGIT, 1, np.where(kind[head] <= LETTER, 2 + kind[head], p_head.astype(np.int64) + 9))
             tail_class = np.where(kind[tail] == DIGIT, 1, np.where(kind[tail] <= LETTER, 2, p_tail.astype(np.int64) + 9))
             form = (head_class * 1200007 + tail_class * 31 + np.minimum(count[:, MARK], 5)).astype(np.uint64)
-        again_line = _again(self.text, line_key) if m else np.zeros(0, bool)
-        _, inverse, times = np.unique(np.stack([self.text.astype(np.uint64), form], 1), axis=0, return_inverse=True, return_counts=True) if m else (0, np.empty(0, int), np.empty(0, int))
+            own_form = (form + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + self.text.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        again_line = _again(self.text, line_key)
+        _, inverse, times = np.unique(own_form ^ (own_form >> np.uint64(32)), return_inverse=True, return_counts=True)
         in_text = np.bincount(self.text, minlength=n_texts)
-        same_form = times[inverse.ravel()] / np.maximum(in_text[self.text], 1) if m else np.empty(0)
+        same_form = times[inverse.ravel()] / np.maximum(in_text[self.text], 1)
 
-        def signs(which: str) -> np.ndarray:
-            at = np.flatnonzero(np.isin(points, [ord(c) for c in which]))
-            own = piece_of[at]
+        def signs(which: int) -> np.ndarray:
+            own = piece_of[np.flatnonzero(group & which)]
             return np.bincount(own[own >= 0], minlength=m)
 
         # runs of three blanks or dots, tabs and pipes stand between columns
@@ -226,7 +228,7 @@ class Lines:
             blank3[2:] = same[1:] & same[:-1]
             blank3[3:] &= ~(same[2:] & same[1:-1] & same[:-2])
         own = piece_of[np.flatnonzero(blank3)]
-        columns = np.bincount(own[own >= 0], minlength=m) + signs("\t|")
+        columns = np.bincount(own[own >= 0], minlength=m) + signs(COLUMN)
         stop_inside = np.flatnonzero((kind == STOP) & (np.append(kind[1:], BREAK) == BLANK))
         own = piece_of[stop_inside]
         inner_stops = np.bincount(own[own >= 0], minlength=m)
@@ -235,8 +237,7 @@ class Lines:
         np.maximum.at(widest, self.text, line_length)
         longest = np.zeros(m, np.int64)
         np.maximum.at(longest, w_piece, w_len)
-        vowels = piece_of[np.flatnonzero(vowel_of[lower_of[points]])]
-        vowels = np.bincount(vowels[vowels >= 0], minlength=m)
+        vowels = signs(VOWEL)
         repeats = np.zeros(n, bool)
         repeats[1:] = (points[1:] == points[:-1]) & (kind[1:] != BLANK) & (kind[1:] > DIGIT)
         own = piece_of[np.flatnonzero(repeats)]
@@ -252,7 +253,7 @@ class Lines:
             _share(per(title), words), np.log1p(words) / 3, np.minimum(_share(self.word_chars, words), 20) / 10,
             np.minimum(longest, 60) / 30, _share(self.common, words), self.common == 0, in_set(p_tail, _STOPS) & last,
             in_set(p_tail, _SEPARATORS) & last, ~last, bullet & (rank == 0), (kind[head] == DIGIT) & (rank == 0),
-            np.minimum(columns, 6) / 3, np.minimum(_share(signs(";,:|*"), words), 2), np.minimum(signs("<>"), 6) / 3,
+            np.minimum(columns, 6) / 3, np.minimum(_share(signs(DIVIDES), words), 2), np.minimum(signs(ANGLE), 6) / 3,
             _share(per(numeric), words), _share(per(again_5), words), _share(per(again_2), words), few[self.text], again_line,
             np.log1p(self.text_chars[self.text]) / 8, in_text[self.text] == 1, line_length / np.maximum(widest[self.text], 1),
             (kind[head] == LOWER) & (rank == 0), np.minimum(inner_stops, 4) / 2, _share(per(w_len == 1), words), same_form,

@@ -13,7 +13,7 @@ from geoloom.llm.packing import pack_all
 from geoloom.llm.quality import fit_quality, text_quality
 from geoloom.llm.spellings import collapse_spellings
 from geoloom.llm.tokens import encode
-from geoloom.sources.tables import table
+from geoloom.sources.tables import spread, table
 
 SHARE = 0.005
 
@@ -63,12 +63,16 @@ def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"), ["doc_id"], F.col("text"), vocabulary())
+    return encode(_texts(spark, sf_dir), ["doc_id"], F.col("text"), vocabulary())
 
 
 def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"), ["doc_id"], F.col("text"), vocabulary(), "tokens", only_counts=True)
+    return encode(_texts(spark, sf_dir), ["doc_id"], F.col("text"), vocabulary(), "tokens", only_counts=True)
 
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,9 +91,8 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    model = fit_quality(documents, table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "common_words"))
-    return text_quality(documents, "doc_id", "text", model)
+    model = fit_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "common_words"))
+    return text_quality(_texts(spark, sf_dir), "doc_id", "text", model)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
