@@ -5,9 +5,11 @@ H = (s + b)(1 - t)/(1 + t) tokens. The universe of tokens is hashed into m segme
 band of sizes. If a set spends more than H units over the segments - one on a segment for which it
 looks up equal segments, two on one for which it also looks up segments that differ by one token -
 then at least one look-up meets every partner (pigeonhole). The index holds each segment and each
-segment less one token. Which segments get units is decided by cost: a fixed-size sketch of how
-often each signature is in the index is sent to all tasks, and the cheapest units are taken.
-Candidates are verified on the whole sets.
+segment less one token. Which segments get units is decided by cost: a sketch of bounded size of how
+often each signature is in the index is sent to all tasks, and the cheapest units are taken. A look-up
+of which the sketch says that it meets nothing but the set itself counts as a unit, but is not made;
+nor are index entries made that no look-up can meet, as a bitmap of the look-ups' cells tells. So what
+is shuffled is little more than what may match. Candidates are verified on the whole sets.
 
 A segment's hash is the sum of its tokens' hashes, so all of this is array arithmetic. Empty segments
 are neither indexed nor looked up, and a segment of one token gets one unit at most; the few sets
@@ -37,7 +39,8 @@ from pyspark.sql import functions as F
 from geoloom.operators.balance import join_balanced
 from geoloom.plans.lineage import cut
 
-SKETCH = 1 << 20
+#: Bounds of the number of cells of the sketch, at four bytes each.
+LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 22
 _BAND_RATIO = 1.2
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,23 +112,42 @@ def _batch(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
 
 
-def _rows(sig: list[np.ndarray], id_: list[np.ndarray]) -> pa.RecordBatch:
-    sig, id_ = np.concatenate(sig), np.concatenate(id_)
-    return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(id_)], ["sig", "id"])
+def _entries(batch: pa.RecordBatch, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the index and the ids that they belong to."""
+    ids, sizes, tokens = _batch(batch)
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    s = _Segments(tokens, owner, np.searchsorted(bands.lows, sizes, "right") - 1, bands)
+    sig = np.concatenate([s.equal, s.less_within[s.shrinks]])
+    return sig, np.concatenate([ids[s.owner], ids[s.owner[s.of[s.shrinks]]]])
 
 
-def _index(batches: Iterator[pa.RecordBatch], bands: Bands) -> Iterator[pa.RecordBatch]:
+def _cells(sig: np.ndarray, cells: int) -> np.ndarray:
+    return (sig & np.uint64(cells - 1)).astype(np.int64)
+
+
+def _count(batches: Iterator[pa.RecordBatch], bands: Bands, cells: int) -> Iterator[pa.RecordBatch]:
+    """One task's sketch of the index, as rows of the cells that are not 0."""
+    sketch = np.zeros(cells, np.int32)
     for batch in batches:
-        ids, sizes, tokens = _batch(batch)
-        if not len(ids):
-            continue
-        owner = np.repeat(np.arange(len(ids)), sizes)
-        s = _Segments(tokens, owner, np.searchsorted(bands.lows, sizes, "right") - 1, bands)
-        yield _rows([s.equal, s.less_within[s.shrinks]], [ids[s.owner], ids[s.owner[s.of[s.shrinks]]]])
+        if batch.num_rows:
+            sketch += np.bincount(_cells(_entries(batch, bands)[0], cells), minlength=cells).astype(np.int32)
+    used = np.flatnonzero(sketch)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sketch[used].astype(np.int64))], ["cell", "n"])
+
+
+def _index(batches: Iterator[pa.RecordBatch], bands: Bands, cells: int, wanted) -> Iterator[pa.RecordBatch]:
+    """The index, without what lies in cells that nothing looks up."""
+    bits = wanted.value
+    for batch in batches:
+        if batch.num_rows:
+            sig, id_ = _entries(batch, bands)
+            cell = _cells(sig, cells)
+            met = np.flatnonzero((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1)
+            yield pa.RecordBatch.from_arrays([pa.array(sig[met].view(np.int64)), pa.array(id_[met])], ["sig", "id"])
 
 
 def _look_up(batches: Iterator[pa.RecordBatch], bands: Bands, sketch) -> Iterator[pa.RecordBatch]:
-    """Signatures that each set looks up; those that cannot place their units come with a null."""
+    """Signatures that each set looks up; sets that cannot place their units come with a null."""
     counts = sketch.value
     lows, t = bands.lows, bands.threshold
     for batch in batches:
@@ -143,14 +165,14 @@ def _look_up(batches: Iterator[pa.RecordBatch], bands: Bands, sketch) -> Iterato
             at = np.repeat(starts[here] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             s = _Segments(tokens[at], owner, band, bands)
             need = bands.differ(n + np.minimum(n, lows[band + 1] - 1)) + 1
-            first = counts[(s.equal % np.uint64(SKETCH)).astype(np.int64)]
-            second = np.bincount(s.of, counts[(s.less_equal % np.uint64(SKETCH)).astype(np.int64)], len(s.size))
-            second = np.maximum(second + counts[(s.within % np.uint64(SKETCH)).astype(np.int64)], first)
+            # of its own band, the index has the set itself among the equal segments
+            equal = counts[_cells(s.equal, len(counts))] - (down == 0)
+            within, less = counts[_cells(s.within, len(counts))], counts[_cells(s.less_equal, len(counts))]
+            second = np.maximum(np.bincount(s.of, less, len(s.size)) + within, equal)
             two = np.flatnonzero(s.size > 1)
             unit_seg = np.append(np.arange(len(s.size)), two)
             unit_kind = np.append(np.zeros(len(s.size), np.int8), np.ones(len(two), np.int8))
-            cost = np.append(first, second[two])
-            order = np.lexsort((unit_kind, cost, s.owner[unit_seg]))
+            order = np.lexsort((unit_kind, np.append(equal, second[two]), s.owner[unit_seg]))
             unit_owner = s.owner[unit_seg[order]]
             have = np.bincount(unit_owner, minlength=len(here))
             rank = np.arange(len(order)) - (np.cumsum(have) - have)[unit_owner]
@@ -158,7 +180,7 @@ def _look_up(batches: Iterator[pa.RecordBatch], bands: Bands, sketch) -> Iterato
             one, both = unit_seg[taken[unit_kind[taken] == 0]], unit_seg[taken[unit_kind[taken] == 1]]
             is_both = np.zeros(len(s.size), bool)
             is_both[both] = True
-            spread = is_both[s.of]
+            one, both, spread = one[equal[one] > 0], both[within[both] > 0], np.flatnonzero(is_both[s.of] & (less > 0))
             sigs += [s.equal[one], s.within[both], s.less_equal[spread]]
             found_ids += [ids[here[s.owner[x]]] for x in (one, both, s.of[spread])]
             short.append(ids[here[have < need]])
@@ -170,15 +192,6 @@ def _look_up(batches: Iterator[pa.RecordBatch], bands: Bands, sketch) -> Iterato
         yield pa.RecordBatch.from_arrays([sig, pa.array(id_)], ["sig", "id"])
 
 
-def _frequencies(index: DataFrame) -> np.ndarray:
-    """How many index rows fall on each of SKETCH cells; a fixed size, whatever the data."""
-    cells = index.groupBy(F.pmod("sig", F.lit(SKETCH)).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    got = cells.toArrow()
-    out = np.zeros(SKETCH, np.int64)
-    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    return out
-
-
 @dataclass
 class NearSets:
     """``members``: id, class_id, one row for each set. ``links``: a_class, b_class, similarity."""
@@ -205,13 +218,22 @@ def near_sets(df: DataFrame, id_column: str, tokens: Column, threshold: float, m
     classes = cut(classes.select("class_id", "key", "tokens", F.size("tokens").alias("n"), "lo", "hi"))
     # an id with several sets may name two classes: their key tells them apart
     classes = classes.withColumn("cid", F.xxhash64("class_id", "key"))
-    largest = classes.agg(F.max("n")).first()[0] or 1
-    bands = Bands(threshold, largest)
-
-    sets = classes.select("cid", "tokens")
-    index = cut(sets.mapInArrow(lambda it: _index(it, bands), "sig long, id long"))
-    sketch = df.sparkSession.sparkContext.broadcast(_frequencies(index))
+    largest, total = classes.agg(F.max("n"), F.sum("n")).first()
+    bands = Bands(threshold, largest or 1)
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (4 * (total or 1)).bit_length()))
+
+    context, sets = df.sparkSession.sparkContext, classes.select("cid", "tokens")
+    held = sets.mapInArrow(lambda it: _count(it, bands, cells), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(cells, np.int32)
+    counts[held.column("cell").to_numpy()] = np.minimum(held.column("n").to_numpy(), np.iinfo(np.int32).max)
+    sketch = context.broadcast(counts)
     look = cut(sets.mapInArrow(lambda it: _look_up(it, bands, sketch), "sig long, id long").distinct())
+    met = np.zeros(cells // 8, np.uint8)
+    cell = F.col("sig").bitwiseAND(F.lit(cells - 1)).cast("int").alias("cell")
+    hit = look.where("sig IS NOT NULL").select(cell).distinct().toArrow().column("cell").to_numpy()  # at most ``cells`` rows
+    np.bitwise_or.at(met, hit >> 3, (1 << (hit & 7)).astype(np.uint8))
+    wanted = context.broadcast(met)
+    index = sets.mapInArrow(lambda it: _index(it, bands, cells, wanted), "sig long, id long")
 
     facts = classes.select("cid", "n", "lo", "hi")
     probes = look.where("sig IS NOT NULL").join(facts.withColumnRenamed("cid", "id"), "id")
