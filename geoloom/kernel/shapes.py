@@ -253,9 +253,48 @@ def to_wkt(shape: Shape, host: bool = False) -> str:
 _WKT_TOKEN = re.compile(r"\s*([A-Za-z]+|[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|[(),;=])")
 
 
+_COMMON_WKT = re.compile(r"(POINT|LINESTRING|POLYGON|MULTILINESTRING|MULTIPOLYGON) ?\(([0-9eE+\-.,()\s]+)\)")
+_BETWEEN_PARTS, _BETWEEN_POLYGONS = re.compile(r"\)\s*,\s*\("), re.compile(r"\)\s*\)\s*,\s*\(\s*\(")
+
+
+def _run_of(text: str) -> list:
+    return [(float(x), float(y)) for x, y in map(str.split, text.split(","))]
+
+
+def _parts_of(text: str) -> list:
+    """Runs in brackets, which text has around all of them."""
+    if text[0] != "(" or text[-1] != ")":
+        raise ValueError
+    return [_run_of(part) for part in _BETWEEN_PARTS.split(text[1:-1])]
+
+
+def _common_wkt(text: str) -> Shape | None:
+    """A shape in the usual spelling of the usual kinds, by splitting; None if it is anything else."""
+    m = _COMMON_WKT.fullmatch(text)
+    if not m:
+        return None
+    kind, body = KINDS[m[1]], m[2].strip()
+    try:
+        if kind == POINT:
+            (data,) = _run_of(body)
+        elif kind == LINE:
+            data = _run_of(body)
+        elif kind in (POLYGON, MULTI_LINE):
+            data = _parts_of(body)
+        else:
+            if body[:1] != "(" or body[-1:] != ")":
+                return None
+            data = [_parts_of(f"({part.strip()})") for part in _BETWEEN_POLYGONS.split(body[1:-1].strip()[1:-1])]
+    except (ValueError, IndexError):
+        return None
+    return checked((kind, data))
+
+
 def parse_wkt(text: str) -> Shape:
-    tokens, at = [], 0
     text = text.strip()
+    if shape := _common_wkt(text):
+        return shape
+    tokens, at = [], 0
     while at < len(text):
         m = _WKT_TOKEN.match(text, at)
         if not m:

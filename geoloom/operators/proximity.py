@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from geoloom.kernel.normal import normalize
 from geoloom.kernel.shapes import MULTI_POLYGON, POLYGON, ShapeError, parse
+from geoloom.operators.balance import join_balanced
 from geoloom.plans.lineage import cut
 from geoloom.sources.tables import first_delivery
 
@@ -203,7 +204,11 @@ def near_points(points: DataFrame, radius: float, most_in_tile: int = 1 << 20) -
         lambda it: _placed(it, tiles), f"tile int, place {kind}, lat double, lon double, x double, own boolean"
     )
     links = placed.repartitionById(tiles.count, "tile").mapInArrow(lambda it: _sweep(it, tiles), f"a {kind}, b {kind}")
-    members = points.join(places, ["lat", "lon"]).select("id", "place")
+    # one place may hold a third of all points
+    key = F.xxhash64("lat", "lon").alias("key")
+    at = places.select(key, F.col("lat").alias("at_lat"), F.col("lon").alias("at_lon"), "place")
+    members = join_balanced(points.select("id", "lat", "lon", key), at, "key", ["id"])
+    members = members.where("lat = at_lat AND lon = at_lon").select("id", "place")
     return NearPoints(members, links)
 
 

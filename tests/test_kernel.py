@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from geoloom.kernel import measures, murmur
+from geoloom.kernel import shapes as kernel_shapes
 from geoloom.kernel import simplify as kernel_simplify
 from geoloom.kernel.normal import dedup, drop_repeats, fold_lat, normalize, signed_area, wrap_lon
 from geoloom.kernel.shapes import (
@@ -112,6 +113,27 @@ def test_codecs_round_trip(wkt):
     assert from_geojson(json.loads(to_geojson(shape))) == shape or "EMPTY" in wkt
 
 
+@pytest.mark.parametrize("text", [
+    "POINT (1 2)", "POINT(1 2)", "LINESTRING (1 2, 3 4e-5,5 -6.5)", "POLYGON ((0 0, 1 0, 1 1, 0 0),(0.1 0.1,0.2 0.1,0.2 0.2,0.1 0.1))",
+    "POLYGON ( ( 0 0, 1 0, 1 1, 0 0 ) , ( 2 2, 3 2, 3 3, 2 2 ) )", "MULTILINESTRING ((0 0, 1 1),(2 2, 3 3))",
+    "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)),((5 5, 6 5, 6 6, 5 5), (5 5, 6 5, 6 6, 5 5)))", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)))",
+    "MULTIPOLYGON ( ( (0 0, 1 0, 1 1, 0 0) ) , ( (5 5, 6 5, 6 6, 5 5) ) )",
+    "POLYGON (0 0, 1 0, 1 1, 0 0)", "POLYGON (((0 0, 1 0, 1 1, 0 0)))", "MULTIPOLYGON ((0 0, 1 0, 1 1, 0 0))", "POINT (1)", "POINT (1 2, 3 4)",
+    "LINESTRING ()", "POLYGON ((0 0, 1 0, 1 1, 0 0)", "POLYGON ((0 0, 1 0, 1 1, 0 0)))", "POINT (1 2 3)", "LINESTRING (1_0 2, 3 4)",
+    "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0), ((5 5, 6 5, 6 6, 5 5)))", "MULTILINESTRING ((0 0, 1 1), 2 2, 3 3)", "POINT (1 - 2)",
+])
+def test_splitting_and_reading_agree(text):
+    def outcome():
+        try:
+            return parse_wkt(text)
+        except ShapeError:
+            return None
+
+    with mock.patch.object(kernel_shapes, "_common_wkt", lambda t: None):
+        read = outcome()
+    assert outcome() == read
+
+
 def test_dialects():
     shape = parse("MULTIPOINT (1 2, 3.5 4e-17)")
     assert to_wkt(shape, host=True) == "MULTIPOINT (1.0 2.0, 3.5 4.0E-17)"
