@@ -25,6 +25,7 @@ NAMES = (
     "word_length", "longest_word", "common", "no_common", "ends_stop", "ends_separator", "goes_on", "bullet", "number_first",
     "columns", "separators", "angles", "number_words", "again_5", "again_2", "few_words", "again_line", "log_text",
     "one_line", "of_widest", "lower_first", "inner_stops", "single_signs", "same_form", "one_sign", "vowels",
+    "near_common", "next_lower", "runs_on",
 )
 WIDTH = len(NAMES)
 
@@ -246,18 +247,28 @@ class Lines:
         self.ends_stop = in_set(p_tail, ".!?…") & last
         self.inner_piece = ~last  # of a line, but not its last piece
         bullet = (in_set(p_head, _BULLETS) & (next_kind == BLANK)) | ((p_head == ord("(")) & (points[np.minimum(head + 2, n - 1)] == ord(")")))
+        # the lines before and behind, in the same text
+        lower_first = (kind[head] == LOWER) & (rank == 0)
+        ends = in_set(p_tail, _STOPS + _SEPARATORS) & last
+        has_next = np.append(self.text[1:] == self.text[:-1], False)
+        has_before = np.append(False, has_next[:-1])
+        share = _share(self.common, words)
+        both = np.where(has_before, np.append(0, share[:-1]), 0) + np.where(has_next, np.append(share[1:], 0), 0)
+        near_common = both / np.maximum(has_before.astype(int) + has_next, 1)
+        next_lower = np.append(lower_first[1:], False) & has_next & ~ends
+        runs_on = lower_first & has_before & ~np.append(False, ends[:-1])
         f = np.empty((m, WIDTH), np.float32)
         columns_of = (
             np.ones(m), np.log1p(chars) / 5, _share(letters, chars), _share(count[:, DIGIT], chars), _share(count[:, BLANK], chars),
             _share(count[:, MARK] + count[:, STOP], chars), _share(count[:, SYMBOL], chars), _share(count[:, UPPER], letters),
             _share(per(title), words), np.log1p(words) / 3, np.minimum(_share(self.word_chars, words), 20) / 10,
-            np.minimum(longest, 60) / 30, _share(self.common, words), self.common == 0, in_set(p_tail, _STOPS) & last,
+            np.minimum(longest, 60) / 30, share, self.common == 0, in_set(p_tail, _STOPS) & last,
             in_set(p_tail, _SEPARATORS) & last, ~last, bullet & (rank == 0), (kind[head] == DIGIT) & (rank == 0),
             np.minimum(columns, 6) / 3, np.minimum(_share(signs(DIVIDES), words), 2), np.minimum(signs(ANGLE), 6) / 3,
             _share(per(numeric), words), _share(per(again_5), words), _share(per(again_2), words), few[self.text], again_line,
             np.log1p(self.text_chars[self.text]) / 8, in_text[self.text] == 1, line_length / np.maximum(widest[self.text], 1),
-            (kind[head] == LOWER) & (rank == 0), np.minimum(inner_stops, 4) / 2, _share(per(w_len == 1), words), same_form,
-            _share(one_sign, chars), _share(vowels, letters),
+            lower_first, np.minimum(inner_stops, 4) / 2, _share(per(w_len == 1), words), same_form,
+            _share(one_sign, chars), _share(vowels, letters), near_common, next_lower, runs_on,
         )
         for i, column in enumerate(columns_of):
             f[:, i] = column
