@@ -13,7 +13,8 @@ Defined results
     null keys        a key like any other in aggregates; they match nothing in joins
     repeated rows    all kept; rows equal in ``row_key`` go to the same shard
     empty tables     empty results
-    other columns    kept in joins (a clash of names is an error), ignored in aggregates
+    other columns    kept in joins, those of the other side with the suffix _other where names clash;
+                     ignored in aggregates
 """
 
 from __future__ import annotations
@@ -76,57 +77,72 @@ def _bin(key: Column, bins: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(bins)).cast("int")
 
 
+def _fresh(base: str, *frames: DataFrame) -> str:
+    """``base``, with as many underscores behind it as it takes to be no column of the frames."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while base in taken:
+        base += "_"
+    return base
+
+
 def plan_load(df: DataFrame, key: str, tasks: int | None = None, weight: Column | None = None) -> LoadPlan:
     """A plan from the rows of ``df`` (or the sum of ``weight``, nulls as 0) for each value of ``key``."""
     tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bins = BINS_PER_TASK * tasks
     load = F.sum(F.coalesce(weight, F.lit(0)).cast("double")) if weight is not None else F.count(F.lit(1)).cast("double")
-    rows = df.withColumn("_bin", _bin(F.col(key), bins))
+    at = _bin(F.col(key), bins)
     bin_loads = [0.0] * bins
-    for b, n in rows.groupBy("_bin").agg(load.alias("_n")).collect():  # at most ``bins`` rows
+    for b, n in df.groupBy(at).agg(load).collect():  # at most ``bins`` rows
         bin_loads[b] = max(n, 0.0)
     least = sum(bin_loads) / tasks / SPLIT_AT
     full = [b for b, n in enumerate(bin_loads) if n > least]
     heavy = []
     if full:
-        by_key = rows.where(F.col("_bin").isin(full)).groupBy("_bin", key).agg(load.alias("_n"))
-        for b, k, n in by_key.where(F.col("_n") > least).collect():  # at most SPLIT_AT * tasks rows
+        by_key = df.where(at.isin(full)).groupBy(at.alias("b"), F.col(key).alias("k")).agg(load.alias("n"))
+        for b, k, n in by_key.where(F.col("n") > least).collect():  # at most SPLIT_AT * tasks rows
             heavy.append((k, n))
             bin_loads[b] = max(bin_loads[b] - n, 0.0)
     heavy.sort(key=lambda x: (-x[1], str(x[0])))
     return pack(bin_loads, heavy, tasks, df.schema[key].dataType)
 
 
-def _placed(df: DataFrame, key: str, plan: LoadPlan) -> DataFrame:
-    """Adds ``_tasks`` (of a heavy key, else null) and ``_bin_task``; both tables are bounded by the plan."""
-    spark = df.sparkSession
-    placed = df.withColumn("_bin", _bin(F.col(key), len(plan.bins))).join(
-        F.broadcast(plan.bin_table(spark)), "_bin", "left"
-    )
-    if not plan.shards:
-        return placed.withColumn("_tasks", F.lit(None).cast("array<int>")).drop("_bin")
-    heavy = plan.heavy_table(spark)
-    return placed.join(F.broadcast(heavy), placed[key].eqNullSafe(heavy["_hkey"]), "left").drop("_hkey", "_bin")
+def _placed(df: DataFrame, key: str, plan: LoadPlan, task, name: str) -> DataFrame:
+    """``df`` with the column ``name``, ``task`` (tasks of a heavy key or null, task of the bin), in that partition.
+
+    The plan's tables are broadcast; their sizes are bounded by the plan.
+    """
+    spark, columns = df.sparkSession, df.columns
+    names = {c: _fresh(c, df) for c in ("_bin", "_bin_task", "_hkey", "_tasks")}
+    bins, heavy = plan.bin_table(spark).toDF(names["_bin"], names["_bin_task"]), plan.heavy_table(spark).toDF(names["_hkey"], names["_tasks"])
+    placed = df.withColumn(names["_bin"], _bin(F.col(f"`{key}`"), len(plan.bins))).join(F.broadcast(bins), names["_bin"], "left")
+    tasks = F.lit(None).cast("array<int>")
+    if plan.shards:
+        placed = placed.join(F.broadcast(heavy), placed[f"`{key}`"].eqNullSafe(heavy[names["_hkey"]]), "left")
+        tasks = F.col(names["_tasks"])
+    placed = placed.select(*(f"`{c}`" for c in columns), task(tasks, F.col(names["_bin_task"])).alias(name))
+    return placed.repartitionById(plan.tasks, name)
 
 
-def to_tasks(df: DataFrame, key: str, row_key: list[str], plan: LoadPlan) -> DataFrame:
-    """Each row of ``df`` once, in the partition of its task; adds ``_task``.
+def to_tasks(df: DataFrame, key: str, row_key: list[str], plan: LoadPlan, name: str = "_task") -> DataFrame:
+    """Each row of ``df`` once, in the partition of its task; adds the task as ``name``.
 
     ``row_key`` should tell rows of one key apart: it decides the shard, the same on every run.
     """
-    placed = _placed(df, key, plan)
-    shard = F.pmod(F.xxhash64(*row_key), F.size("_tasks")) + 1
-    task = F.coalesce(F.element_at("_tasks", shard.cast("int")), F.col("_bin_task"))
-    placed = placed.withColumn("_task", task).drop("_tasks", "_bin_task")
-    return placed.repartitionById(plan.tasks, "_task")
 
+    def task(tasks: Column, of_bin: Column) -> Column:
+        shard = F.pmod(F.xxhash64(*row_key), F.size(tasks)) + 1
+        return F.coalesce(F.element_at(tasks, shard.cast("int")), of_bin)
 
-def replicate(df: DataFrame, key: str, plan: LoadPlan) -> DataFrame:
+    return _placed(df, key, plan, task, name)
+
+
+def replicate(df: DataFrame, key: str, plan: LoadPlan, name: str = "_task") -> DataFrame:
     """The matching side: each row of a heavy key once for each task that holds a shard of it."""
-    tasks = F.explode(F.coalesce(F.array_distinct("_tasks"), F.array("_bin_task")))
-    placed = _placed(df.where(F.col(key).isNotNull()), key, plan)
-    placed = placed.withColumn("_task", tasks).drop("_tasks", "_bin_task")
-    return placed.repartitionById(plan.tasks, "_task")
+
+    def task(tasks: Column, of_bin: Column) -> Column:
+        return F.explode(F.coalesce(F.array_distinct(tasks), F.array(of_bin)))
+
+    return _placed(df.where(F.col(f"`{key}`").isNotNull()), key, plan, task, name)
 
 
 def join_balanced(
@@ -138,11 +154,16 @@ def join_balanced(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"how: {how}")
-    if clash := (set(df.columns) & set(other.columns)) - {key}:
-        raise ValueError(f"columns of both sides: {sorted(clash)}")
     plan = plan or plan_load(df.select(key), key)
-    left = to_tasks(df, key, row_key, plan)
-    return left.join(replicate(other, key, plan), ["_task", key], how).drop("_task")
+    own = {c.lower() for c in df.columns}
+    for c in other.columns:
+        if c != key and c.lower() in own:
+            other = other.withColumnRenamed(c, _fresh(f"{c.lower()}_other", df, other))
+    name = _fresh("_task", df, other)
+    left = to_tasks(df, key, row_key, plan, name)
+    joined = left.join(replicate(other, key, plan, name), [name, key], how)
+    rest = [] if how in ("left_semi", "left_anti") else [c for c in other.columns if c != key]
+    return joined.select(*(f"`{c}`" for c in (*df.columns, *rest)))
 
 
 def aggregate_balanced(
@@ -153,7 +174,12 @@ def aggregate_balanced(
     Each task sums its own shards; the shards of a key, at most one row a task, are then summed.
     """
     plan = plan or plan_load(df.select(key), key)
-    inputs = df.select(key, *row_key, *(e.alias(f"_v{i}") for i, e in enumerate(aggregates.values())))
-    shards = to_tasks(inputs, key, row_key, plan)
-    part = shards.groupBy("_task", key).agg(*(F.sum(f"_v{i}").alias(f"_v{i}") for i in range(len(aggregates))))
-    return part.groupBy(key).agg(*(F.sum(f"_v{i}").alias(name) for i, name in enumerate(aggregates)))
+    # the names of the inputs are made here, so they cannot clash with those of ``df``
+    inputs = df.select(
+        F.col(key).alias("k"),
+        *(F.col(c).alias(f"r{i}") for i, c in enumerate(row_key)),
+        *(e.alias(f"v{i}") for i, e in enumerate(aggregates.values())),
+    )
+    shards = to_tasks(inputs, "k", [f"r{i}" for i in range(len(row_key))], plan, "task")
+    part = shards.groupBy("task", "k").agg(*(F.sum(f"v{i}").alias(f"v{i}") for i in range(len(aggregates))))
+    return part.groupBy(F.col("k").alias(key)).agg(*(F.sum(f"v{i}").alias(name) for i, name in enumerate(aggregates)))

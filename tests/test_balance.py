@@ -42,12 +42,20 @@ def test_join(spark, how):
     got = join_balanced(df, other, "key", ["id"], plan_load(df, "key", 8), how)
     want = df.join(other, "key", how)
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
-    with pytest.raises(ValueError):
-        join_balanced(df, df, "key", ["id"])
     with pytest.raises(ValueError):
         join_balanced(df, other, "key", ["id"], how="cross")
 
 
+def test_clashing_names(spark):
+    names = ["id", "key", "_bin", "_TASK", "_tasks", "_bin_task", "_hkey", "b"]
+    df = skewed(spark, 300).select("id", "key", *(F.lit(n).alias(n) for n in names[2:]))
+    other = df.groupBy("key").agg(F.count("*").alias("B"), F.min("id").alias("_task"))
+    got = join_balanced(df, other, "key", ["id"], plan_load(df, "key", 8))
+    assert got.columns == [*names, "b_other", "_task_other"] and got.count() == 300
+    row = got.where("id = 3").first()
+    assert (row.b, row.b_other, row._task_other, row._bin) == ("b", 100, 0, "_bin")
+
+
 def test_aggregate_with_nulls_and_clashing_names(spark):
     df = skewed(spark).withColumn("n", F.when(F.col("id") % 5 > 0, F.col("id"))).withColumn("_bin_", F.lit(1))
     df = df.union(spark.createDataFrame([(5, None, 3, 1)] * 3, "id long, key string, n long, _bin_ int"))
