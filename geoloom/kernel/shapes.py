@@ -177,15 +177,14 @@ def wkb_is_point(raw: bytes) -> bool:
 
 def java_double(v: float) -> str:
     """Shortest digits; an exponent below 1e-3 and from 1e7 on; always a decimal point."""
+    if 1e-3 <= v < 1e7 or -1e7 < v <= -1e-3:
+        return repr(v)  # these always have a point and no exponent
     if v == 0:
         return "-0.0" if math.copysign(1, v) < 0 else "0.0"
     if math.isnan(v):
         return "NaN"
     if math.isinf(v):
         return "Infinity" if v > 0 else "-Infinity"
-    size = abs(v)
-    if 1e-3 <= size < 1e7:
-        return repr(v)  # these always have a point and no exponent
     sign, digits, exponent = Decimal(repr(v)).normalize().as_tuple()
     text = "".join(map(str, digits))
     return f"{'-' * sign}{text[0]}.{text[1:] or '0'}E{exponent + len(text) - 1}"

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.functions.options import ShapeAggRequest, Simplify, output_format
+from geoloom.functions.options import OutputFormat, ShapeAggRequest, Simplify, output_format
 from geoloom.functions.shape_udfs import attributes, render, simplified_wkb
 
 #: Survivors up to this many are sent to every task when sub-aggregates find their rows again.
@@ -62,7 +62,7 @@ def shape_agg(
     size: int = 10,
     shard_size: int = -1,
     simplify: Simplify | dict | None = None,
-    fmt: str = "GEOJSON",
+    fmt: str | OutputFormat = "GEOJSON",
     sub_aggs: dict[str, Column] | None = None,
     shard: str | None = None,
     missing: bytes | None = None,
@@ -128,6 +128,12 @@ def shape_agg(
     )
 
 
+def run_request(df: DataFrame, body: dict, sub_aggs: dict[str, Column] | None = None, shard: str | None = None) -> DataFrame:
+    """``shape_agg`` for the parameters of a mapping: field, output_format, simplify, size, shard_size."""
+    r = ShapeAggRequest.parse(body)
+    return shape_agg(df, r.field, r.size, r.shard_size, r.simplify, r.output_format, sub_aggs, shard)
+
+
 def result_json(buckets: DataFrame) -> DataFrame:
     """One row, ``json``: {"sum_other_doc_count": ..., "buckets": [...]} of a result of ``shape_agg``."""
     names = [c for c in buckets.columns if c != "sum_other_doc_count"]

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -12,24 +10,12 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets workers import the package, wherever the driver was started.
+    """Puts the package's folder on the workers' path, wherever the driver was started.
 
-    Workers on the driver's machine get the package's folder on their path. In other sessions than
-    local ones the package is also added to the context, once, so that it reaches every executor.
+    That serves workers that see this folder. On other clusters the package is installed, or sent
+    along with ``--py-files``.
     """
-    context = spark.sparkContext
-    path = context.environment.get("PYTHONPATH", "")
+    environment = spark.sparkContext.environment
+    path = environment.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
-        context.environment["PYTHONPATH"] = os.pathsep.join(p for p in (ROOT, path) if p)
-    if context.master.startswith("local[") or context.master == "local" or getattr(context, "_geoloom_shipped", False):
-        return
-    package = os.path.join(ROOT, "geoloom")
-    archive = os.path.join(tempfile.mkdtemp(), "geoloom.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for folder, _, names in os.walk(package):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, ROOT))
-    context.addPyFile(archive)
-    context._geoloom_shipped = True
+        environment["PYTHONPATH"] = os.pathsep.join(p for p in (ROOT, path) if p)

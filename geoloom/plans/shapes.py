@@ -19,7 +19,7 @@ from geoloom.functions.shape_udfs import (
     wkb_to_wkt,
 )
 from geoloom.operators.enrich import enrich
-from geoloom.operators.shape_agg import result_json, shape_agg
+from geoloom.operators.shape_agg import result_json, run_request, shape_agg
 from geoloom.operators.simplify import compile_script, geo_simplify
 from geoloom.plans import fixtures
 from geoloom.plans.lineage import shared_folder
@@ -191,6 +191,17 @@ def agg_topn_perimeter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape_agg(fixtures.square_wkb(spark, sf_dir), "wkb", fmt="wkb").drop("digest")
 
 
+@query(
+    _SQUARES
+    + f"""SELECT {_HEX} AS key, n AS doc_count, (SELECT count(*) FROM s) - sum(n) OVER () AS sum_other_doc_count
+FROM (SELECT * FROM g ORDER BY a DESC LIMIT 3)"""
+)
+def agg_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same aggregation, asked for by a mapping; one key of ``simplify`` alone simplifies nothing."""
+    body = {"field": "wkb", "output_format": "wkb", "size": 3, "shard_size": 7, "simplify": {"zoom": 5}}
+    return run_request(fixtures.square_wkb(spark, sf_dir), body).select("key", "doc_count", "sum_other_doc_count")
+
+
 @query(_SQUARES + "SELECT (SELECT count(*) FROM s) - (SELECT n FROM g ORDER BY a DESC LIMIT 1) AS sum_other_doc_count")
 def agg_sum_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape_agg(fixtures.square_wkb(spark, sf_dir), "wkb", size=1, shard_size=10).select("sum_other_doc_count")
