@@ -106,15 +106,26 @@ class _Segments:
             return _mix(content + salt * np.uint64(3), kind)
 
 
-def _batch(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, sizes, and the tokens end to end."""
-    lists = batch.column(1)
-    return batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+#: Tokens that a task works on at once; a larger set is a part of its own.
+PART_TOKENS = 1 << 20
 
 
-def _entries(batch: pa.RecordBatch, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, sizes, and the tokens end to end, of parts of the batches."""
+    for batch in batches:
+        ids, lists = batch.column(0).to_numpy(), batch.column(1)
+        upto = lists.offsets.to_numpy().astype(np.int64)
+        tokens = lists.values.to_numpy()
+        at = 0
+        while at < len(ids):
+            to = max(at + 1, int(np.searchsorted(upto, upto[at] + PART_TOKENS, "right")) - 1)
+            yield ids[at:to], np.diff(upto[at : to + 1]), tokens[upto[at] : upto[to]]
+            at = to
+
+
+def _entries(part: tuple, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of the index and the ids that they belong to."""
-    ids, sizes, tokens = _batch(batch)
+    ids, sizes, tokens = part
     owner = np.repeat(np.arange(len(ids)), sizes)
     s = _Segments(tokens, owner, np.searchsorted(bands.lows, sizes, "right") - 1, bands)
     sig = np.concatenate([s.equal, s.less_within[s.shrinks]])
@@ -128,9 +139,9 @@ def _cells(sig: np.ndarray, cells: int) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch], bands: Bands, cells: int) -> Iterator[pa.RecordBatch]:
     """One task's sketch of the index, as rows of the cells that are not 0."""
     sketch = np.zeros(cells, np.int32)
-    for batch in batches:
-        if batch.num_rows:
-            sketch += np.bincount(_cells(_entries(batch, bands)[0], cells), minlength=cells).astype(np.int32)
+    for part in _parts(batches):
+        cell, n = np.unique(_cells(_entries(part, bands)[0], cells), return_counts=True)
+        sketch[cell] += n.astype(np.int32)
     used = np.flatnonzero(sketch)
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sketch[used].astype(np.int64))], ["cell", "n"])
 
@@ -138,22 +149,18 @@ def _count(batches: Iterator[pa.RecordBatch], bands: Bands, cells: int) -> Itera
 def _index(batches: Iterator[pa.RecordBatch], bands: Bands, cells: int, wanted) -> Iterator[pa.RecordBatch]:
     """The index, without what lies in cells that nothing looks up."""
     bits = wanted.value
-    for batch in batches:
-        if batch.num_rows:
-            sig, id_ = _entries(batch, bands)
-            cell = _cells(sig, cells)
-            met = np.flatnonzero((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1)
-            yield pa.RecordBatch.from_arrays([pa.array(sig[met].view(np.int64)), pa.array(id_[met])], ["sig", "id"])
+    for part in _parts(batches):
+        sig, id_ = _entries(part, bands)
+        cell = _cells(sig, cells)
+        met = np.flatnonzero((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1)
+        yield pa.RecordBatch.from_arrays([pa.array(sig[met].view(np.int64)), pa.array(id_[met])], ["sig", "id"])
 
 
 def _look_up(batches: Iterator[pa.RecordBatch], bands: Bands, sketch) -> Iterator[pa.RecordBatch]:
     """Signatures that each set looks up; sets that cannot place their units come with a null."""
     counts = sketch.value
     lows, t = bands.lows, bands.threshold
-    for batch in batches:
-        ids, sizes, tokens = _batch(batch)
-        if not len(ids):
-            continue
+    for ids, sizes, tokens in _parts(batches):
         starts = np.cumsum(sizes) - sizes
         own_band = np.searchsorted(lows, sizes, "right") - 1
         least_band = np.searchsorted(lows, np.maximum(1, np.ceil(t * sizes - 1e-9)), "right") - 1

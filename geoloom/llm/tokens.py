@@ -18,6 +18,7 @@ Defined results
 
 from __future__ import annotations
 
+import base64
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -109,27 +110,17 @@ SELECT word, list(tok ORDER BY pos) AS ids FROM steps WHERE NOT open GROUP BY wo
 
 
 class BpeEncoder:
-    """The vocabulary of a byte-level BPE file in the JSON form of the tokenizers library."""
+    """A byte-level BPE vocabulary: a JSON file of the tokenizers library, or a rank file (``.tiktoken``)."""
 
     def __init__(self, path: str):
         import duckdb
 
-        model = json.loads(open(path, encoding="utf-8").read())["model"]
-        vocab, merges = model["vocab"], model["merges"]
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-        hidden = [b for b in range(256) if b not in set(shown)]
-        sign = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.byte_id = np.array([vocab[sign[b]] for b in range(256)], np.int32)
-        self._byte = {s: b for b, s in sign.items()}
-        self._vocab = vocab
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
+        self._bytes, pairs = _rank_file(path) if path.endswith(".tiktoken") else _json_file(path)
+        ids = {b: i for i, b in self._bytes.items()}
+        self.byte_id = np.array([ids[bytes([b])] for b in range(256)], np.int32)
+        a, b, rank, made = zip(*pairs)
         table = pa.table(
-            {
-                "a": pa.array([vocab[a] for a, _ in pairs], pa.int32()),
-                "b": pa.array([vocab[b] for _, b in pairs], pa.int32()),
-                "rank": pa.array(range(len(pairs)), pa.int64()),
-                "made": pa.array([vocab[a + b] for a, b in pairs], pa.int32()),
-            }
+            {"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "rank": pa.array(rank, pa.int64()), "made": pa.array(made, pa.int32())}
         )
         self._db = duckdb.connect(config={"threads": 1})
         self._db.register("merges_in", table)
@@ -202,9 +193,31 @@ class BpeEncoder:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids."""
-        if not hasattr(self, "_text"):
-            self._text = {i: s for s, i in self._vocab.items()}
-        return bytes(self._byte[c] for i in ids for c in self._text[i]).decode("utf-8", "replace")
+        return b"".join(self._bytes[i] for i in ids).decode("utf-8", "replace")
+
+
+def _json_file(path: str) -> tuple[dict[int, bytes], list[tuple[int, int, int, int]]]:
+    """The bytes of each id, and the merges as (left, right, rank, made)."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab = model["vocab"]
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    pairs = [(vocab[a], vocab[b], rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)]
+    # special tokens are written with signs that stand for no byte
+    return {i: bytes(byte.get(c, 0) for c in s) for s, i in vocab.items()}, pairs
+
+
+def _rank_file(path: str) -> tuple[dict[int, bytes], list[tuple[int, int, int, int]]]:
+    """The same of a rank file: any two tokens that make up a third may merge, at the third's rank."""
+    with open(path, "rb") as f:
+        ids = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    pairs = [
+        (ids[t[:k]], ids[t[k:]], i, i) for t, i in ids.items() for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids
+    ]
+    return {i: t for t, i in ids.items()}, pairs
 
 
 def _offsets(texts: pa.Array) -> np.ndarray:

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,15 @@ def test_nothing_comes_of_nothing(spark):
     assert none.members.count() == 0 and none.links.count() == 0
 
 
+def test_small_parts(spark, monkeypatch):
+    from geoloom.llm import near_sets as module
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([[5, 6], [7], [8, 9, 10]], pa.list_(pa.int64()))], ["cid", "tokens"])
+    monkeypatch.setattr(module, "PART_TOKENS", 3)
+    parts = [[x.tolist() for x in p] for p in module._parts(iter([batch.slice(0, 0), batch, batch.slice(1)]))]
+    assert parts == [[[1, 2], [2, 1], [5, 6, 7]], [[3], [3], [8, 9, 10]], [[2], [1], [7]], [[3], [3], [8, 9, 10]]]
+
+
 def test_bands():
     bands = Bands(0.7, 1000)
     assert (np.diff(bands.lows) > 0).all() and bands.lows[-1] > 1000

@@ -46,6 +46,22 @@ def test_texts_as_the_library_has_them(texts):
     assert [encoder(vocabulary()).decode(g) for g in got] == texts
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
+def test_rank_files(name):
+    tiktoken = pytest.importorskip("tiktoken")
+    import base64
+
+    import public_tokenizers
+
+    path = vocabulary(name)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    peer = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [*SPECIAL, "Die Sitzung ist eröffnet. Η συνεδρίαση αρχίζει, y así se aprobó; l'été déjà."]
+    got = encoder(path).encode(pa.array(texts)).to_pylist()
+    assert got == [peer.encode_ordinary(t) for t in texts]
+    assert [encoder(path).decode(g) for g in got] == texts
+
+
 def test_table(spark):
     rows = [(1, None, 5), (2, "", 5), (3, "Hello  world", 5), (4, "word " * 30_000, 5), (3, "Hello  world", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, tokens int")
