@@ -110,26 +110,47 @@ class _Segments:
 PART_TOKENS = 1 << 20
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Ids, sizes, and the tokens end to end, of parts of the batches."""
+@dataclass
+class _Part:
+    """Sets of a batch: ids, least and greatest weights, sizes, and the tokens end to end."""
+
+    ids: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    sizes: np.ndarray
+    tokens: np.ndarray
+
+    def rows(self, sig: np.ndarray, at: np.ndarray, known: np.ndarray | None = None) -> pa.RecordBatch:
+        """A row for each signature, with what is known of the set ``at`` which it belongs."""
+        columns = (sig.view(np.int64), self.ids[at], self.sizes[at], self.lo[at], self.hi[at])
+        first, *rest = (pa.array(c) for c in columns)
+        if known is not None:
+            first = pa.array(columns[0], mask=~known)
+        return pa.RecordBatch.from_arrays([first, *rest], ["sig", "cid", "n", "lo", "hi"])
+
+
+_ROW = "sig long, cid long, n long, lo double, hi double"
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[_Part]:
+    """Batches of (cid, lo, hi, tokens) in parts of PART_TOKENS tokens at most."""
     for batch in batches:
-        ids, lists = batch.column(0).to_numpy(), batch.column(1)
+        ids, lo, hi = (batch.column(i).to_numpy() for i in range(3))
+        lists = batch.column(3)
         upto = lists.offsets.to_numpy().astype(np.int64)
         tokens = lists.values.to_numpy()
         at = 0
         while at < len(ids):
             to = max(at + 1, int(np.searchsorted(upto, upto[at] + PART_TOKENS, "right")) - 1)
-            yield ids[at:to], np.diff(upto[at : to + 1]), tokens[upto[at] : upto[to]]
+            yield _Part(ids[at:to], lo[at:to], hi[at:to], np.diff(upto[at : to + 1]), tokens[upto[at] : upto[to]])
             at = to
 
 
-def _entries(part: tuple, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the index and the ids that they belong to."""
-    ids, sizes, tokens = part
-    owner = np.repeat(np.arange(len(ids)), sizes)
-    s = _Segments(tokens, owner, np.searchsorted(bands.lows, sizes, "right") - 1, bands)
-    sig = np.concatenate([s.equal, s.less_within[s.shrinks]])
-    return sig, np.concatenate([ids[s.owner], ids[s.owner[s.of[s.shrinks]]]])
+def _entries(part: _Part, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the index, and the positions of the sets that they belong to."""
+    owner = np.repeat(np.arange(len(part.ids)), part.sizes)
+    s = _Segments(part.tokens, owner, np.searchsorted(bands.lows, part.sizes, "right") - 1, bands)
+    return np.concatenate([s.equal, s.less_within[s.shrinks]]), np.concatenate([s.owner, s.owner[s.of[s.shrinks]]])
 
 
 def _cells(sig: np.ndarray, cells: int) -> np.ndarray:
@@ -150,21 +171,22 @@ def _index(batches: Iterator[pa.RecordBatch], bands: Bands, cells: int, wanted)
     """The index, without what lies in cells that nothing looks up."""
     bits = wanted.value
     for part in _parts(batches):
-        sig, id_ = _entries(part, bands)
+        sig, at = _entries(part, bands)
         cell = _cells(sig, cells)
         met = np.flatnonzero((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1)
-        yield pa.RecordBatch.from_arrays([pa.array(sig[met].view(np.int64)), pa.array(id_[met])], ["sig", "id"])
+        yield part.rows(sig[met], at[met])
 
 
 def _look_up(batches: Iterator[pa.RecordBatch], bands: Bands, sketch) -> Iterator[pa.RecordBatch]:
     """Signatures that each set looks up; sets that cannot place their units come with a null."""
     counts = sketch.value
     lows, t = bands.lows, bands.threshold
-    for ids, sizes, tokens in _parts(batches):
+    for part in _parts(batches):
+        sizes, tokens = part.sizes, part.tokens
         starts = np.cumsum(sizes) - sizes
         own_band = np.searchsorted(lows, sizes, "right") - 1
         least_band = np.searchsorted(lows, np.maximum(1, np.ceil(t * sizes - 1e-9)), "right") - 1
-        sigs, found_ids, short = [], [], []
+        sigs, found, short = [], [], []
         for down in range(int((own_band - least_band).max()) + 1):
             here = np.flatnonzero(own_band - down >= least_band)
             n, band = sizes[here], own_band[here] - down
@@ -189,14 +211,11 @@ def _look_up(batches: Iterator[pa.RecordBatch], bands: Bands, sketch) -> Iterato
             is_both[both] = True
             one, both, spread = one[equal[one] > 0], both[within[both] > 0], np.flatnonzero(is_both[s.of] & (less > 0))
             sigs += [s.equal[one], s.within[both], s.less_equal[spread]]
-            found_ids += [ids[here[s.owner[x]]] for x in (one, both, s.of[spread])]
-            short.append(ids[here[have < need]])
+            found += [here[s.owner[x]] for x in (one, both, s.of[spread])]
+            short.append(here[have < need])
         lost = np.unique(np.concatenate(short))
-        sig = np.concatenate(sigs).view(np.int64)
-        id_ = np.concatenate([*found_ids, lost])
-        null = np.arange(len(id_)) >= len(sig)
-        sig = pa.array(np.append(sig, np.zeros(len(lost), np.int64)), mask=null)
-        yield pa.RecordBatch.from_arrays([sig, pa.array(id_)], ["sig", "id"])
+        sig = np.concatenate([*sigs, np.zeros(len(lost), np.uint64)])
+        yield part.rows(sig, np.concatenate([*found, lost]), np.arange(len(sig)) < len(sig) - len(lost))
 
 
 @dataclass
@@ -229,39 +248,33 @@ def near_sets(df: DataFrame, id_column: str, tokens: Column, threshold: float, m
     bands = Bands(threshold, largest or 1)
     cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (4 * (total or 1)).bit_length()))
 
-    context, sets = df.sparkSession.sparkContext, classes.select("cid", "tokens")
+    context, sets = df.sparkSession.sparkContext, classes.select("cid", "lo", "hi", "tokens")
     held = sets.mapInArrow(lambda it: _count(it, bands, cells), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(cells, np.int32)
     counts[held.column("cell").to_numpy()] = np.minimum(held.column("n").to_numpy(), np.iinfo(np.int32).max)
     sketch = context.broadcast(counts)
-    look = cut(sets.mapInArrow(lambda it: _look_up(it, bands, sketch), "sig long, id long").distinct())
+    look = cut(sets.mapInArrow(lambda it: _look_up(it, bands, sketch), _ROW))
+    probes, short = look.where("sig IS NOT NULL"), look.where("sig IS NULL").select("cid")
     met = np.zeros(cells // 8, np.uint8)
     cell = F.col("sig").bitwiseAND(F.lit(cells - 1)).cast("int").alias("cell")
-    hit = look.where("sig IS NOT NULL").select(cell).distinct().toArrow().column("cell").to_numpy()  # at most ``cells`` rows
+    hit = probes.select(cell).distinct().toArrow().column("cell").to_numpy()  # at most ``cells`` rows
     np.bitwise_or.at(met, hit >> 3, (1 << (hit & 7)).astype(np.uint8))
     wanted = context.broadcast(met)
-    index = sets.mapInArrow(lambda it: _index(it, bands, cells, wanted), "sig long, id long")
-
-    facts = classes.select("cid", "n", "lo", "hi")
-    probes = look.where("sig IS NOT NULL").join(facts.withColumnRenamed("cid", "id"), "id")
-    entries = index.join(facts.withColumnRenamed("cid", "id"), "id")
+    index = sets.mapInArrow(lambda it: _index(it, bands, cells, wanted), _ROW)
 
     def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-        a = left.select("sig", F.struct(F.col("id").alias("cid"), "n", "lo", "hi").alias("a"))
-        b = right.select("sig", F.struct(F.col("id").alias("cid"), "n", "lo", "hi").alias("b"))
+        a, b = (side.select("sig", F.struct("cid", "n", "lo", "hi").alias(name)) for side, name in ((left, "a"), (right, "b")))
         worth = (F.struct("a.n", "a.cid") > F.struct("b.n", "b.cid")) & (F.col("b.n") >= F.col("a.n") * threshold - 1e-9)
         if mate is not None:
             worth &= mate
         return a.join(b, "sig").where(worth).select(F.col("a.cid").alias("x"), F.col("b.cid").alias("y"))
 
-    candidates = pairs(probes, entries)
-    short = look.where("sig IS NULL").select("id")
+    candidates = pairs(probes, index)
     if not short.isEmpty():
         # any partner shares more tokens than these leave out
         some = F.slice("tokens", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
-        lone = classes.join(short.withColumnRenamed("id", "cid"), "cid", "left_semi")
-        lone = lone.select(F.explode(some).alias("sig"), F.col("cid").alias("id"), "n", "lo", "hi")
-        every = classes.select(F.explode("tokens").alias("sig"), F.col("cid").alias("id"), "n", "lo", "hi")
+        lone = classes.join(short, "cid", "left_semi").select(F.explode(some).alias("sig"), "cid", "n", "lo", "hi")
+        every = classes.select(F.explode("tokens").alias("sig"), "cid", "n", "lo", "hi")
         candidates = candidates.union(pairs(lone, every))
     candidates = candidates.distinct()
 

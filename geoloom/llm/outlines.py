@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from geoloom.kernel.shapes import ShapeError, parse, vertices
 from geoloom.llm.near_sets import NearSets, near_sets
+from geoloom.operators.balance import join_balanced
 from geoloom.plans.lineage import cut
 from geoloom.sources.tables import first_delivery
 
@@ -68,20 +69,30 @@ def near_outlines(
 
 
 def outline_pairs(near: NearSets, area_ratio: float = 0.9) -> DataFrame:
-    """Pairs (a_id, b_id), smaller first, of linked or equal outlines whose areas agree."""
+    """Pairs (a_id, b_id), smaller first, of linked or equal outlines whose areas agree.
+
+    Members of two classes only meet where their areas may agree, by buckets of the logarithm, and
+    classes with many members are split over tasks.
+    """
     step = -math.log(area_ratio) if area_ratio < 1 else 1e-12
-    bucket = F.floor(F.log("w") / step)
-    members = cut(near.members.select("id", "w", "class_id", "key", bucket.alias("bucket")))
-    left = members.select(
-        F.col("id").alias("l"), F.col("w").alias("lw"), F.col("class_id").alias("a_class"), F.col("key").alias("a_key"),
-        F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket"),
-    )
-    right = members.select(
-        F.col("id").alias("r"), F.col("w").alias("rw"), F.col("class_id").alias("b_class"), F.col("key").alias("b_key"), "bucket"
-    )
-    agree = F.least("lw", "rw") / F.greatest("lw", "rw") >= area_ratio
-    same = left.withColumnsRenamed({"a_class": "b_class", "a_key": "b_key"}).join(right, ["b_class", "b_key", "bucket"])
-    same = same.where(F.col("l") < F.col("r")).where(agree).select("l", "r")
-    across = left.join(near.links, ["a_class", "a_key"]).join(right, ["b_class", "b_key", "bucket"])
-    across = across.where(agree & (F.col("l") != F.col("r"))).select("l", "r")
-    return same.union(across).select(F.least("l", "r").alias("a_id"), F.greatest("l", "r").alias("b_id"))
+    bucket = F.floor(F.log("w") / step).alias("bucket")
+    members = cut(near.members.select("id", "w", "class_id", "key", bucket))
+    links = cut(near.links.select("a_class", "a_key", "b_class", "b_key"))
+    agree = (F.least("lw", "rw") / F.greatest("lw", "rw") >= area_ratio) & (F.col("l") != F.col("r"))
+
+    def meet(left: DataFrame) -> DataFrame:
+        """(l, r) of the left members and the members of their class b_class, b_key."""
+        near_by = F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("l_bucket")
+        left = left.select("l", "lw", F.col("b_class").alias("l_class"), F.col("b_key").alias("l_key"), near_by)
+        left = left.withColumn("at", F.xxhash64("l_class", "l_key", "l_bucket"))
+        right = members.select(F.col("id").alias("r"), F.col("w").alias("rw"), "class_id", "key", "bucket")
+        right = right.withColumn("at", F.xxhash64("class_id", "key", "bucket"))
+        same = (F.col("l_class") == F.col("class_id")) & (F.col("l_key") == F.col("key")) & (F.col("l_bucket") == F.col("bucket"))
+        return join_balanced(left, right, "at", ["l"]).where(same & agree).select("l", "r")
+
+    own = members.select(F.col("id").alias("l"), F.col("w").alias("lw"), F.col("class_id").alias("b_class"), F.col("key").alias("b_key"), "bucket")
+    within = meet(own).where("l < r")
+    left = own.withColumnsRenamed({"b_class": "l_class", "b_key": "l_key"}).withColumn("at", F.xxhash64("l_class", "l_key"))
+    linked = join_balanced(left, links.withColumn("at", F.xxhash64("a_class", "a_key")), "at", ["l"])
+    linked = linked.where("l_class = a_class AND l_key = a_key").select("l", "lw", "b_class", "b_key", "bucket")
+    return within.union(meet(cut(linked))).select(F.least("l", "r").alias("a_id"), F.greatest("l", "r").alias("b_id"))

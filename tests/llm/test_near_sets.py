@@ -77,10 +77,12 @@ def test_nothing_comes_of_nothing(spark):
 def test_small_parts(spark, monkeypatch):
     from geoloom.llm import near_sets as module
 
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([[5, 6], [7], [8, 9, 10]], pa.list_(pa.int64()))], ["cid", "tokens"])
+    lists = pa.array([[5, 6], [7], [8, 9, 10]], pa.list_(pa.int64()))
+    zeros = pa.array([0.0, 0.0, 0.0])
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), zeros, zeros, lists], ["cid", "lo", "hi", "tokens"])
     monkeypatch.setattr(module, "PART_TOKENS", 3)
-    parts = [[x.tolist() for x in p] for p in module._parts(iter([batch.slice(0, 0), batch, batch.slice(1)]))]
-    assert parts == [[[1, 2], [2, 1], [5, 6, 7]], [[3], [3], [8, 9, 10]], [[2], [1], [7]], [[3], [3], [8, 9, 10]]]
+    parts = [(p.ids.tolist(), p.sizes.tolist(), p.tokens.tolist()) for p in module._parts(iter([batch.slice(0, 0), batch, batch.slice(1)]))]
+    assert parts == [([1, 2], [2, 1], [5, 6, 7]), ([3], [3], [8, 9, 10]), ([2], [1], [7]), ([3], [3], [8, 9, 10])]
 
 
 def test_bands():
