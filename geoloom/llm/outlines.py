@@ -62,8 +62,9 @@ def near_outlines(
     """Classes of outlines with the same vertices, and links between classes of similar vertices."""
     usable = df.select(F.col(id_column).cast("long").alias("id"), F.col(shape).alias("shape"), F.col(area).cast("double").alias("area"))
     usable = usable.where("shape IS NOT NULL AND area > 0 AND area < double('Infinity')")
-    once = first_delivery(usable, "id", "shape", "area")
-    tokens = once.mapInArrow(lambda it: _tokens(it, decimals), "id long, tokens array<long>, _weight double")
+    # numbers are less to move than texts, so deliveries are matched behind the reading
+    tokens = usable.mapInArrow(lambda it: _tokens(it, decimals), "id long, tokens array<long>, _weight double")
+    tokens = first_delivery(tokens, "id", "tokens", "_weight")
     mate = (F.col("a.lo") <= F.col("b.hi") / area_ratio) & (F.col("b.lo") <= F.col("a.hi") / area_ratio)
     return near_sets(tokens, "id", F.col("tokens"), similarity, mate)
 
