@@ -48,7 +48,7 @@ def test_pack_rows(spark, capacity):
     rng = np.random.default_rng(capacity)
     sizes = np.concatenate([rng.integers(0, 40, 300), np.full(150, 7), [200, 64, 10]]).tolist()  # a third of one size
     rows = [(i, s) for i, s in enumerate(sizes)] + [(9000, None), (1, 5)]
-    df = spark.createDataFrame(rows, "id long, size int").repartition(5)
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "id long, size int, container int, part int").repartition(5)
     got = pack(df, capacity).collect()
     held, used = {}, {}
     for r in got:
