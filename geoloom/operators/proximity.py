@@ -213,11 +213,16 @@ def near_points(points: DataFrame, radius: float, most_in_tile: int = 1 << 20) -
 
 
 def point_pairs(near: NearPoints) -> DataFrame:
-    """Pairs (a_id, b_id) of different points, smaller first, within the radius."""
-    members = cut(near.members)
-    left, right = members.select(F.col("id").alias("l"), F.col("place").alias("a")), members.select(F.col("id").alias("r"), F.col("place").alias("b"))
-    same = left.join(right, left["a"] == right["b"]).where(F.col("l") < F.col("r")).select("l", "r")
-    across = near.links.join(left, "a").join(right, "b").select("l", "r")
+    """Pairs (a_id, b_id) of different points, smaller first, within the radius.
+
+    Places with many points are split over tasks.
+    """
+    members, links = cut(near.members), cut(near.links)
+    left = members.select(F.col("id").alias("l"), F.col("place").alias("a"))
+    right = members.select(F.col("id").alias("r"), F.col("place").alias("b"))
+    same = join_balanced(left, right.withColumnRenamed("b", "a"), "a", ["l"]).where("l < r").select("l", "r")
+    linked = cut(join_balanced(left, links, "a", ["l"]).select("l", "b"))
+    across = join_balanced(linked, right, "b", ["l"]).select("l", "r")
     return same.union(across).select(F.least("l", "r").alias("a_id"), F.greatest("l", "r").alias("b_id"))
 
 

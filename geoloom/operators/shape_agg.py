@@ -28,6 +28,9 @@ from geoloom.functions.shape_udfs import attributes, render, simplified_wkb
 #: Survivors up to this many are sent to every task when sub-aggregates find their rows again.
 MOST_BROADCAST = 100_000
 
+#: Names that sub-aggregates cannot have.
+_RESERVED = {"key", "digest", "type", "doc_count", "sum_other_doc_count", "wkb", "perimeter", "out", "_a", "_n", "_s"}
+
 _RANKING = (F.desc, "perimeter"), (F.desc, "doc_count"), (F.asc, "wkb")
 
 
@@ -75,7 +78,7 @@ def shape_agg(
     """
     request = ShapeAggRequest(field, output_format(fmt), Simplify.parse(simplify), size, shard_size)
     subs = sub_aggs or {}
-    if clash := set(subs) & {"key", "digest", "type", "doc_count", "sum_other_doc_count"}:
+    if clash := {n for n in subs if n.lower() in _RESERVED}:
         raise ValueError(f"names of sub-aggregates: {sorted(clash)}")
     if not _has(df, field):
         nothing = df.limit(0).agg(F.count(F.lit(1)).alias("doc_count"), *(e.alias(n) for n, e in subs.items()))
