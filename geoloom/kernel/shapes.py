@@ -93,7 +93,7 @@ def checked(shape: Shape) -> Shape:
 
 
 def decode_wkb(raw: bytes) -> Shape:
-    """Of either byte order; raises ShapeError on anything else."""
+    """Of either byte order, with or without SRID and further ordinates; raises ShapeError on anything else."""
     try:
         shape, at = _read_wkb(raw, 0)
     except (struct.error, IndexError, MemoryError) as e:
@@ -101,32 +101,37 @@ def decode_wkb(raw: bytes) -> Shape:
     return shape
 
 
-def _read_points(raw: bytes, at: int, n: int, order: str) -> tuple[list, int]:
-    if n < 0 or at + 16 * n > len(raw):
+def _read_points(raw: bytes, at: int, n: int, order: str, width: int) -> tuple[list, int]:
+    end = at + 8 * width * n
+    if n < 0 or end > len(raw):
         raise ShapeError("truncated WKB")
-    flat = struct.unpack_from(f"{order}{2 * n}d", raw, at)
-    return list(zip(flat[0::2], flat[1::2])), at + 16 * n
+    flat = struct.unpack_from(f"{order}{width * n}d", raw, at)
+    return list(zip(flat[0::width], flat[1::width])), end
 
 
 def _read_wkb(raw: bytes, at: int) -> tuple[Shape, int]:
     order = ">" if raw[at] == 0 else "<"
-    kind = struct.unpack_from(order + "I", raw, at + 1)[0]
+    code = struct.unpack_from(order + "I", raw, at + 1)[0]
     at += 5
+    # a third and fourth ordinate and an SRID, as flags or in the thousands of the code
+    kind, more = (code & 0xFFFF) % 1000, (code & 0xFFFF) // 1000
+    width = 2 + (bool(code & 0x80000000) or more in (1, 3)) + (bool(code & 0x40000000) or more in (2, 3))
+    at += 4 * bool(code & 0x20000000)
+    if kind not in TYPE_NAMES or more > 3:
+        raise ShapeError(f"WKB kind {code}")
     if kind == POINT:
-        (p,), at = _read_points(raw, at, 1, order)
+        (p,), at = _read_points(raw, at, 1, order, width)
         return (POINT, None if math.isnan(p[0]) and math.isnan(p[1]) else p), at
-    if kind not in TYPE_NAMES:
-        raise ShapeError(f"WKB kind {kind}")
     n = struct.unpack_from(order + "I", raw, at)[0]
     at += 4
     if kind == LINE:
-        points, at = _read_points(raw, at, n, order)
+        points, at = _read_points(raw, at, n, order, width)
         return checked((LINE, points)), at
     data = []
     if kind == POLYGON:
         for _ in range(n):
             m = struct.unpack_from(order + "I", raw, at)[0]
-            ring, at = _read_points(raw, at + 4, m, order)
+            ring, at = _read_points(raw, at + 4, m, order, width)
             data.append(ring)
         return checked((POLYGON, data)), at
     for _ in range(n):
@@ -286,10 +291,22 @@ def _common_wkt(text: str) -> Shape | None:
             data = [_parts_of(f"({part.strip()})") for part in _BETWEEN_POLYGONS.split(body[1:-1].strip()[1:-1])]
     except (ValueError, IndexError):
         return None
-    return checked((kind, data))
+    return _closed((kind, data))
+
+
+def _closed(shape: Shape) -> Shape:
+    """Rings that are left open are closed."""
+    kind, data = shape
+    if kind in (POLYGON, MULTI_POLYGON):
+        for polygon in [data] if kind == POLYGON else data:
+            for ring in polygon:
+                if ring and ring[0] != ring[-1]:
+                    ring.append(ring[0])
+    return checked(shape)
 
 
 def parse_wkt(text: str) -> Shape:
+    """Of the kinds known, in any letter case; rings that are left open are closed."""
     text = text.strip()
     if shape := _common_wkt(text):
         return shape
@@ -375,7 +392,7 @@ class _WktReader:
             MULTI_POLYGON: lambda: self.several(self.rings),
             COLLECTION: lambda: self.several(self.shape),
         }[kind]
-        return checked((kind, read()))
+        return _closed((kind, read()))
 
 
 # --- GeoJSON -----------------------------------------------------------------------------------

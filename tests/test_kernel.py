@@ -150,6 +150,26 @@ def test_bad_texts(text):
         parse(text)
 
 
+def test_open_rings_are_closed():
+    for text in ("POLYGON ((0 0, 1 0, 1 1))", "polygon((0 0,1 0,1 1))", '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1]]]}'):
+        assert to_wkt(parse(text)) == "POLYGON ((0 0, 1 0, 1 1, 0 0))"
+
+
+def test_further_ordinates_are_left_out():
+    import struct
+
+    three = struct.pack("<3d", 1, 2, 9)
+    for raw in (
+        b"\x01" + struct.pack("<I", 0x80000001) + three,
+        b"\x01" + struct.pack("<I", 1001) + three,
+        b"\x01" + struct.pack("<I", 0xA0000001) + struct.pack("<I", 4326) + three,
+        b"\x01" + struct.pack("<I", 3001) + struct.pack("<4d", 1, 2, 9, 9),
+        b"\x00" + struct.pack(">I", 2001) + struct.pack(">3d", 1, 2, 9),
+    ):
+        assert decode_wkb(raw) == (POINT, (1, 2)) and not wkb_is_point(raw)
+    assert parse("POINT Z (1 2 3)") == parse("POINT (1 2 3)") == (POINT, (1, 2))
+
+
 @pytest.mark.parametrize("raw", [b"", b"\x01", bytes.fromhex("0101000000FF"), bytes.fromhex("0163000000"), bytes.fromhex("01030000000100000005000000")])
 def test_bad_bytes(raw):
     with pytest.raises(ShapeError):
