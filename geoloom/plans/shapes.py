@@ -184,7 +184,7 @@ def stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _SQUARES
-    + f"""SELECT {_HEX} AS key, 'Polygon' AS type, n AS doc_count, (SELECT count(*) FROM s) - sum(n) OVER () AS sum_other_doc_count
+    + f"""SELECT {_HEX} AS key, 'Polygon' AS type, n AS doc_count, ((SELECT count(*) FROM s) - sum(n) OVER ())::BIGINT AS sum_other_doc_count
 FROM (SELECT * FROM g ORDER BY a DESC LIMIT 10)"""
 )
 def agg_topn_perimeter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +193,7 @@ def agg_topn_perimeter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _SQUARES
-    + f"""SELECT {_HEX} AS key, n AS doc_count, (SELECT count(*) FROM s) - sum(n) OVER () AS sum_other_doc_count
+    + f"""SELECT {_HEX} AS key, n AS doc_count, ((SELECT count(*) FROM s) - sum(n) OVER ())::BIGINT AS sum_other_doc_count
 FROM (SELECT * FROM g ORDER BY a DESC LIMIT 3)"""
 )
 def agg_request(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,8 @@ def p2_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     areas = shapes.where("hash IS NOT NULL").groupBy("hash").agg(F.max("area").alias("area"))
     plan = plan_load(table(spark, sf_dir, "shard_buckets").select("hash").where("hash IS NOT NULL"), "hash")
-    return join_balanced(_buckets(spark, sf_dir), areas, "hash", ["bucket_id"], plan)
+    buckets = _buckets(spark, sf_dir).withColumn("doc_count", F.coalesce("doc_count", F.lit(0)))
+    return join_balanced(buckets, areas, "hash", ["bucket_id"], plan)
 
 
 _PER_HASH = """
@@ -57,7 +58,7 @@ ORACLE_SQL = {
 UNION ALL SELECT 'docs', hash FROM h WHERE sum_docs >= 0.02 * (SELECT sum(sum_docs) FROM h)""",
     "p2_per_hash": _PER_HASH + "SELECT hash, n_buckets, sum_docs FROM h",
     "p2_join": _PER_HASH
-    + """SELECT b.bucket_id, b.hash, b.doc_count, s.area FROM b JOIN (
+    + """SELECT b.bucket_id, b.hash, coalesce(b.doc_count, 0) AS doc_count, s.area FROM b JOIN (
   SELECT geo_shape_0.hash AS hash, max(geo_shape_0.area) AS area FROM enriched_shapes
   WHERE geo_shape_0.hash IS NOT NULL GROUP BY 1) s USING (hash)""",
 }
