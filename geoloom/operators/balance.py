@@ -20,6 +20,7 @@ Defined results
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,13 @@ from pyspark.sql import types as T
 
 BINS_PER_TASK = 16
 SPLIT_AT = 4
+ROWS_PER_TASK = 50_000
+
+
+def tasks_for(spark: SparkSession, rows: float, least_rows: int) -> int:
+    """As many tasks as shuffles have partitions, or as ``rows`` are worth, but not under the number of cores."""
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(most, max(spark.sparkContext.defaultParallelism, math.ceil(rows / least_rows))))
 
 
 @dataclass(frozen=True)
@@ -86,14 +94,20 @@ def _fresh(base: str, *frames: DataFrame) -> str:
 
 
 def plan_load(df: DataFrame, key: str, tasks: int | None = None, weight: Column | None = None) -> LoadPlan:
-    """A plan from the rows of ``df`` (or the sum of ``weight``, nulls as 0) for each value of ``key``."""
-    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bins = BINS_PER_TASK * tasks
+    """A plan from the rows of ``df`` (or the sum of ``weight``, nulls as 0) for each value of ``key``.
+
+    Without ``tasks``, there are as many as shuffles have partitions; fewer where that leaves them
+    under ROWS_PER_TASK rows, but never fewer than cores.
+    """
+    most = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bins = BINS_PER_TASK * most
     load = F.sum(F.coalesce(weight, F.lit(0)).cast("double")) if weight is not None else F.count(F.lit(1)).cast("double")
     at = _bin(F.col(key), bins)
     bin_loads = [0.0] * bins
     for b, n in df.groupBy(at).agg(load).collect():  # at most ``bins`` rows
         bin_loads[b] = max(n, 0.0)
+    if tasks is None:
+        tasks = most if weight is not None else tasks_for(df.sparkSession, sum(bin_loads), ROWS_PER_TASK)
     least = sum(bin_loads) / tasks / SPLIT_AT
     full = [b for b, n in enumerate(bin_loads) if n > least]
     heavy = []

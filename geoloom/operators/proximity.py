@@ -33,12 +33,13 @@ from pyspark.sql import functions as F
 
 from geoloom.kernel.normal import normalize
 from geoloom.kernel.shapes import MULTI_POLYGON, POLYGON, ShapeError, parse
-from geoloom.operators.balance import join_balanced
+from geoloom.operators.balance import join_balanced, tasks_for
 from geoloom.plans.lineage import cut
 from geoloom.sources.tables import first_delivery
 
 MOST_ROWS, LON_CELLS = 1 << 16, 1024
 BLOCK = 1 << 21  # candidate pairs verified at a time
+LEAST_IN_TILE = 20_000  # unless there are fewer tiles than cores
 
 
 def usable_points(df: DataFrame, id_column: str, lat: Column, lon: Column) -> DataFrame:
@@ -94,8 +95,8 @@ class Tiles:
         return tile, np.repeat(n, copies), np.repeat(x, copies), own
 
 
-def plan_tiles(places: DataFrame, radius: float, tasks: int, most_in_tile: int) -> Tiles:
-    """Tiles of about equal load for (lat, lon) rows."""
+def plan_tiles(places: DataFrame, radius: float, most_in_tile: int) -> Tiles:
+    """Tiles of about equal load for (lat, lon) rows, at most ``most_in_tile`` of them in each."""
     height = max(radius, 180.0 / MOST_ROWS)
     row = F.floor((F.col("lat") + 90.0) / height).alias("row")
     n_rows = int(180.0 / height) + 2
@@ -103,6 +104,7 @@ def plan_tiles(places: DataFrame, radius: float, tasks: int, most_in_tile: int)
     for r, n in places.groupBy(row).count().collect():  # at most MOST_ROWS + 1 rows
         counts[r] = n
     total = int(counts.sum())
+    tasks = tasks_for(places.sparkSession, total, LEAST_IN_TILE)
     load = max(1, min(most_in_tile, -(-total // tasks)))
     strip_of = np.zeros(n_rows, np.int64)
     strip = held = 0
@@ -197,8 +199,7 @@ def near_points(points: DataFrame, radius: float, most_in_tile: int = 1 << 20) -
         raise ValueError("radius must be over 0 and under 90 degrees")
     points = cut(points)
     places = cut(points.groupBy("lat", "lon").agg(F.min("id").alias("place")))
-    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tiles = plan_tiles(places, radius, tasks, most_in_tile)
+    tiles = plan_tiles(places, radius, most_in_tile)
     kind = dict(points.dtypes)["id"]
     placed = places.select("place", "lat", "lon").mapInArrow(
         lambda it: _placed(it, tiles), f"tile int, place {kind}, lat double, lon double, x double, own boolean"
