@@ -8,6 +8,7 @@ Defined results
     bad text        an error (FAILFAST), or a null struct and the reason in ``error_column`` (PERMISSIVE)
     empty shape     null centroid and bbox, area 0
     no match        a pattern that matches no column leaves the frame as it is
+    metadata        rows have none, so a lone * matches every column and nothing else
 """
 
 from __future__ import annotations
