@@ -4,6 +4,9 @@ A polygon's shell runs counterclockwise and its holes clockwise; a shell starts
 second vertex, holes keep their start. What lies beyond longitude 180 is cut off and moved by 360 degrees; each piece then starts
 where its ring meets the cut. Latitudes beyond the poles are folded back without moving the
 longitude.
+
+ShapeError is raised of shapes with ordinates that are not finite, of shapes over more than
+MOST_SHEETS sheets of 360 degrees, and of a polygon to be cut that has a hole outside of its shell.
 """
 
 from __future__ import annotations
@@ -19,9 +22,13 @@ from geoloom.kernel.shapes import (
     POINT,
     POLYGON,
     Shape,
+    ShapeError,
     checked,
 )
 
+#: More than the range of any map projection in meters, taken as degrees.
+MOST_SHEETS = 1 << 17
+
 
 def drop_repeats(points: list) -> list:
     """Without vertices equal to the one before them."""
@@ -57,6 +64,8 @@ def signed_area(ring: list) -> float:
 
 def _centred(v: float) -> float:
     """v modulo 360, over -180 and up to 180."""
+    if not math.isfinite(v):
+        raise ShapeError(f"an ordinate of {v}")
     r = math.fmod(v, 360.0)
     if r <= 0:
         r += 360.0
@@ -88,27 +97,30 @@ def _sheet(x: float) -> int:
     """Number of the 360-degree sheet; an edge of a sheet belongs to the sheet nearer 0."""
     if -180.0 <= x <= 180.0:
         return 0
+    if not math.isfinite(x):
+        raise ShapeError(f"an ordinate of {x}")
     return math.ceil((x - 180.0) / 360.0) if x > 0 else math.floor((x + 180.0) / 360.0)
 
 
-def _cut_parts(rings: list[list], edge: float) -> tuple[list[list], list[list]]:
-    """Rings on the left and on the right of the line x = edge.
+def _cut_parts(rings: list[tuple[list, bool]], edge: float) -> tuple[list, list]:
+    """Rings, each with whether it is a hole, on the left and on the right of the line x = edge.
 
     Runs of vertices on one side end where the ring leaves the side. Sorted by latitude, the
     crossings bound the stretches of the line that lie inside, two by two; so each run goes on at
-    the other end of the stretch on which it ends.
+    the other end of the stretch on which it ends. A ring made of runs is a hole if all of them are
+    of holes.
     """
     whole: tuple[list, list] = ([], [])
     crossings: list[float] = []
-    runs: tuple[list, list] = ([], [])  # (entry, vertices, exit) with crossing numbers
-    for ring in rings:
+    runs: tuple[list, list] = ([], [])  # (entry, vertices, exit, hole) with crossing numbers
+    for ring, hole in rings:
         # a vertex on the line belongs to the side of its neighbours
         sides = [(x > edge) - (x < edge) for x, _ in ring[:-1]]
         if all(s <= 0 for s in sides):
-            whole[0].append(ring)
+            whole[0].append((ring, hole))
             continue
         if all(s >= 0 for s in sides):
-            whole[1].append(ring)
+            whole[1].append((ring, hole))
             continue
         n = len(sides)
         last = next(s for s in reversed(sides) if s)
@@ -132,40 +144,59 @@ def _cut_parts(rings: list[list], edge: float) -> tuple[list[list], list[list]]:
             points.append(ring[i])
         pieces[-1][2] = pieces[0][0]
         for entry, points, leave, side in pieces:
-            runs[side].append((entry, points, leave))
+            runs[side].append((entry, points, leave, hole))
     order = sorted(range(len(crossings)), key=lambda c: crossings[c])
     partner = {}
     for a, b in zip(order[0::2], order[1::2]):
         partner[a], partner[b] = b, a
     for side in (0, 1):
-        by_entry = {entry: (entry, points, leave) for entry, points, leave in runs[side]}
+        by_entry = {run[0]: run for run in runs[side]}
         while by_entry:
             first = entry = next(iter(by_entry))
             parts = []
             while entry in by_entry:
-                _, points, leave = by_entry.pop(entry)
-                parts.append((entry, points, leave))
-                entry = partner.get(leave, first)
+                parts.append(by_entry.pop(entry))
+                entry = partner.get(parts[-1][2], first)
             # begins at the crossing where its last run leaves
-            _, _, leave = parts[-1]
-            ring = [(edge, crossings[leave])]
-            for entry, points, leave in parts:
+            ring = [(edge, crossings[parts[-1][2]])]
+            for entry, points, leave, _ in parts:
                 ring += [(edge, crossings[entry]), *points, (edge, crossings[leave])]
             ring = drop_repeats(ring)
             if ring[0] != ring[-1]:
                 ring.append(ring[0])
             if len(ring) >= 4:
-                whole[side].append(ring)
+                whole[side].append((ring, all(hole for *_, hole in parts)))
     return whole
 
 
+def _span(xs: list[float]) -> tuple[int, int]:
+    """The first and the last sheet."""
+    sheets = [_sheet(x) for x in xs]
+    low, high = min(sheets), max(sheets)
+    if high - low > MOST_SHEETS:
+        raise ShapeError(f"a shape over {high - low} times the range of longitudes")
+    return low, high
+
+
+def _crossed(ring: list, y: float) -> list[float]:
+    """Where a ring crosses the latitude y, in order."""
+    return sorted(
+        xa + (y - ya) * (xb - xa) / (yb - ya) for (xa, ya), (xb, yb) in zip(ring, ring[1:]) if (ya > y) != (yb > y)
+    )
+
+
+def _within(ring: list) -> tuple[float, float]:
+    """A point inside of a ring that has an area."""
+    ys = sorted({y for _, y in ring})
+    low, high = max(zip(ys, ys[1:]), key=lambda pair: pair[1] - pair[0])
+    y = low + (high - low) / 2
+    xs = _crossed(ring, y)
+    left, right = max(zip(xs[0::2], xs[1::2]), key=lambda pair: pair[1] - pair[0])
+    return left + (right - left) / 2, y
+
+
 def _inside(p: tuple, ring: list) -> bool:
-    x, y = p
-    odd = False
-    for (xa, ya), (xb, yb) in zip(ring, ring[1:]):
-        if (ya > y) != (yb > y) and x < xa + (y - ya) * (xb - xa) / (yb - ya):
-            odd = not odd
-    return odd
+    return sum(x > p[0] for x in _crossed(ring, p[1])) % 2 == 1
 
 
 def _polygon_pieces(polygon: list) -> list[list]:
@@ -179,24 +210,26 @@ def _polygon_pieces(polygon: list) -> list[list]:
         # runs the short way over the dateline
         rings = [[(x + 360.0 if x < 0 else x, y) for x, y in r] for r in rings]
     rings = [_oriented(r, i > 0) for i, r in enumerate(rings)]
-    lons = [x for x, _ in rings[0]]
-    lower, upper = _sheet(min(lons)), _sheet(max(lons))
-    if lower == upper or max(lons) - min(lons) > 36000.0:
+    lower, upper = _span([x for x, _ in rings[0]])
+    if lower == upper:
         shell, *holes = [[_wrap(p) for p in r] for r in rings]
         return [[_rotated(shell), *holes]]
     out = []
-    rest = rings
+    rest = [(r, i > 0) for i, r in enumerate(rings)]
     for sheet in range(lower, upper + 1):
         part = rest
         if sheet < upper:
             part, rest = _cut_parts(rest, 180.0 + 360.0 * sheet)
-        moved = [[(x - 360.0 * sheet, fold_lat(y)) for x, y in r] for r in part]
-        shells = [[r] for r in moved if signed_area(r) >= 0]
-        for hole in (r for r in moved if signed_area(r) < 0):
-            owner = next((s for s in shells if _inside(hole[0], s[0])), shells[0] if shells else None)
-            if owner is not None:
-                owner.append(hole)
-        out += shells
+        # a shell that crosses itself may leave pieces that run the other way
+        shells = [[_oriented(r, False)] for r, hole in part if not hole or not signed_area(r)]
+        for hole in (r for r, hole in part if hole and signed_area(r)):
+            p = _within(hole)
+            owners = [s for s in shells if _inside(p, s[0])]
+            if not owners:
+                raise ShapeError("a hole outside of its shell")
+            min(owners, key=lambda s: signed_area(s[0])).append(hole)
+        # latitudes are folded last: that may turn a ring round
+        out += [[[(x - 360.0 * sheet, fold_lat(y)) for x, y in r] for r in s] for s in shells]
     return out
 
 
@@ -207,9 +240,10 @@ def _rotated(ring: list) -> list:
 def _line_pieces(line: list) -> list[list]:
     if not line:
         return []
-    sheets = [_sheet(x) for x, _ in line]
-    if min(sheets) == max(sheets) or max(sheets) - min(sheets) > 100:
+    low, high = _span([x for x, _ in line])
+    if low == high:
         return [[_wrap(p) for p in line]]
+    sheets = [_sheet(x) for x, _ in line]
     out, part = [], [(line[0][0] - 360.0 * sheets[0], fold_lat(line[0][1]))]
     for (xa, ya), (xb, yb), sa, sb in zip(line, line[1:], sheets, sheets[1:]):
         step = 1 if sb > sa else -1

@@ -336,3 +336,42 @@ def test_loops_and_arrays_agree(lines, tolerance):
 
 def test_drop_repeats():
     assert drop_repeats([(0, 0), (0, 0), (1, 1), (0, 0)]) == [(0, 0), (1, 1), (0, 0)] and drop_repeats([]) == []
+
+
+@settings(deadline=None, max_examples=40)
+@given(st.floats(1, 100_000), st.floats(-500, 500), st.booleans())
+def test_area_does_not_depend_on_the_span(width, start, hole):
+    rings = [[(start, 0.0), (start + width, 0.0), (start + width, 8.0), (start, 8.0), (start, 0.0)]]
+    if hole:
+        low, high = start + width / 4, start + width / 2
+        rings.append([(low, 2.0), (high, 2.0), (high, 4.0), (low, 4.0), (low, 2.0)])
+    shape = (POLYGON, rings)
+    out = clean(shape)
+    assert measures.area(out) == pytest.approx(measures.area(shape), rel=1e-9)
+    assert all(-180 <= x <= 180 for x, _ in vertices(out))
+    sheets = math.floor((start + width + 180) / 360) - math.floor((start + 180) / 360)
+    # a hole as wide as a sheet leaves two pieces of it
+    assert len(out[1] if out[0] == MULTI_POLYGON else [out]) <= (sheets + 1) * (1 + hole)
+
+
+def test_long_lines_are_cut_too():
+    out = clean(parse("LINESTRING (0 0, 100000 10)"))
+    assert out[0] == MULTI_LINE and len(out[1]) == 279
+    assert all(-180 <= x <= 180 for x, _ in vertices(out))
+    assert sum(b[0] - a[0] for a, b in out[1]) == pytest.approx(100_000)
+
+
+def test_holes_find_their_shell():
+    # the hole's first vertex lies on the cut, and the shells of both sides touch it
+    shape = clean(parse("POLYGON ((170 0, 190 0, 190 10, 170 10, 170 0), (180 4, 182 5, 180 6, 178 5, 180 4))"))
+    assert measures.area(shape) == pytest.approx(200 - 4)
+    # folding turns the rings round; holes stay holes
+    shape = clean(parse("POLYGON ((170 95, 190 95, 190 105, 170 105, 170 95), (172 97, 173 97, 173 98, 172 98, 172 97))"))
+    assert measures.area(shape) == pytest.approx(199) and sorted(map(len, shape[1])) == [1, 2]
+
+
+@pytest.mark.parametrize("text", ["POLYGON ((170 0, 190 0, 190 10, 170 10, 170 0), (150 4, 152 5, 150 6, 150 4))", "LINESTRING (0 0, 1e300 0)",
+                                  "POLYGON ((0 0, 1e300 0, 0 1, 0 0))", "POINT (1e999 0)", "POLYGON ((0 0, 1e999 0, 0 1, 0 0))"])
+def test_shapes_that_cannot_be_cleaned(text):
+    with pytest.raises(ShapeError):
+        clean(parse(text))
