@@ -3,7 +3,9 @@
 Both keep a vertex if it lies further than the tolerance from the segment between the vertices kept
 around it. The first drops rings that end with under four vertices, and what consists of them; the
 second never lets a ring or closed line fall under four vertices, nor a new segment cross another
-one. Ring ends stay. Invalid results are not repaired.
+one, nor another line come to lie on its other side. Ring ends stay, unless ``free_ends`` is set:
+then the vertex at which a ring begins and ends goes too where it is within the tolerance of its
+neighbours' segment. Invalid results are not repaired.
 """
 
 from __future__ import annotations
@@ -86,6 +88,19 @@ class _Line:
         return i + 1 + best, float(d[best])
 
 
+def _distance(p: tuple, a: tuple, b: tuple) -> float:
+    """Of p from the segment ab."""
+    return _furthest_of_few([a, p, b], 0, 2)[1]
+
+
+def reduce_ring(points: list, tolerance: float) -> list:
+    """Douglas-Peucker; the vertex at the ends is one like the others."""
+    ring = reduce_line(points, tolerance)
+    if len(ring) < 4 or ring[0] != ring[-1] or _distance(ring[0], ring[1], ring[-2]) > tolerance:
+        return ring
+    return [*ring[1:-1], ring[1]]
+
+
 def reduce_line(points: list, tolerance: float) -> list:
     """Douglas-Peucker; the ends stay."""
     n = len(points)
@@ -174,12 +189,26 @@ def _one_meets_inside(s: tuple, a: tuple, b: tuple) -> bool:
     return touches(d1, x0, y0, ab) or touches(d2, x1, y1, ab) or touches(d3, ax, ay, s) or touches(d4, bx, by, s)
 
 
+def _odd_crossings(p: tuple, points: list) -> bool:
+    """Whether a ray to the east from p meets the line an odd number of times."""
+    x, y = p
+    odd = False
+    for (xa, ya), (xb, yb) in zip(points, points[1:]):
+        if (ya > y) != (yb > y) and x < xa + (y - ya) * (xb - xa) / (yb - ya):
+            odd = not odd
+    return odd
+
+
 class _Network:
     """The lines of a shape while they are simplified together."""
 
-    def __init__(self, lines: list[list], tolerance: float):
+    def __init__(self, lines: list[tuple[list, bool]], tolerance: float, free_ends: bool):
         self.tolerance = tolerance
-        self.lines = lines
+        self.free_ends = free_ends
+        self.lines, self.is_ring = [line for line, _ in lines], [ring for _, ring in lines]
+        lines = self.lines
+        # lines do not cross, so one vertex tells on which side of a segment a line lies
+        self.marks = [line[min(1, len(line) - 1)] if line else None for line in lines]
         # segments of all lines end to end; those that were flattened are no longer looked at
         flat = [(*p, *q) for line in lines for p, q in zip(line, line[1:])]
         self.first = [0]
@@ -190,9 +219,21 @@ class _Network:
         self.open = [True] * len(flat) if self.few else np.ones(len(flat), bool)
         self.made: list[tuple] = []
 
-    def _crosses(self, line: int, i: int, j: int) -> bool:
-        a, b = self.lines[line][i], self.lines[line][j]
-        low, high = self.first[line] + i, self.first[line] + j
+    def _jumps(self, line: int, section: list) -> bool:
+        """Whether another line is between a section and the segment of its ends."""
+        if len(self.marks) == 1:
+            return False
+        xs, ys = [x for x, _ in section], [y for _, y in section]
+        west, east, south, north = min(xs), max(xs), min(ys), max(ys)
+        round_it = [*section, section[0]]
+        return any(
+            west <= p[0] <= east and south <= p[1] <= north and _odd_crossings(p, round_it)
+            for n, p in enumerate(self.marks)
+            if n != line and p is not None
+        )
+
+    def _crosses(self, a: tuple, b: tuple, low: int, high: int) -> bool:
+        """Whether ab meets a segment, those from low to high left out."""
         if self.few:
             return any(_one_meets_inside(s, a, b) for s in self.made) or any(
                 _one_meets_inside(s, a, b) for n, s in enumerate(self.segments) if self.open[n] and not low <= n < high
@@ -219,39 +260,49 @@ class _Network:
                 continue
             k, d = own.furthest(i, j)
             size = len(kept) if len(kept) > 1 else 0
-            flat = d <= self.tolerance and not (size < least and depth + 1 < least) and not self._crosses(line, i, j)
+            low, high = self.first[line] + i, self.first[line] + j
+            flat = d <= self.tolerance and not (size < least and depth + 1 < least)
+            flat = flat and not self._crosses(points[i], points[j], low, high) and not self._jumps(line, points[i : j + 1])
             if flat:
-                low, high = self.first[line] + i, self.first[line] + j
                 self.open[low:high] = [False] * (high - low)
                 self.made.append((*points[i], *points[j]))
                 kept.append(j)
             else:
                 stack += [(k, j, depth + 1), (i, k, depth + 1)]
-        return [points[i] for i in kept]
+        out = [points[i] for i in kept]
+        if self.free_ends and self.is_ring[line] and len(out) > least and out[0] == out[-1]:
+            a, end, b = out[-2], out[0], out[1]
+            turn = (end[0] - a[0]) * (b[1] - a[1]) - (end[1] - a[1]) * (b[0] - a[0])
+            if _distance(end, a, b) <= self.tolerance and (
+                not turn or not self._crosses(a, b, 0, 0) and not self._jumps(line, [a, end, b])
+            ):
+                out = [a, *out[1:-1]]
+        return out
 
 
-def _lines_of(shape: Shape) -> list[list]:
+def _lines_of(shape: Shape) -> list[tuple[list, bool]]:
+    """Lines and rings of a shape, and whether they are rings."""
     kind, data = shape
     if kind == LINE:
-        return [data]
+        return [(data, False)]
     if kind in (POLYGON, MULTI_LINE):
-        return list(data)
+        return [(d, kind == POLYGON) for d in data]
     if kind == MULTI_POLYGON:
-        return [r for p in data for r in p]
+        return [(r, True) for p in data for r in p]
     if kind == COLLECTION:
         return [line for s in data for line in _lines_of(s)]
     return []
 
 
 def _rebuilt(shape: Shape, run, drop: bool) -> Shape:
-    """``shape`` with each line replaced by run(line); short rings go if ``drop`` is set."""
+    """``shape`` with each line replaced by run(line, whether it is a ring); short rings go if ``drop`` is set."""
     kind, data = shape
     if kind == POINT:
         return shape
     if kind == MULTI_POINT:
         return (POINT, data[0]) if len(data) == 1 else shape
     if kind == LINE:
-        return kind, run(data) if data else []
+        return kind, run(data, False) if data else []
     if kind == COLLECTION:
         members = [_rebuilt(s, run, drop) for s in data]
         return kind, [s for s in members if not is_empty(s)]
@@ -259,7 +310,7 @@ def _rebuilt(shape: Shape, run, drop: bool) -> Shape:
     def polygon(rings: list) -> list:
         out = []
         for i, r in enumerate(rings):
-            new = run(r)
+            new = run(r, True)
             if drop and len(new) < 4:
                 if i == 0:
                     return []
@@ -270,20 +321,21 @@ def _rebuilt(shape: Shape, run, drop: bool) -> Shape:
     if kind == POLYGON:
         return kind, polygon(data) if data else []
     single = LINE if kind == MULTI_LINE else POLYGON
-    members = [run(d) if kind == MULTI_LINE else polygon(d) for d in data if d]
+    members = [run(d, False) if kind == MULTI_LINE else polygon(d) for d in data if d]
     members = [m for m in members if m]
     return (single, members[0]) if len(members) == 1 else (kind, members)
 
 
-def simplify(shape: Shape, tolerance: float, algorithm: str) -> Shape:
+def simplify(shape: Shape, tolerance: float, algorithm: str, free_ends: bool = False) -> Shape:
     """The simplified shape, which may be empty under DOUGLAS_PEUCKER."""
     if algorithm == "DOUGLAS_PEUCKER":
-        return _rebuilt(shape, lambda line: reduce_line(line, tolerance), True)
+        of_ring = reduce_ring if free_ends else reduce_line
+        return _rebuilt(shape, lambda line, ring: (of_ring if ring else reduce_line)(line, tolerance), True)
     if algorithm != "TOPOLOGY_PRESERVING":
         raise ValueError(f"algorithm: {algorithm}")
-    network = _Network(_lines_of(shape), tolerance)
+    network = _Network(_lines_of(shape), tolerance, free_ends)
     done = iter([network.reduce(i) for i in range(len(network.lines))])
-    return _rebuilt(shape, lambda line: next(done), False)
+    return _rebuilt(shape, lambda line, ring: next(done), False)
 
 
 def simplify_or_point(shape: Shape, tolerance: float, algorithm: str) -> tuple[Shape, bool]:

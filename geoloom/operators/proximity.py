@@ -1,23 +1,34 @@
 """Points near other points, and the regions that contain them; planar, in degrees.
 
-Near points: latitude is cut into rows at least a radius high, and rows into strips of about equal
-load, by a histogram of the rows; a row that holds more than a strip's load is cut along longitude
-too. Each tile gets its own points and those of the row above and within a radius to its sides. It
-sorts them by row and longitude and sweeps: while it goes through a row, the points of this and the
-next row whose longitude is within the radius are the active set. The tile that owns the lower point
-of a pair emits it, so a pair comes out once. Points at one place count as one while sweeping.
-
-What the driver holds is bounded: 65,537 rows of the histogram, and 1,024 counts for each row that is
-cut along longitude, of which there are no more than tiles.
+Points at one place count as one place. Latitude is cut into rows at least a radius high, and rows
+into strips of about equal load, by a histogram of the rows. A row that holds more than a strip's load
+together with the row above it is a strip of its own and is cut along longitude too, by counts of
+cells; cells that hold much are counted again in finer cells, down to the radius.
+
+Near points: each tile gets its own places and those of the row above and within a radius to its
+sides. It sorts them by row and longitude and sweeps: while it goes through a row, the places of this
+and the next row whose longitude is within the radius are the active set. The tile that owns the
+lower place of a pair emits it, so a pair comes out once.
+
+Regions: a place is inside if a ray to the east meets an odd number of edges, so of a region only the
+edges matter that cross the place's latitude. Edges, not regions, go to the tiles: those whose strip
+an edge crosses and whose longitudes are among the region's. A tile holds its places sorted by
+longitude and sweeps over the regions' edges as they come, region by region: the places within the
+region's longitudes are the active set.
+
+What the driver holds is bounded: 65,537 rows of the histogram, and 1,024 counts for each cell that
+is counted again, of which there are a few for each tile. A tile is a task's work and holds about
+``most_in_tile`` places; only where more lie within a radius of each other is it more.
 
 Defined results
     unusable points   null, not a number, outside latitude 90 or longitude 180, or exactly 0/0:
                       in no pair and no region
     repeated ids      one point; where deliveries differ, the least location
-    same place        near each other, at distance 0; longitudes 180 and -180 are one place
+    same place        near each other, at distance 0, and so are longitudes 180 and -180 of one latitude
     ties              a distance equal to the radius is near
     borders           a point on a border is inside at most one of two regions that share it
     unusable regions  null or no shape: contain nothing
+    repeated regions  count once; a region of several shapes contains what one of them does
     empty tables      empty results
 """
 
@@ -30,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from geoloom.kernel.normal import normalize
 from geoloom.kernel.shapes import MULTI_POLYGON, POLYGON, ShapeError, parse
@@ -37,9 +49,13 @@ from geoloom.operators.balance import join_balanced, tasks_for
 from geoloom.plans.lineage import cut
 from geoloom.sources.tables import first_delivery
 
-MOST_ROWS, LON_CELLS = 1 << 16, 1024
+MOST_ROWS = 1 << 16
+#: Longitude is counted in 2**10 cells, and a full one in 2**10 finer ones, down to 2**30 of the globe.
+CELL_BITS, FINEST_BITS = 10, 30
 BLOCK = 1 << 21  # candidate pairs verified at a time
 LEAST_IN_TILE = 20_000  # unless there are fewer tiles than cores
+#: Places of several points up to this many are sent to every task.
+MOST_BROADCAST = 100_000
 
 
 def usable_points(df: DataFrame, id_column: str, lat: Column, lon: Column) -> DataFrame:
@@ -56,6 +72,8 @@ _APART, _SHIFT, _SLACK = 1000.0, 300.0, 1e-6
 class Tiles:
     """``strip_of[row]``; ``cuts``: where strips are cut along longitude, all strips on one axis.
 
+    ``used[strip]``: whether the strip has places of its own.
+
     A longitude x of strip s lies at s * _APART + x + _SHIFT on the axis. What rounding may do there
     is covered by _SLACK, by which a tile's margins are wider than the radius.
     """
@@ -64,6 +82,19 @@ class Tiles:
     height: float
     strip_of: np.ndarray
     cuts: np.ndarray
+    used: np.ndarray
+
+    def crossed(self, low: np.ndarray, high: np.ndarray, west: np.ndarray, east: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of boxes, and the tiles with places that they meet."""
+        rows = len(self.strip_of) - 1
+        first = self.strip_of[np.clip(self.row(low), 0, rows)]
+        copies = self.strip_of[np.clip(self.row(high), 0, rows)] - first + 1
+        n = np.repeat(np.arange(len(low)), copies)
+        strip = np.repeat(first - (np.cumsum(copies) - copies), copies) + np.arange(copies.sum())
+        n, strip = n[self.used[strip]], strip[self.used[strip]]
+        first = self._tile(strip, np.clip(west[n], -180.0, 180.0) - _SLACK)
+        copies = self._tile(strip, np.clip(east[n], -180.0, 180.0) + _SLACK) - first + 1
+        return np.repeat(n, copies), np.repeat(first - (np.cumsum(copies) - copies), copies) + np.arange(copies.sum())
 
     @property
     def count(self) -> int:
@@ -75,6 +106,10 @@ class Tiles:
     def _tile(self, strip: np.ndarray, x: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.cuts, strip * _APART + (x + _SHIFT), "right") + strip
 
+    def own(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        """The tile that owns each place."""
+        return self._tile(self.strip_of[self.row(lat)], lon)
+
     def place(self, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Tile, point number, longitude in the tile, and whether the tile owns the point."""
         east, west = np.flatnonzero(lon > 180.0 - self.radius), np.flatnonzero(lon < self.radius - 180.0)
@@ -83,7 +118,7 @@ class Tiles:
         real = np.arange(len(n)) < len(lat)
         row = self.row(lat)[n]
         strip, below = self.strip_of[row], self.strip_of[np.maximum(row - 1, 0)]
-        other = np.flatnonzero(below != strip)
+        other = np.flatnonzero((below != strip) & self.used[below])
         n, x = np.append(n, n[other]), np.append(x, x[other])
         real = np.append(real, np.zeros(len(other), bool))
         strip = np.append(strip, below[other])
@@ -95,50 +130,88 @@ class Tiles:
         return tile, np.repeat(n, copies), np.repeat(x, copies), own
 
 
+def _cut_cells(at: np.ndarray, counts: np.ndarray, load: float, apart: int) -> list[int]:
+    """Cells, in order of ``at``, at which a new tile begins, at least ``apart`` from each other."""
+    upto, out, n, last = np.cumsum(counts), [], 0, -apart
+    while n < len(at):
+        full = (upto[n - 1] if n else 0) + load
+        n = max(n + 1, int(np.searchsorted(upto, full, "right")))
+        n = max(n, int(np.searchsorted(at, last + apart, "left")))
+        if n < len(at):
+            out.append(last := int(at[n]))
+    return out
+
+
 def plan_tiles(places: DataFrame, radius: float, most_in_tile: int) -> Tiles:
-    """Tiles of about equal load for (lat, lon) rows, at most ``most_in_tile`` of them in each."""
+    """Tiles of about equal load for (lat, lon) rows, about ``most_in_tile`` of them in each."""
     height = max(radius, 180.0 / MOST_ROWS)
-    row = F.floor((F.col("lat") + 90.0) / height).alias("row")
+    row = F.floor((F.col("lat") + 90.0) / height)
     n_rows = int(180.0 / height) + 2
-    counts = np.zeros(n_rows, np.int64)
-    for r, n in places.groupBy(row).count().collect():  # at most MOST_ROWS + 1 rows
+    counts = np.zeros(n_rows + 1, np.int64)
+    for r, n in places.groupBy(row.alias("row")).count().collect():  # at most MOST_ROWS + 1 rows
         counts[r] = n
     total = int(counts.sum())
     tasks = tasks_for(places.sparkSession, total, LEAST_IN_TILE)
     load = max(1, min(most_in_tile, -(-total // tasks)))
-    strip_of = np.zeros(n_rows, np.int64)
+    strip_of, used = np.zeros(n_rows, np.int64), [False]
     strip = held = 0
-    full: dict[int, int] = {}
+    full: dict[int, int] = {}  # strip of each full row
     for r in range(n_rows):
-        if held and held + counts[r] > load:
+        alone = counts[r] > 0 and counts[r] + counts[r + 1] > load
+        # a strip also gets the row above it
+        if r and (alone or strip_of[r - 1] in full.values() or held + counts[r] + counts[r + 1] > load):
             strip, held = strip + 1, 0
+            used.append(False)
         strip_of[r] = strip
         held += counts[r]
-        if counts[r] > load:
-            full[strip] = r
-    cuts = [np.empty(0)]
-    if full:
-        cell = F.floor((F.col("lon") + 180.0) * (LON_CELLS / 360.0)).alias("cell")
-        cells: dict[int, np.ndarray] = {s: np.zeros(LON_CELLS + 1, np.int64) for s in full}
-        heavy = places.select(row, cell).where(F.col("row").isin(list(full.values())))
-        for r, c, n in heavy.groupBy("row", "cell").count().collect():  # LON_CELLS + 1 for each full row
-            cells[int(strip_of[r])][c] = n
-        for s, own in sorted(cells.items()):
-            share = np.cumsum(own) // load  # a new tile where another load is reached
-            edges = (np.flatnonzero(share[1:] != share[:-1]) + 1) * (360.0 / LON_CELLS) - 180.0
-            cuts.append(s * _APART + (edges[np.diff(edges, prepend=-np.inf) > 2 * radius] + _SHIFT))
-    return Tiles(radius, height, strip_of, np.concatenate(cuts))
+        used[strip] |= bool(counts[r])
+        if alone:
+            full[r] = strip
+    cuts = _cut_full(places, row, full, radius, load) if full else np.empty(0)
+    return Tiles(radius, height, strip_of, cuts, np.array(used))
+
+
+def _cut_full(places: DataFrame, row: Column, full: dict[int, int], radius: float, load: int) -> np.ndarray:
+    """Where the strips of full rows are cut."""
+    spark = places.sparkSession
+    cell = F.floor((F.col("lon") + 180.0) * (2.0**FINEST_BITS / 360.0)).cast("long")
+    # a row counts for its own strip and for the strip below
+    near = F.filter(F.array(row.cast("int"), (row - 1).cast("int")), lambda r: r.isin(list(full)))
+    cells = places.select(F.explode(near).alias("row"), cell.alias("cell"))
+    width = 360.0 / 2.0**FINEST_BITS
+    counted: dict[int, list[tuple[int, int]]] = {r: [] for r in full}  # (first finest cell, rows) of each row
+    bits, open_cells = CELL_BITS, cells
+    while True:
+        shift = FINEST_BITS - bits
+        fine = open_cells.groupBy("row", F.shiftright("cell", shift).alias("at")).count().collect()
+        last = shift == 0 or width * (1 << shift) <= radius
+        heavy = [(r, at) for r, at, n in fine if n * 4 > load and not last]  # a few for each tile
+        again = set(heavy)
+        for r, at, n in fine:
+            if (r, at) not in again:
+                counted[r].append((at << shift, n))
+        if not heavy:
+            break
+        chosen = F.broadcast(spark.createDataFrame(heavy, "row int, at long"))
+        open_cells = cells.withColumn("at", F.shiftright("cell", shift)).join(chosen, ["row", "at"]).drop("at")
+        bits += CELL_BITS
+    cuts = []
+    for r, strip in sorted(full.items()):
+        at, n = np.array(sorted(counted[r]), np.int64).reshape(-1, 2).T
+        edges = np.array(_cut_cells(at, n, load, int(4 * radius / width) + 1), float) * width - 180.0
+        cuts.append(strip * _APART + (edges + _SHIFT))
+    return np.concatenate(cuts)
 
 
 def _placed(batches: Iterator[pa.RecordBatch], tiles: Tiles) -> Iterator[pa.RecordBatch]:
-    names = ["tile", "place", "lat", "lon", "x", "own"]
+    names = ["tile", "place", "lat", "lon", "x", "own", "shared"]
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids, lat, lon = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        ids, lat, lon, shared = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         tile, n, x, own = tiles.place(lat, lon)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(v) for v in (tile.astype(np.int32), ids[n], lat[n], lon[n], x, own)], names
+            [pa.array(v) for v in (tile.astype(np.int32), ids[n], lat[n], lon[n], x, own, shared[n])], names
         )
 
 
@@ -154,7 +227,7 @@ def _sweep(batches: Iterator[pa.RecordBatch], tiles: Tiles) -> Iterator[pa.Recor
         row = tiles.row(columns["lat"][at])
         order = np.lexsort((columns["x"][at], row))
         at, row = at[order], row[order]
-        place, lat, lon, x, own = (columns[c][at] for c in ("place", "lat", "lon", "x", "own"))
+        place, lat, lon, x, own, shared = (columns[c][at] for c in ("place", "lat", "lon", "x", "own", "shared"))
         # rows end to end on one axis; the slack covers its rounding, pairs are verified exactly
         axis = row * _APART + (x + _SHIFT)
         reach = tiles.radius + _SLACK
@@ -182,49 +255,80 @@ def _sweep(batches: Iterator[pa.RecordBatch], tiles: Tiles) -> Iterator[pa.Recor
             swap = (lat[j] < lat[i]) | ((lat[j] == lat[i]) & ((lon[j] < lon[i]) | ((lon[j] == lon[i]) & (place[j] < place[i]))))
             i, j = np.where(swap, j, i), np.where(swap, i, j)
             keep = own[i] & (place[i] != place[j])
-            yield pa.RecordBatch.from_arrays([pa.array(place[i[keep]]), pa.array(place[j[keep]])], ["a", "b"])
+            i, j = i[keep], j[keep]
+            made = [pa.array(v) for v in (place[i], place[j], shared[i], shared[j])]
+            yield pa.RecordBatch.from_arrays(made, ["a", "b", "a_shared", "b_shared"])
+
+
+@dataclass
+class Places:
+    """``points``: id, lat, lon. ``places``: place (the least id of a location), lat, lon, shared (by several points)."""
+
+    points: DataFrame
+    places: DataFrame
+
+    def members(self) -> DataFrame:
+        """(id, place, shared), a row for each point."""
+        at = self.places.where("shared").select(F.col("lat").alias("at_lat"), F.col("lon").alias("at_lon"), "place")
+        if at.count() <= MOST_BROADCAST:
+            found = self.points.join(F.broadcast(at), (F.col("lat") == F.col("at_lat")) & (F.col("lon") == F.col("at_lon")), "left")
+        else:
+            # one place may hold a third of all points
+            name = lambda lat, lon: F.concat_ws(" ", F.col(lat) + 0.0, F.col(lon) + 0.0).alias("key")
+            keyed, at = self.points.select("id", name("lat", "lon")), at.select(name("at_lat", "at_lon"), "place")
+            found = join_balanced(keyed, at, "key", ["id"], how="left")
+        return found.select("id", F.coalesce("place", "id").alias("place"), F.col("place").isNotNull().alias("shared"))
 
 
 @dataclass
 class NearPoints:
-    """``members``: id, place (the least id at its location). ``links``: a, b, places near each other, once."""
+    """``members``: id, place, shared. ``links``: a, b, a_shared, b_shared: places near each other, once, and
+    whether several points share them."""
 
     members: DataFrame
     links: DataFrame
 
 
-def near_points(points: DataFrame, radius: float, most_in_tile: int = 1 << 20) -> NearPoints:
+def places_of(points: DataFrame) -> Places:
+    """The places of (id, lat, lon) rows as of ``usable_points``."""
+    points = cut(points.select("id", "lat", "lon"))
+    places = points.groupBy("lat", "lon").agg(F.min("id").alias("place"), (F.count(F.lit(1)) > 1).alias("shared"))
+    return Places(points, cut(places.select("place", "lat", "lon", "shared")))
+
+
+def near_points(points: DataFrame | Places, radius: float, most_in_tile: int = 1 << 20) -> NearPoints:
     """Places within ``radius`` degrees of each other, of (id, lat, lon) rows as of ``usable_points``."""
     if not 0 < radius < 90:
         raise ValueError("radius must be over 0 and under 90 degrees")
-    points = cut(points)
-    places = cut(points.groupBy("lat", "lon").agg(F.min("id").alias("place")))
-    tiles = plan_tiles(places, radius, most_in_tile)
-    kind = dict(points.dtypes)["id"]
-    placed = places.select("place", "lat", "lon").mapInArrow(
-        lambda it: _placed(it, tiles), f"tile int, place {kind}, lat double, lon double, x double, own boolean"
+    at = points if isinstance(points, Places) else places_of(points)
+    tiles = plan_tiles(at.places, radius, most_in_tile)
+    kind = dict(at.places.dtypes)["place"]
+    placed = at.places.mapInArrow(
+        lambda it: _placed(it, tiles), f"tile int, place {kind}, lat double, lon double, x double, own boolean, shared boolean"
     )
-    links = placed.repartitionById(tiles.count, "tile").mapInArrow(lambda it: _sweep(it, tiles), f"a {kind}, b {kind}")
-    # one place may hold a third of all points
-    key = F.xxhash64("lat", "lon").alias("key")
-    at = places.select(key, F.col("lat").alias("at_lat"), F.col("lon").alias("at_lon"), "place")
-    members = join_balanced(points.select("id", "lat", "lon", key), at, "key", ["id"])
-    members = members.where("lat = at_lat AND lon = at_lon").select("id", "place")
-    return NearPoints(members, links)
+    made = f"a {kind}, b {kind}, a_shared boolean, b_shared boolean"
+    links = placed.repartitionById(tiles.count, "tile").mapInArrow(lambda it: _sweep(it, tiles), made)
+    return NearPoints(at.members(), links)
 
 
 def point_pairs(near: NearPoints) -> DataFrame:
     """Pairs (a_id, b_id) of different points, smaller first, within the radius.
 
-    Places with many points are split over tasks.
+    A link between places of one point each is a pair as it is. Places with many points are split
+    over tasks.
     """
-    members, links = cut(near.members), cut(near.links)
+    links = cut(near.links)
+    single = links.where("NOT a_shared AND NOT b_shared").select(F.col("a").alias("l"), F.col("b").alias("r"))
+    members = cut(near.members.where("shared").select("id", "place"))
     left = members.select(F.col("id").alias("l"), F.col("place").alias("a"))
     right = members.select(F.col("id").alias("r"), F.col("place").alias("b"))
     same = join_balanced(left, right.withColumnRenamed("b", "a"), "a", ["l"]).where("l < r").select("l", "r")
-    linked = cut(join_balanced(left, links, "a", ["l"]).select("l", "b"))
-    across = join_balanced(linked, right, "b", ["l"]).select("l", "r")
-    return same.union(across).select(F.least("l", "r").alias("a_id"), F.greatest("l", "r").alias("b_id"))
+    several = links.where("a_shared OR b_shared")
+    from_shared = join_balanced(left, several.where("a_shared"), "a", ["l"]).select("l", "b", "b_shared")
+    linked = cut(from_shared.union(several.where("NOT a_shared").select(F.col("a").alias("l"), "b", "b_shared")))
+    across = join_balanced(linked.where("b_shared").select("l", "b"), right, "b", ["l"]).select("l", "r")
+    across = across.union(linked.where("NOT b_shared").select("l", F.col("b").alias("r")))
+    return single.union(same).union(across).select(F.least("l", "r").alias("a_id"), F.greatest("l", "r").alias("b_id"))
 
 
 # --- regions -----------------------------------------------------------------------------------
@@ -257,65 +361,136 @@ def contains(polygon: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndar
     return odd
 
 
-def _inside(batches: Iterator[pa.RecordBatch], regions) -> Iterator[pa.RecordBatch]:
+_COLUMNS = ["tile", "kind", "place", "region", "member", "xa", "ya", "xb", "yb"]
+_ROW = "tile int, kind int, place {kind}, region long, member long, xa double, ya double, xb double, yb double"
+PLACE, EDGE = 0, 1
+
+
+def _edges(batches: Iterator[pa.RecordBatch], tiles: Tiles, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The edges of (id, shape, number) rows for each tile whose places they may part; lower ends come first."""
+    for batch in batches:
+        made = []
+        for region, text, number in zip(*(c.to_pylist() for c in batch.columns)):
+            for member, polygon in enumerate(region_rings(text), number):
+                ends = np.concatenate([np.hstack([r[:-1], r[1:]]) for r in polygon])
+                ends = ends[ends[:, 1] != ends[:, 3]]
+                down = ends[:, 1] > ends[:, 3]
+                ends[down] = ends[down][:, [2, 3, 0, 1]]
+                west, east = polygon[0][:, 0].min(), polygon[0][:, 0].max()
+                n, tile = tiles.crossed(ends[:, 1], ends[:, 3], np.full(len(ends), west), np.full(len(ends), east))
+                made.append((tile, np.full(len(n), region), np.full(len(n), member), ends[n]))
+        if made:
+            tile, region, member, ends = (np.concatenate(c) for c in zip(*made))
+            rows = [tile.astype(np.int32), np.full(len(tile), EDGE, np.int32), pa.nulls(len(tile), kind), region, member, *ends.T]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in rows], _COLUMNS)
+
+
+def _owned(batches: Iterator[pa.RecordBatch], tiles: Tiles) -> Iterator[pa.RecordBatch]:
+    """Places in the tiles that own them; ``member`` is 1 where several points share one."""
     for batch in batches:
-        ids, lat, lon = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        order = np.argsort(lat)
-        ids, lat, lon = ids[order], lat[order], lon[order]
-        a, b = [ids[:0]], [np.empty(0, np.int64)]
-        for region, polygons in regions.value:
-            hit = np.zeros(len(ids), bool)
-            for polygon in polygons:
-                low, high = polygon[0].min(axis=0), polygon[0].max(axis=0)
-                start, end = np.searchsorted(lat, low[1], "left"), np.searchsorted(lat, high[1], "right")
-                at = start + np.flatnonzero((lon[start:end] >= low[0]) & (lon[start:end] <= high[0]))
-                if len(at):
-                    hit[at] |= contains(polygon, lon[at], lat[at])
-            found = ids[hit]
-            a.append(found)
-            b.append(np.full(len(found), region, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a_id", "b_id"])
-
-
-def points_inside(points: DataFrame, regions: DataFrame, region_id: str, shape: str, most_vertices: int = 1 << 21) -> DataFrame:
+        lat, lon, shared = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+        n = len(lat)
+        tile, ends = pa.array(tiles.own(lat, lon).astype(np.int32)), (pa.array(lon), pa.array(lat))
+        rows = [tile, pa.array(np.full(n, PLACE, np.int32)), batch.column(0), pa.nulls(n, pa.int64()), pa.array(shared.astype(np.int64)), *ends, *ends]
+        yield pa.RecordBatch.from_arrays(rows, _COLUMNS)
+
+
+#: Edges of whole regions that a tile works on at once; a region of more is worked on alone.
+EDGES = 1 << 16
+
+
+class _TilePlaces:
+    """The places of a tile, in the order of longitude, and which of them regions contain."""
+
+    def __init__(self, rows: list[pa.RecordBatch]):
+        named = lambda c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in rows])
+        place, shared, lon, lat = map(named, ("place", "member", "xa", "ya"))
+        order = np.argsort(lon, kind="stable")
+        self.place, self.shared, self.lon, self.lat = place[order], shared[order] > 0, lon[order], lat[order]
+
+    def within(self, xa: np.ndarray, ya: np.ndarray, xb: np.ndarray, yb: np.ndarray) -> np.ndarray:
+        """Numbers of the places at which a ray to the east meets the edges an odd number of times."""
+        start = np.searchsorted(self.lon, min(xa.min(), xb.min()), "left")
+        end = np.searchsorted(self.lon, max(xa.max(), xb.max()), "right")
+        if start == end:
+            return np.empty(0, np.int64)
+        order = start + np.argsort(self.lat[start:end], kind="stable")
+        lat, lon, odd = self.lat[order], self.lon[order], np.zeros(end - start, bool)
+        first, last = np.searchsorted(lat, ya, "left"), np.searchsorted(lat, yb, "left")
+        size = last - first
+        upto, done = np.cumsum(size), 0
+        while done < len(size):
+            base = upto[done - 1] if done else 0
+            to = max(done + 1, int(np.searchsorted(upto, base + BLOCK, "right")))
+            part = size[done:to]
+            e = np.repeat(np.arange(done, to), part)
+            at = np.repeat(first[done:to] - (np.cumsum(part) - part), part) + np.arange(part.sum())
+            done = to
+            east = lon[at] < xa[e] + (lat[at] - ya[e]) * ((xb[e] - xa[e]) / (yb[e] - ya[e]))
+            odd ^= np.bincount(at[east], minlength=len(odd)) % 2 == 1
+        return order[odd]
+
+
+def _sweep_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, shared, region) of a tile's rows: its places first, then edges in order of region and member."""
+    rows, places, held, size = [], None, [], 0
+
+    def contained(edges: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
+        region, member = edges.column("region").to_numpy(), edges.column("member").to_numpy()
+        starts = np.flatnonzero(np.append(True, region[1:] != region[:-1])) if len(region) else np.empty(0, np.int64)
+        upto = len(region) if last or not len(starts) else int(starts[-1])
+        ends = [edges.column(c).to_numpy() for c in ("xa", "ya", "xb", "yb")]
+        hit, of = [np.empty(0, np.int64)], [region[:0]]
+        for at, to in zip(starts, np.append(starts[1:], len(region))):
+            if at >= upto:
+                break
+            parts = np.append(at + np.flatnonzero(np.append(True, member[at + 1 : to] != member[at : to - 1])), to)
+            found = [places.within(*(c[i:j] for c in ends)) for i, j in zip(parts, parts[1:])]
+            one = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+            hit.append(one)
+            of.append(np.full(len(one), region[at]))
+        n, of = np.concatenate(hit), np.concatenate(of)
+        made = [pa.array(places.place[n]), pa.array(places.shared[n]), pa.array(of, pa.int64())]
+        return pa.RecordBatch.from_arrays(made, ["place", "shared", "region"]), edges.slice(upto)
+
+    for batch in batches:
+        edge = batch.column("kind").to_numpy() == EDGE
+        n = int(np.argmax(edge)) if edge.any() else batch.num_rows
+        if n:
+            rows.append(batch.slice(0, n))
+        if n == batch.num_rows or not rows:
+            continue
+        if places is None:
+            places = _TilePlaces(rows)
+        held.append(batch.slice(n))
+        size += batch.num_rows - n
+        if size >= EDGES:
+            out, rest = contained(pa.Table.from_batches(held), False)
+            yield out
+            held, size = rest.to_batches(), rest.num_rows
+    if held:
+        yield contained(pa.Table.from_batches(held), True)[0]
+
+
+def points_inside(
+    points: DataFrame | Places, regions: DataFrame, region_id: str, shape: str, most_in_tile: int = 1 << 20, height: float = 0.01
+) -> DataFrame:
     """(a_id, b_id): points, as of ``usable_points``, and the regions that contain them.
 
-    Regions come to the driver from south to north and are sent out in blocks of ``most_vertices``
-    vertices at most (a region of more is a block of its own). A block only meets the points in its
-    range of latitudes, so however many regions there are, what is broadcast at once is bounded.
+    ``height`` is the least height of a strip, in degrees.
     """
-    spark = points.sparkSession
-    rows = regions.select(F.col(region_id).cast("long").alias("id"), F.col(shape).alias("shape")).where("id IS NOT NULL AND shape IS NOT NULL")
-    kind = dict(points.dtypes)["id"]
-
-    def south(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lows = [min((float(p[0][:, 1].min()) for p in region_rings(t)), default=None) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lows, pa.float64())], ["id", "shape", "south"])
-
-    ordered = rows.mapInArrow(south, "id long, shape string, south double").where("south IS NOT NULL").distinct().orderBy("south", "id")
-    out, block, size = [], [], 0
-
-    def send() -> None:
-        lats = [r[:, 1] for _, polygons in block for p in polygons for r in p]
-        low, high = min(v.min() for v in lats), max(v.max() for v in lats)
-        sent = spark.sparkContext.broadcast(list(block))
-        met = points.select("id", "lat", "lon").where(F.col("lat").between(float(low), float(high)))
-        out.append(met.mapInArrow(lambda it: _inside(it, sent), f"a_id {kind}, b_id long"))
-
-    for row in ordered.toLocalIterator():
-        polygons = region_rings(row["shape"])
-        vertices = sum(len(r) for p in polygons for r in p)
-        if block and size + vertices > most_vertices:
-            send()
-            block, size = [], 0
-        block.append((row["id"], polygons))
-        size += vertices
-    if block:
-        send()
-    if not out:
-        return spark.createDataFrame([], f"a_id {kind}, b_id long")
-    found = out[0]
-    for more in out[1:]:
-        found = found.union(more)
-    return found.distinct() if len(out) > 1 else found
+    at = points if isinstance(points, Places) else places_of(points)
+    kind, arrow = dict(at.places.dtypes)["place"], to_arrow_type(at.places.schema["place"].dataType)
+    rows = regions.select(F.col(region_id).cast("long").alias("id"), F.col(shape).cast("string").alias("shape"))
+    # the shapes of one region are told apart by their numbers
+    rows = rows.where("id IS NOT NULL AND shape IS NOT NULL").distinct().withColumn("number", F.shiftright(F.xxhash64("shape"), 1))
+    tiles = plan_tiles(at.places, height, most_in_tile)
+    held = at.places.mapInArrow(lambda it: _owned(it, tiles), _ROW.format(kind=kind))
+    edges = rows.mapInArrow(lambda it: _edges(it, tiles, arrow), _ROW.format(kind=kind))
+    together = held.union(edges).repartitionById(tiles.count, "tile").sortWithinPartitions("kind", "region", "member")
+    found = together.mapInArrow(_sweep_regions, f"place {kind}, shared boolean, region long")
+    members = at.members().where("shared").select("id", "place")
+    found = cut(found)
+    single = found.where("NOT shared").select(F.col("place").alias("a_id"), F.col("region").alias("b_id"))
+    several = join_balanced(members, found.where("shared").select("place", "region"), "place", ["id"])
+    return single.union(several.select(F.col("id").alias("a_id"), F.col("region").alias("b_id")))

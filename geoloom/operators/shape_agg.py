@@ -13,6 +13,8 @@ Defined results
     ties                perimeter, then doc_count, both falling, then the bytes of the key
     merged shapes       digest and type of the one with the least original bytes
     no such column      no buckets, with the result's columns
+    other columns       may have any name, those of the result included
+    missing             stands for a null, and for an array without values
     empty table         no buckets
 """
 
@@ -24,12 +26,15 @@ from pyspark.sql import types as T
 
 from geoloom.functions.options import OutputFormat, ShapeAggRequest, Simplify, output_format
 from geoloom.functions.shape_udfs import attributes, render, simplified_wkb
+from geoloom.operators.balance import _fresh, join_balanced
+from geoloom.plans.lineage import cut
 
-#: Survivors up to this many are sent to every task when sub-aggregates find their rows again.
+#: Survivors up to this many are sent to every task when sub-aggregates find their rows again; more
+#: are joined with hot keys split.
 MOST_BROADCAST = 100_000
 
 #: Names that sub-aggregates cannot have.
-_RESERVED = {"key", "digest", "type", "doc_count", "sum_other_doc_count", "wkb", "perimeter", "out", "_a", "_n", "_s"}
+_RESERVED = {"key", "digest", "type", "doc_count", "sum_other_doc_count"}
 
 _RANKING = (F.desc, "perimeter"), (F.desc, "doc_count"), (F.asc, "wkb")
 
@@ -38,16 +43,17 @@ def _ranking() -> list[Column]:
     return [f(c) for f, c in _RANKING]
 
 
-def _values(df: DataFrame, field: str, keep: list[str]) -> DataFrame:
-    """A row for each row of ``df`` and distinct value of it, as ``wkb``."""
+def _values(df: DataFrame, field: str, name: str, missing: bytes | None) -> DataFrame:
+    """A row for each row of ``df`` and distinct value of it, with the value as ``name``."""
     kind = df.select(F.col(field).alias("c")).schema["c"].dataType
-    if isinstance(kind, T.BinaryType):
-        value = F.col(field)
-    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.BinaryType):
-        value = F.explode(F.array_distinct(F.col(field)))
-    else:
+    several = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.BinaryType)
+    if not several and not isinstance(kind, T.BinaryType):
         raise TypeError(f"{field} must be binary or an array of binary, not {kind.simpleString()}")
-    return df.select(value.alias("wkb"), *keep).where("wkb IS NOT NULL")
+    value = F.array_distinct(F.array_compact(F.col(field))) if several else F.col(field)
+    if missing is not None:
+        value = F.when(F.size(value) > 0, value).otherwise(F.array(F.lit(missing))) if several else F.coalesce(value, F.lit(missing))
+    # sub-aggregates read columns of the input, so all of them go along until Catalyst prunes them
+    return df.select("*", (F.explode(value) if several else value).alias(name)).where(F.col(name).isNotNull())
 
 
 def _has(df: DataFrame, field: str) -> bool:
@@ -74,7 +80,7 @@ def shape_agg(
 
     ``sub_aggs`` are aggregate expressions over columns of ``df``. ``shard`` names a column whose
     values rank their shapes apart in the first step, as separate shards would. ``missing`` stands
-    for null shapes.
+    for shapes that are not there.
     """
     request = ShapeAggRequest(field, output_format(fmt), Simplify.parse(simplify), size, shard_size)
     subs = sub_aggs or {}
@@ -86,21 +92,19 @@ def shape_agg(
         return nothing.where("false").select(
             text("key"), text("digest"), text("type"), "doc_count", *subs, F.lit(0).cast("long").alias("sum_other_doc_count")
         )
-    if missing is not None:
-        df = df.withColumn("_shape", F.coalesce(F.col(field), F.lit(missing)))
-        field = "_shape"
-    # sub-aggregates read columns of the input, so all of them go along until Catalyst prunes them
-    others = [c for c in df.columns if c not in ("wkb", "_shape")]
-    rows = _values(df, field, [f"`{c}`" for c in others])
-    by = ["wkb"] + ([f"`{shard}`"] if shard else [])
-    early = {} if request.simplify or shard else subs  # one grouping is enough where nothing is merged
+    shape = _fresh("_shape", df)
+    rows = _values(df, field, shape, missing)
+    by = [F.col(shape).alias("wkb")] + ([F.col(f"`{shard}`").alias("shard")] if shard else [])
+    # behind the grouping there are no columns of the input, so no names can clash
+    numbered = {f"s{i}": e for i, e in enumerate(subs.values())}
+    early = {} if request.simplify or shard else numbered  # one grouping is enough where nothing is merged
     counted = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("doc_count"), *(e.alias(n) for n, e in early.items()))
     # shapes without a perimeter rank last and go after the limit: a filter before it would be pushed
     # below the grouping, and with it the decoding of every row
     known = counted.withColumn("_a", attributes("wkb")).select("*", "_a.*").drop("_a")
 
     if shard:
-        order = Window.partitionBy(shard).orderBy(*_ranking())
+        order = Window.partitionBy("shard").orderBy(*_ranking())
         top = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= request.cut).drop("_n")
     else:
         top = known.orderBy(*_ranking()).limit(request.cut if request.simplify else request.size)
@@ -111,26 +115,54 @@ def shape_agg(
     else:
         top = top.withColumn("out", F.col("wkb"))
     if request.simplify or shard:
+        few = not shard and request.cut <= MOST_BROADCAST
+        if subs and not few:
+            top = cut(top)
+            few = top.count() <= MOST_BROADCAST
         first = lambda c: F.min_by(c, "wkb").alias(c)
         merged = top.groupBy("out").agg(F.sum("doc_count").alias("doc_count"), *map(first, ("digest", "type", "perimeter")))
         merged = merged.withColumnRenamed("out", "wkb").orderBy(*_ranking()).limit(request.size)
         if subs:
-            survivors = top.select("wkb", "out", *([shard] if shard else [])).distinct()
-            if not shard and request.cut <= MOST_BROADCAST:
-                survivors = F.broadcast(survivors)
-            found = rows.join(survivors, ["wkb", *([shard] if shard else [])])
-            found = found.groupBy("out").agg(*(e.alias(n) for n, e in subs.items()))
-            merged = merged.join(found.withColumnRenamed("out", "wkb"), "wkb")
+            found = _rows_of(rows, shape, shard, top, few).agg(*(e.alias(n) for n, e in numbered.items()))
+            merged = merged.join(found.withColumnsRenamed({found.columns[0]: "wkb"}), "wkb")
     else:
         merged = top
     total = rows.agg(F.count(F.lit(1))).scalar()
     kept = F.sum("doc_count").over(Window.partitionBy())  # over at most ``size`` rows
     merged = merged.withColumn("sum_other_doc_count", total - kept).orderBy(*_ranking())
+    named = [F.col(n).alias(name) for n, name in zip(numbered, subs)]
     return merged.select(
-        render(F.col("wkb"), request.output_format).alias("key"), "digest", "type", "doc_count", *subs, "sum_other_doc_count"
+        render(F.col("wkb"), request.output_format).alias("key"), "digest", "type", "doc_count", *named, "sum_other_doc_count"
     )
 
 
+def _rows_of(rows: DataFrame, shape: str, shard: str | None, top: DataFrame, few: bool):
+    """The rows behind the shapes of ``top``, grouped by what their shape became."""
+    wkb, of, out = (_fresh(n, rows) for n in ("_wkb", "_of_shard", "_out"))
+    survivors = top.select(F.col("wkb").alias(wkb), F.col("out").alias(out), *([F.col("shard").alias(of)] if shard else [])).distinct()
+    same = F.col(shape) == F.col(wkb)
+    if shard:
+        same &= F.col(f"`{shard}`").eqNullSafe(F.col(of))
+    if few:
+        return rows.join(F.broadcast(survivors), same).groupBy(out)
+    # a shape, or a shape of one shard, may hold a third of all rows
+    at = _fresh("_at", rows, survivors)
+    whole = [f"`{f.name}`" for f in rows.schema.fields if not _has_map(f.dataType)]
+    tell = _fresh("_tell", rows, survivors)
+    keyed = rows.withColumns({at: F.xxhash64(shape, *([f"`{shard}`"] if shard else [])), tell: F.xxhash64(*whole)})
+    survivors = survivors.withColumn(at, F.xxhash64(wkb, *([of] if shard else [])))
+    return join_balanced(keyed, survivors, at, [tell]).where(same).groupBy(out)
+
+
+def _has_map(kind: T.DataType) -> bool:
+    """Whether values cannot be hashed."""
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
 def run_request(df: DataFrame, body: dict, sub_aggs: dict[str, Column] | None = None, shard: str | None = None) -> DataFrame:
     """``shape_agg`` for the parameters of a mapping: field, output_format, simplify, size, shard_size."""
     r = ShapeAggRequest.parse(body)

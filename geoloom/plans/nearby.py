@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.operators.proximity import near_points, point_pairs, points_inside, usable_points
-from geoloom.plans.lineage import cut
+from geoloom.operators.proximity import near_points, places_of, point_pairs, points_inside, usable_points
 from geoloom.sources.tables import table
 
 RADIUS = 0.005
@@ -18,7 +17,7 @@ def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of sites near each other, and sites with the zones that contain them."""
-    sites = cut(_sites(spark, sf_dir))
+    sites = places_of(_sites(spark, sf_dir))
     near = point_pairs(near_points(sites, RADIUS)).withColumn("kind", F.lit("near"))
     inside = points_inside(sites, table(spark, sf_dir, "zones"), "zone_id", "geoshape")
     return near.unionByName(inside.withColumn("kind", F.lit("inside"))).select("kind", "a_id", "b_id")

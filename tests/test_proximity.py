@@ -1,7 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from geoloom.operators import proximity
 from geoloom.operators.proximity import contains, near_points, point_pairs, points_inside, region_rings, usable_points
 
 
@@ -66,12 +68,70 @@ SHAPES = [
 ]
 
 
-@pytest.mark.parametrize("most_vertices", [1, 1 << 21])
-def test_inside(spark, most_vertices):
-    regions = spark.createDataFrame(SHAPES, "rid long, shape string")
-    points = frame(spark, [5, 2, 1, 1, 25, 25, 50], [5, 2, 178, -178, 175, -175, 0])
-    got = points_inside(points, regions, "rid", "shape", most_vertices).collect()
-    assert sorted(map(tuple, got)) == [(1, 1), (2, 2), (3, 2), (4, 3), (5, 3)]
+@pytest.mark.parametrize("most_in_tile", [1, 1 << 20])
+def test_inside(spark, most_in_tile):
+    regions = spark.createDataFrame([*SHAPES, (9, "POLYGON ((-1 -1, 3 -1, 3 3, -1 3, -1 -1))"), (9, "POLYGON ((1 1, 8 1, 8 8, 1 8, 1 1))")], "rid long, shape string")
+    points = frame(spark, [5, 2, 1, 1, 25, 25, 50, 2, 2], [5, 2, 178, -178, 175, -175, 0, 2, 2])
+    got = points_inside(points, regions, "rid", "shape", most_in_tile).collect()
+    nine = [(0, 9), (1, 9), (7, 9), (8, 9)]
+    assert sorted(map(tuple, got)) == sorted([(1, 1), (2, 2), (3, 2), (4, 3), (5, 3), (7, 1), (8, 1), *nine])
+
+
+@pytest.mark.parametrize("most_in_tile, edges", [(40, 8), (1 << 20, 1 << 16)])
+def test_inside_as_by_brute_force(spark, monkeypatch, most_in_tile, edges):
+    monkeypatch.setattr(proximity, "EDGES", edges)
+    rng = np.random.default_rng(1)
+    shapes = []
+    for i in range(30):
+        turn, far = np.sort(rng.uniform(0, 2 * np.pi, 12)), rng.uniform(1, 30, 12)
+        x, y = rng.uniform(-150, 150), rng.uniform(-60, 60)
+        ring = [f"{x + d * np.cos(t)} {y + d * np.sin(t)}" for t, d in zip(turn, far)]
+        shapes.append((i, f"POLYGON (({', '.join([*ring, ring[0]])}), ({x} {y}, {x + 0.5} {y}, {x} {y + 0.5}, {x} {y}))"))
+    lat = np.concatenate([rng.uniform(-80, 80, 500), rng.normal(20, 0.001, 300)])
+    lon = np.concatenate([rng.uniform(-180, 180, 500), rng.normal(10, 20, 300)])
+    want = {(int(p), i) for i, t in shapes for ring in region_rings(t) for p in np.flatnonzero(contains(ring, lon, lat))}
+    got = points_inside(frame(spark, lat, lon), spark.createDataFrame(shapes, "rid long, shape string"), "rid", "shape", most_in_tile).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_hot_cells_are_cut(spark):
+    rng = np.random.default_rng(2)
+    n, most = 60_000, 5000
+    lat, lon = rng.uniform(10, 10.004, n), rng.uniform(20, 20.3, n)
+    lat[:10], lon[:10] = rng.uniform(-80, 80, 10), rng.uniform(-180, 180, 10)
+    at = proximity.places_of(spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "lat": lat, "lon": lon})))
+    tiles = proximity.plan_tiles(at.places, 1e-5, most)
+    held = np.bincount(tiles.place(lat, lon)[0], minlength=tiles.count)
+    assert held.max() <= 1.6 * most and 2 * n / most / 2 <= tiles.count <= 8 * n / most
+    got = {tuple(r) for r in point_pairs(near_points(at, 1e-5, most)).collect()}
+    order = np.argsort(lon)
+    want = set()
+    for k in range(1, 40):  # no point has 40 others within the radius of its longitude
+        i, j = order[:-k], order[k:]
+        near = np.hypot(lat[i] - lat[j], lon[i] - lon[j]) <= 1e-5
+        want |= {(int(min(a, b)), int(max(a, b))) for a, b in zip(i[near], j[near])}
+    assert got == want
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_hot_places(spark, monkeypatch, most):
+    monkeypatch.setattr(proximity, "MOST_BROADCAST", most)
+    lat, lon = [5.0] * 40 + [5.1, -0.0, 0.0, 60.0], [5.0] * 40 + [5.0, 7.0, 7.0, 60.0]
+    points = frame(spark, lat, lon)
+    got = [tuple(r) for r in point_pairs(near_points(points, 0.2)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(np.array(lat), np.array(lon), 0.2)
+    members = {r.id: r.place for r in near_points(points, 0.2).members.collect()}
+    assert [members[i] for i in (0, 39, 40, 41, 42, 43)] == [0, 0, 40, 41, 41, 43]
+    regions = spark.createDataFrame([(1, "POLYGON ((4 4, 6 4, 6 6, 4 6, 4 4))")], "rid long, shape string")
+    assert {r.a_id for r in points_inside(points, regions, "rid", "shape").collect()} == set(range(41))
+
+
+def test_ids_of_any_kind(spark):
+    points = spark.createDataFrame([("a", 1.0, 1.0), ("b", 1.0, 1.1), ("c", 1.0, 1.0)], "id string, lat double, lon double")
+    got = {tuple(r) for r in point_pairs(near_points(points, 0.2)).collect()}
+    assert got == {("a", "b"), ("a", "c"), ("b", "c")}
+    regions = spark.createDataFrame([(1, "POLYGON ((0 0, 2 0, 2 1.05, 0 1.05, 0 0))")], "rid long, shape string")
+    assert {r.a_id for r in points_inside(points, regions, "rid", "shape").collect()} == {"a", "b", "c"}
 
 
 def test_neighbours_share_no_point():

@@ -216,3 +216,34 @@ def test_documents_and_streams(spark, tmp_path):
     assert sorted(str(r.t) for r in out.select(F.col("geo_shape_0.type").alias("t")).collect()) == ["None", "Point", "Polygon"]
     with pytest.raises(ValueError):
         read_documents(spark, str(tmp_path), "csv")
+
+
+def test_agg_columns_of_any_name(spark):
+    names = ("wkb", "_shape", "out", "shard", "perimeter", "doc_count", "_wkb", "_at", "_tell")
+    df = wkb_frame(spark, square(3), square(2), square(2), square(0.1)).select(F.col("wkb").alias("geo"), *(F.lit(f"u{n}").alias(n) for n in names))
+    subs = {f"m{n}": F.max(n) for n in names}
+    for more in ({}, {"simplify": {"zoom": 0, "algorithm": "DOUGLAS_PEUCKER"}}, {"shard": "shard"}):
+        rows = shape_agg(df, "geo", sub_aggs=subs, **more).collect()
+        assert [r.doc_count for r in rows] == [1, 2, 1]
+        assert all(r[f"m{n}"] == f"u{n}" for r in rows for n in names)
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_agg_sub_aggregates_of_shards(spark, monkeypatch, most):
+    from geoloom.operators import shape_agg as module
+
+    monkeypatch.setattr(module, "MOST_BROADCAST", most)
+    df = wkb_frame(spark, square(3), square(2), square(2), square(1)).withColumn("s", F.when(F.col("id") < 3, F.lit(1)))
+    rows = shape_agg(df, "wkb", size=2, shard="s", sub_aggs={"ids": F.sum("id")}).collect()
+    assert [(r.doc_count, r.ids, r.sum_other_doc_count) for r in rows] == [(1, 0, 1), (2, 3, 1)]
+    rows = shape_agg(df, "wkb", size=9, simplify={"zoom": 0, "algorithm": "TOPOLOGY_PRESERVING"}, sub_aggs={"ids": F.sum("id")}).collect()
+    assert [(r.doc_count, r.ids) for r in rows] == [(1, 0), (2, 3), (1, 3)]
+
+
+def test_agg_missing_in_arrays(spark):
+    point = bytes.fromhex("0101000000") + bytes(16)
+    df = wkb_frame(spark, square(3)).select(F.array("wkb", "wkb", F.lit(None)).alias("w"))
+    df = df.union(spark.createDataFrame([(None,), ([],), ([None],)], "w array<binary>"))
+    rows = shape_agg(df, "w", fmt="wkt", missing=point).collect()
+    assert [(r.key[:5], r.doc_count) for r in rows] == [("POLYG", 1), ("POINT", 3)]
+    assert [r.doc_count for r in shape_agg(df, "w").collect()] == [1]
