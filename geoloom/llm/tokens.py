@@ -1,10 +1,16 @@
 """Encoding of texts with a public byte-level BPE vocabulary.
 
 Each task cuts its texts into words, keeps the distinct words it has not met yet, and has DuckDB
-contract them: token-position rows join the merge table, the leftmost pair of least rank of each
-word is contracted, and the recursion ends where no word has a pair left. An ordered aggregation
+contract them: token-position rows join the merge table, the pairs of least rank of each word are
+contracted from the left, and the recursion ends where no word has a pair left. An ordered aggregation
 gives each word's ids. Texts are then put together from the words' ids, all in arrays.
 
+A step contracts all pairs of a word's least rank that do not overlap. That is the same as one after
+the other where no merge of lower or equal rank takes up the token made; of other tokens, which rank
+files may have, only the leftmost pair is contracted. So a word takes as many steps as ranks are used
+in it. That is still much for a word of thousands of bytes: beyond LONG_WORD bytes, the pairs of a word
+wait in a queue by rank and position instead.
+
 Nothing is shuffled, and a word is contracted once a task however often it occurs.
 
 Defined results
@@ -12,13 +18,14 @@ Defined results
     blank text              its tokens, like any other text
     special tokens          never made; their spelling in a text is ordinary text
     very long texts         encoded whole; a task works through its texts in pieces of CHUNK_BYTES,
-                            a longer text being a piece of its own
+                            a longer text being a piece of its own; so are words of any length
     repeated rows           encoded each, other columns ignored; an empty table gives no rows
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,6 +37,8 @@ from pyspark.sql import Column, DataFrame
 CHUNK_BYTES = 4 << 20
 #: Words that a task remembers before it starts afresh, and bytes contracted by one recursive query.
 KEPT_WORDS, QUERY_BYTES = 1 << 19, 1 << 19
+#: Bytes of the longest word that the recursive query contracts.
+LONG_WORD = 1 << 10
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 _APOSTROPHE, _BLANK = ord("'"), ord(" ")
@@ -96,19 +105,56 @@ WITH RECURSIVE steps(word, pos, tok, open) AS (
   SELECT word, pos, tok, true FROM start
   UNION ALL
   (WITH pairs AS (
-     SELECT word, pos, tok, lead(tok) OVER w AS after, lag(pos) OVER w AS pos_before
+     SELECT word, pos, tok, lead(tok) OVER w AS after, row_number() OVER w AS n
      FROM steps WHERE open WINDOW w AS (PARTITION BY word ORDER BY pos)
    ), ranked AS (
-     SELECT p.word, p.pos, p.tok, p.pos_before, m.made, m.rank * 1048576 + p.pos AS place
+     SELECT p.word, p.pos, p.tok, p.n, m.made, m.rank, m.alone, min(m.rank) OVER (PARTITION BY p.word) AS best
      FROM pairs p LEFT JOIN merges m ON m.a = p.tok AND m.b = p.after
-   ), chosen AS (SELECT *, min(place) OVER (PARTITION BY word) AS best FROM ranked)
-   SELECT word, pos, CASE WHEN place = best THEN made ELSE tok END, best IS NOT NULL
-   FROM chosen WHERE best IS NULL OR pos_before IS NULL OR pos_before <> best % 1048576)
+   ), hits AS (
+     SELECT word, n, alone, row_number() OVER (PARTITION BY word ORDER BY n) AS hit FROM ranked WHERE rank = best
+   ), runs AS (
+     SELECT word, n, alone, hit, row_number() OVER (PARTITION BY word, n - hit ORDER BY n) AS of_run FROM hits
+   ), taken AS (
+     SELECT word, n FROM runs WHERE CASE WHEN alone THEN hit = 1 ELSE of_run % 2 = 1 END
+   )
+   SELECT r.word, r.pos, CASE WHEN t.n = r.n THEN made ELSE tok END, best IS NOT NULL
+   FROM ranked r LEFT JOIN taken t ON t.word = r.word AND t.n = r.n
+   ANTI JOIN taken u ON u.word = r.word AND u.n = r.n - 1)
 )
 SELECT word, list(tok ORDER BY pos) AS ids FROM steps WHERE NOT open GROUP BY word ORDER BY word
 """
 
 
+def contract_queued(tokens: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """The tokens of one word, its pairs in a queue by rank and position."""
+    n = len(tokens)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    tokens = list(tokens)
+
+    def place(i: int) -> int | None:
+        """Of the pair that begins at i in the queue."""
+        found = merges.get((tokens[i], tokens[after[i]])) if after[i] < n else None
+        return found and found[0] * n + i
+
+    queue = [p for p in map(place, range(n)) if p is not None]
+    heapq.heapify(queue)
+    while queue:
+        p = heapq.heappop(queue)
+        i = p % n
+        if tokens[i] < 0 or place(i) != p:
+            continue  # one of the pair has been taken up
+        j = after[i]
+        tokens[i] = merges[tokens[i], tokens[j]][1]
+        tokens[j] = -1
+        after[i] = after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        for k in (before[i], i):
+            if k >= 0 and (q := place(k)) is not None:
+                heapq.heappush(queue, q)
+    return [t for t in tokens if t >= 0]
+
+
 class BpeEncoder:
     """A byte-level BPE vocabulary: a JSON file of the tokenizers library, or a rank file (``.tiktoken``)."""
 
@@ -118,10 +164,12 @@ class BpeEncoder:
         self._bytes, pairs = _rank_file(path) if path.endswith(".tiktoken") else _json_file(path)
         ids = {b: i for i, b in self._bytes.items()}
         self.byte_id = np.array([ids[bytes([b])] for b in range(256)], np.int32)
-        a, b, rank, made = zip(*pairs)
-        table = pa.table(
-            {"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "rank": pa.array(rank, pa.int64()), "made": pa.array(made, pa.int32())}
-        )
+        a, b, rank, made = (np.array(c, np.int32) for c in zip(*pairs))
+        least = np.full(max(ids.values()) + 1, np.iinfo(np.int32).max)
+        for side in (a, b):
+            np.minimum.at(least, side, rank)
+        table = pa.table({"a": a, "b": b, "rank": rank, "made": made, "alone": least[made] <= rank})
+        self._pairs, self._merges = pairs, {}
         self._db = duckdb.connect(config={"threads": 1})
         self._db.register("merges_in", table)
         self._db.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
@@ -132,8 +180,17 @@ class BpeEncoder:
         self._slot: dict[bytes, int] = {}
         self._ids, self._ends = np.empty(0, np.int32), np.zeros(1, np.int64)
 
+    def _contract_long(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids end to end, and their number for each word."""
+        if words and not self._merges:
+            self._merges = {(a, b): (rank, made) for a, b, rank, made in self._pairs}
+        made = [contract_queued(self.byte_id[np.frombuffer(w, np.uint8)].tolist(), self._merges) for w in words]
+        return np.array([t for m in made for t in m], np.int32), np.array(list(map(len, made)), np.int64)
+
     def _contract(self, words: list[bytes]) -> None:
         """Adds new words with their ids."""
+        long = [w for w in words if len(w) > LONG_WORD]
+        words = [w for w in words if len(w) <= LONG_WORD]
         ids, counts = [self._ids], []
         at = 0
         while at < len(words):
@@ -145,8 +202,6 @@ class BpeEncoder:
             tokens = self.byte_id[np.frombuffer(b"".join(words[at:to]), np.uint8)]
             word = np.repeat(np.arange(to - at, dtype=np.int32), lengths)
             pos = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            if pos.max(initial=0) >= 1 << 20:
-                raise ValueError("a word of 1,048,576 bytes or more")
             start = pa.table({"word": word, "pos": pos.astype(np.int32), "tok": tokens})
             self._db.register("start", start)
             made = self._db.sql(_CONTRACT).to_arrow_table().column("ids").combine_chunks()
@@ -154,9 +209,13 @@ class BpeEncoder:
             ids.append(made.flatten().to_numpy())
             counts.append(np.diff(made.offsets.to_numpy()))
             at = to
+        if long:
+            made, n = self._contract_long(long)
+            ids.append(made)
+            counts.append(n)
         if counts:
             before = len(self._slot)
-            self._slot.update((w, before + i) for i, w in enumerate(words))
+            self._slot.update((w, before + i) for i, w in enumerate([*words, *long]))
             self._ids = np.concatenate(ids)
             self._ends = np.append(self._ends, self._ends[-1] + np.cumsum(np.concatenate(counts)))
 

@@ -1,3 +1,7 @@
+import time
+
+import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -5,7 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from geoloom.llm.queries import vocabulary
-from geoloom.llm.tokens import encode, encoder
+from geoloom.llm import tokens
+from geoloom.llm.tokens import BpeEncoder, contract_queued, encode, encoder
 
 tokenizers = pytest.importorskip("tokenizers")
 
@@ -75,8 +80,6 @@ def test_table(spark):
 
 
 def test_pieces_and_forgetting(monkeypatch):
-    from geoloom.llm import tokens
-
     texts = [f"some text number {i} of many" for i in range(200)]
     whole = ids(texts)
     monkeypatch.setattr(tokens, "CHUNK_BYTES", 100)
@@ -84,3 +87,44 @@ def test_pieces_and_forgetting(monkeypatch):
     monkeypatch.setattr(tokens, "QUERY_BYTES", 30)
     encoder(vocabulary()).forget()
     assert ids(texts) == whole
+
+
+def letters(n, signs):
+    return "".join(np.random.default_rng(n).choice(list(signs), n))
+
+
+LONG = [letters(n, signs) for n in (900, 1024, 1100, 5000) for signs in ("abcdefghijklmnopqrstuvwxyz", "acgt", "a", "aab", "αβγ", "=-")]
+
+
+def test_long_words(peer):
+    assert ids(LONG) == [peer.encode(t, add_special_tokens=False).ids for t in LONG]
+
+
+def test_both_ways_of_contraction_agree(monkeypatch):
+    texts = [*SPECIAL, *LONG[:6]]
+    for name in ("byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"):
+        queried = BpeEncoder(vocabulary(name)).encode(pa.array(texts)).to_pylist()
+        with monkeypatch.context() as m:
+            m.setattr(tokens, "LONG_WORD", 0)
+            assert BpeEncoder(vocabulary(name)).encode(pa.array(texts)).to_pylist() == queried
+
+
+def test_merges_out_of_order():
+    """A pair of lower rank that takes up the token just made goes before the next pair of that token."""
+    db = duckdb.connect()
+    merges = {(1, 2): (5, 3), (3, 1): (2, 4), (2, 1): (7, 6)}
+    rows = [(a, b, rank, made, made == 3) for (a, b), (rank, made) in merges.items()]
+    db.execute("CREATE TABLE merges (a INT, b INT, rank INT, made INT, alone BOOL)")
+    db.executemany("INSERT INTO merges VALUES (?, ?, ?, ?, ?)", rows)
+    for word in ([1, 2, 1, 2], [1, 2, 1, 2, 1, 2], [2, 1, 2, 1], [1, 1, 2, 2, 1]):
+        start = pa.table({"word": [0] * len(word), "pos": range(len(word)), "tok": word})
+        db.register("start", start)
+        assert db.sql(tokens._CONTRACT).fetchall() == [(0, contract_queued(word, merges))]
+    assert contract_queued([1, 2, 1, 2], merges) == [4, 2]
+
+
+def test_a_very_long_word():
+    word = letters(100_000, "abcdefghijklmnopqrstuvwxyz")
+    began = time.process_time()
+    (made,) = ids([word])
+    assert time.process_time() - began < 10 and encoder(vocabulary()).decode(made) == word
