@@ -320,15 +320,16 @@ def point_pairs(near: NearPoints) -> DataFrame:
     links = cut(near.links)
     single = links.where("NOT a_shared AND NOT b_shared").select(F.col("a").alias("l"), F.col("b").alias("r"))
     members = cut(near.members.where("shared").select("id", "place"))
-    left = members.select(F.col("id").alias("l"), F.col("place").alias("a"))
+    # a shared place is linked to itself
+    own = members.where("id = place").select(F.col("place").alias("a"), F.col("place").alias("b"), F.lit(True).alias("a_shared"), F.lit(True).alias("b_shared"))
+    several = links.where("a_shared OR b_shared").union(own)
+    from_shared = join_balanced(members.select(F.col("id").alias("l"), F.col("place").alias("a")), several.where("a_shared"), "a", ["l"])
+    linked = cut(from_shared.union(several.where("NOT a_shared").select(F.col("a").alias("l"), "a", "b", "a_shared", "b_shared")))
     right = members.select(F.col("id").alias("r"), F.col("place").alias("b"))
-    same = join_balanced(left, right.withColumnRenamed("b", "a"), "a", ["l"]).where("l < r").select("l", "r")
-    several = links.where("a_shared OR b_shared")
-    from_shared = join_balanced(left, several.where("a_shared"), "a", ["l"]).select("l", "b", "b_shared")
-    linked = cut(from_shared.union(several.where("NOT a_shared").select(F.col("a").alias("l"), "b", "b_shared")))
-    across = join_balanced(linked.where("b_shared").select("l", "b"), right, "b", ["l"]).select("l", "r")
+    across = join_balanced(linked.where("b_shared").select("l", "a", "b"), right, "b", ["l"])
+    across = across.where("a <> b OR l < r").select("l", "r")
     across = across.union(linked.where("NOT b_shared").select("l", F.col("b").alias("r")))
-    return single.union(same).union(across).select(F.least("l", "r").alias("a_id"), F.greatest("l", "r").alias("b_id"))
+    return single.union(across).select(F.least("l", "r").alias("a_id"), F.greatest("l", "r").alias("b_id"))
 
 
 # --- regions -----------------------------------------------------------------------------------
