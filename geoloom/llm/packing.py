@@ -8,8 +8,10 @@ largest size that fits (best fit) and looks its smaller gap up again. The result
 patterns, each with the number of containers that have it.
 
 Items then find their place without meeting each other: the r-th item of a size goes to the pattern
-whose range of that size holds r. Ranks are counted within groups of (size, part of the rows), so no
-size, however common, is ranked by one task.
+whose range of that size holds r. Ranks are counted within groups of (size, part of the rows), of which
+there are the more the more items there are, so no size, however common, is ranked by one task; the
+ranks at which the groups begin are summed over the groups' counts and joined where the groups are.
+The parts depend on the items alone, so the result does not depend on a session's settings.
 
 Defined results
     null sizes       counted as 0
@@ -32,8 +34,8 @@ from pyspark.sql import types as T
 
 from geoloom.plans.lineage import cut
 
-#: Bounds of the number of parts in which the rows of one size are ranked.
-LEAST_PARTS, MOST_PARTS = 64, 1024
+#: Items in a part on average, and the least number of parts.
+PART_ITEMS, LEAST_PARTS = 1 << 14, 16
 
 
 @dataclass
@@ -45,26 +47,34 @@ class Pattern:
 
 
 class _Stock:
-    """Sizes that are left, with an index of the sums of two of them."""
+    """Sizes that are left, with indexes of the sums of two and of three of them.
+
+    An index may say yes of sums whose sizes are used up; it is made anew after some misses.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.left = counts.astype(np.int64).copy()
         self.left[0] = 0
-        self.sums = self._pair_sums()
-        self.misses = 0
+        self._index()
 
-    def _pair_sums(self) -> np.ndarray:
-        """Whether a sum may be that of two sizes; may say yes of sums whose sizes are used up."""
-        there = (self.left > 0).astype(np.float32)
+    def _index(self) -> None:
+        there = self.left > 0
         n = 1 << int(2 * len(there) - 1).bit_length()
-        spread = np.fft.rfft(there, n)
-        return np.fft.irfft(spread * spread, n)[: len(there)] > 0.5
+
+        def sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Whether there are members of a and b with a sum, for each sum."""
+            return np.fft.irfft(np.fft.rfft(a.astype(float), n) * np.fft.rfft(b.astype(float), n), n)[: len(there)] > 0.5
+
+        self.pairs = sums(there, there)
+        self.triples = sums(there, self.pairs)
+        self.misses = 0
 
     def single(self, gap: int) -> tuple[int, ...] | None:
         return (gap,) if self.left[gap] > 0 else None
 
-    def pair(self, gap: int) -> tuple[int, ...] | None:
-        if not self.sums[gap]:
+    def pair(self, gap: int, for_good: bool = True) -> tuple[int, ...] | None:
+        """``for_good``: whether the sizes left now are all there will be."""
+        if not self.pairs[gap]:
             return None
         larger = self.left[(gap + 1) // 2 : gap]
         smaller = self.left[1 : gap // 2 + 1][::-1]
@@ -75,24 +85,29 @@ class _Stock:
         if len(hit):
             a = (gap + 1) // 2 + int(hit[-1])
             return (a, gap - a)
-        self.sums[gap] = False
-        self._missed()
+        if for_good:
+            self.pairs[gap] = False
+            self._missed()
         return None
 
     def triple(self, gap: int) -> tuple[int, ...] | None:
-        first = np.flatnonzero((self.left[1 : gap - 1] > 0) & self.sums[1 : gap - 1][::-1]) + 1
+        if not self.triples[gap]:
+            return None
+        first = np.flatnonzero((self.left[1 : gap - 1] > 0) & self.pairs[2:gap][::-1]) + 1
         for a in first[::-1].tolist():
             self.left[a] -= 1
-            found = self.pair(gap - a)
+            found = self.pair(gap - a, for_good=False)
             self.left[a] += 1
             if found:
                 return (a, *found)
+        self.triples[gap] = False
+        self._missed()
         return None
 
     def _missed(self) -> None:
         self.misses += 1
-        if self.misses % 256 == 0:
-            self.sums = self._pair_sums()
+        if self.misses == 256:
+            self._index()
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[Pattern]:
@@ -148,46 +163,74 @@ def _pieces(items: DataFrame, capacity: int) -> DataFrame:
     return rows.select("id", "piece", F.least(F.lit(capacity), F.col("whole") - F.col("piece").cast("long") * capacity).cast("int").alias("size"))
 
 
+class _Ranges:
+    """Finds the container, and the room used there, of a size and a rank."""
+
+    def __init__(self, patterns: list[Pattern], capacity: int):
+        table = ranges(patterns)
+        order = np.lexsort((table["from_rank"], table["size"]))
+        self.size, self.from_rank, self.container, self.each, self.used = (
+            table[n][order] for n in ("size", "from_rank", "container", "each", "used")
+        )
+        # the ranks of all sizes on one axis
+        held = np.zeros(capacity + 2, np.int64)
+        np.maximum.at(held, table["size"] + 1, table["to_rank"])
+        self.base = np.cumsum(held)
+        self.starts = self.base[self.size] + self.from_rank
+
+    def find(self, size: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.starts, self.base[size] + rank, "right") - 1
+        return self.container[at] + (rank - self.from_rank[at]) // self.each[at], self.used[at]
+
+
+_PLACE = pa.struct([("container", pa.int64()), ("used", pa.int64())])
+
+
 def pack(items: DataFrame, capacity: int) -> DataFrame:
     """(id, piece, size, container, used) for (id, size) rows; ``used`` is the room used in the container.
 
-    The driver holds counts by size and part, at most capacity * MOST_PARTS rows, and the plan; the
-    plan has at most a few ranges for each size, so both are broadcast whatever the number of items.
+    The driver holds the number of items of each size, and the plan, which has at most a few ranges
+    for each size: both are bounded by the capacity, whatever the number of items.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
-    spark = items.sparkSession
-    parts = min(MOST_PARTS, max(LEAST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    part = F.pmod(F.xxhash64("id", "piece"), F.lit(parts)).cast("int")
-    rows = _pieces(items, capacity).withColumn("part", part)
-    held = rows.where("size > 0").groupBy("size", "part").count().toArrow()
-    counts = np.zeros((capacity + 1, parts), np.int64)
-    counts[held.column("size").to_numpy(), held.column("part").to_numpy()] = held.column("count").to_numpy()
-    table = ranges(plan(counts.sum(axis=1), capacity))
-    before = np.cumsum(counts, axis=1) - counts
-    size, of_part = np.nonzero(counts)
-    offsets = pa.table({"size": size.astype(np.int32), "part": of_part.astype(np.int32), "before": before[size, of_part]})
-    places = pa.table({"size": table["size"].astype(np.int32), **{n: table[n] for n in ("from_rank", "to_rank", "container", "each", "used")}})
-    first_used = int(table["used"][0]) if len(table["used"]) else 0
-
+    return _pack(cut(items.select("id", "size")), capacity)
+
+
+def _pack(items: DataFrame, capacity: int) -> DataFrame:
+    rows = _pieces(items, capacity)
+    total = rows.count()
+    parts = max(LEAST_PARTS, 1 << (total // PART_ITEMS).bit_length())
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.lit(parts)).cast("int"))
+    some = rows.where("size > 0")
+    held = cut(some.groupBy("size", "part").agg(F.count(F.lit(1)).alias("n")))
+    counts = np.zeros(capacity + 1, np.int64)
+    for size, n in held.groupBy("size").agg(F.sum("n")).collect():  # at most ``capacity`` rows
+        counts[size] = n
+    patterns = plan(counts, capacity)
+    sent = items.sparkSession.sparkContext.broadcast(_Ranges(patterns, capacity))
+    first_used = sum(patterns[0].sizes) if patterns else 0
+
+    def place(size: pa.Array, rank: pa.Array) -> pa.Array:
+        container, used = sent.value.find(size.to_numpy(), rank.to_numpy())
+        return pa.StructArray.from_arrays([pa.array(container), pa.array(used)], fields=list(_PLACE))
+
+    upto = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = held.select("size", "part", (F.sum("n").over(upto) - F.col("n")).alias("before"))
     within = Window.partitionBy("size", "part").orderBy("id", "piece")
-    ranked = rows.where("size > 0").withColumn("n", F.row_number().over(within) - 1)
-    ranked = ranked.join(F.broadcast(spark.createDataFrame(offsets)), ["size", "part"])
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("n"))
-    at = F.broadcast(spark.createDataFrame(places))
-    placed = ranked.join(at, "size").where("rank >= from_rank AND rank < to_rank")
-    container = F.col("container") + F.floor((F.col("rank") - F.col("from_rank")) / F.col("each"))
-    placed = placed.select("id", "piece", "size", container.cast("long").alias("container"), "used")
+    ranked = some.withColumn("n", F.row_number().over(within) - 1).join(begins, ["size", "part"])
+    at = F.arrow_udf(place, "struct<container:bigint,used:bigint>")(F.col("size").cast("long"), F.col("before") + F.col("n"))
+    placed = ranked.withColumn("at", at).select("id", "piece", "size", "at.container", "at.used")
     nothing = rows.where("size = 0").select("id", "piece", "size", F.lit(0).cast("long").alias("container"), F.lit(first_used).cast("long").alias("used"))
     return placed.union(nothing)
 
 
 def pack_all(items: DataFrame, capacities: DataFrame, kind: str, capacity: str) -> DataFrame:
     """``pack`` for each row of a small table of capacities, with its ``kind``; null capacities are left out."""
-    items = cut(items)
+    items = cut(items.select("id", "size"))
     out = None
     for row in capacities.where(F.col(capacity) > 0).select(kind, capacity).distinct().orderBy(kind, capacity).collect():
-        one = pack(items, int(row[capacity]))
+        one = _pack(items, int(row[capacity]))
         one = one.select(F.lit(row[kind]).alias(kind), F.lit(int(row[capacity])).alias(capacity), *one.columns)
         out = one if out is None else out.union(one)
     if out is None:

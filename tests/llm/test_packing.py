@@ -3,6 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from geoloom.llm import packing
 from geoloom.llm.packing import pack, pack_all, plan, ranges
 
 
@@ -60,7 +61,11 @@ def test_pack_rows(spark, capacity):
     assert len(pieces) == -(-200 // capacity) and sorted(r.piece for r in pieces) == list(range(len(pieces)))
     assert all(len([r for r in got if r.id == i]) == 1 for i, s in rows[:300] if s is not None and s <= capacity and i != 1)
     assert [r.container for r in got if r.size == 0] == [0] * (sizes.count(0) + 1)
+    # neither the partitions nor the session's settings change anything
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
     again = pack(df.repartition(3), capacity).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
@@ -75,3 +80,18 @@ def test_pack_all(spark):
     assert pack_all(spark.createDataFrame([(3, 0)], "id long, size int"), kinds, "kind", "cap").count() == 2
     with pytest.raises(ValueError):
         pack(df, 0)
+
+
+def test_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_ITEMS", 8)
+    got = pack(spark.range(1000).selectExpr("id", "IF(id % 3 = 0, 7, id % 10) AS size"), 20).collect()
+    held = {}
+    for r in got:
+        held[r.container] = held.get(r.container, 0) + r.size
+    assert len(got) == 1000 and max(held.values()) <= 20 and {(r.container, r.used) for r in got} == set(held.items())
+
+
+def test_sums_of_three():
+    stock = packing._Stock(np.bincount([3, 5, 9, 9, 20], minlength=31))
+    assert [g for g in range(31) if stock.triples[g] and stock.triple(g)] == [17, 21, 23, 28]
+    assert stock.triple(21) == (9, 9, 3) and stock.pair(18) == (9, 9) and stock.pair(10) is None
