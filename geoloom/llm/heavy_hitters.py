@@ -1,7 +1,7 @@
 """Most frequent values of columns, in memory that does not grow with the data.
 
 Method: count-sketches with signed hashes, one for each level of a hierarchy of hash-bit prefixes.
-A first scan fills the sketches, each task its own and then summed cell by cell; the driver walks
+A first scan fills the sketches, each task its own and then summed block by block; the driver walks
 down the prefixes whose estimate stays above the threshold and ends with a bounded list of 64-bit
 hashes; a second scan counts the values behind these hashes exactly.
 
@@ -24,6 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.llm import sketches
+
+SKETCHES_PER_CORE = 8
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -69,7 +72,7 @@ def _row_cells(prefix: np.ndarray, level: int, row: int, shape: SketchShape) ->
 
 
 def _fill(batches: Iterator[pa.RecordBatch], columns: int, shape: SketchShape) -> Iterator[pa.RecordBatch]:
-    """One task's sketches of 64-bit hashes, as (cell, n) rows of the cells that are not 0."""
+    """One task's sketches of 64-bit hashes, as blocks of counters."""
     sketch = np.zeros(columns * shape.cells, np.int64)
     for batch in batches:
         for c in range(columns):
@@ -84,8 +87,7 @@ def _fill(batches: Iterator[pa.RecordBatch], columns: int, shape: SketchShape) -
                 for row in range(shape.depth):
                     cell, sign = _row_cells(prefix, level, row, shape)
                     own += np.bincount(cell, sign * counts, shape.cells).astype(np.int64)
-    used = np.flatnonzero(sketch)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(sketch[used])], ["cell", "n"])
+    yield from sketches.blocks(sketch)
 
 
 def _descend(sketch: np.ndarray, least: float, shape: SketchShape) -> np.ndarray:
@@ -123,14 +125,10 @@ def heavy_hitters(
     hashed = df.select(
         *(F.when(c.isNotNull(), F.xxhash64(c)).alias(f"h{i}") for i, c in enumerate(columns.values()))
     )
-    cells = (
-        hashed.mapInArrow(lambda it: _fill(it, len(names), shape), "cell long, n long")
-        .groupBy("cell")
-        .agg(F.sum("n").alias("n"))
-        .toArrow()  # at most len(names) * shape.cells rows
-    )
-    sketch = np.zeros(len(names) * shape.cells, np.int64)
-    sketch[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    # so many sketches at most, however many partitions the scan has
+    hashed = hashed.coalesce(SKETCHES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    filled = hashed.mapInArrow(lambda it: _fill(it, len(names), shape), sketches.SCHEMA)
+    sketch = sketches.summed(filled, len(names) * shape.cells)
     parts = []
     for i, name in enumerate(names):
         own = sketch[i * shape.cells : (i + 1) * shape.cells]

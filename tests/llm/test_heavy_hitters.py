@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from geoloom.llm import sketches
 from geoloom.llm.heavy_hitters import SketchShape, _descend, _fill, heavy_hitters
 
 
@@ -45,6 +46,6 @@ def test_small_sketches_still_find_heavy_prefixes():
     rng.shuffle(hashes)
     sketch = np.zeros(shape.cells, np.int64)
     for part in np.array_split(hashes, 3):  # sketches of tasks add up
-        out = next(_fill(iter([pa.RecordBatch.from_arrays([pa.array(part)], ["h0"])]), 1, shape))
-        sketch[out.column(0).to_numpy()] += out.column(1).to_numpy()
+        for out in _fill(iter([pa.RecordBatch.from_arrays([pa.array(part)], ["h0"])]), 1, shape):
+            sketch += sketches.unpacked(out.column(1)[0].as_py())  # there is one block
     assert set(heavy.tolist()) <= set(_descend(sketch, 1000, shape).view(np.int64).tolist())
