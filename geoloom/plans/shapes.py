@@ -22,7 +22,7 @@ from geoloom.operators.enrich import enrich
 from geoloom.operators.shape_agg import result_json, run_request, shape_agg
 from geoloom.operators.simplify import compile_script, geo_simplify
 from geoloom.plans import fixtures
-from geoloom.plans.lineage import shared_folder
+from geoloom.plans.lineage import discard, shared_folder
 from geoloom.sources.tables import spread, table
 from geoloom.streaming.enrichment import enrich_files
 
@@ -176,6 +176,8 @@ def stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     source.where("shape IS NOT NULL").write.parquet(f"{folder}/in")
     run = enrich_files(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", source.schema, "shape", once=True)
     run.awaitTermination()
+    for name in ("in", "checkpoint"):
+        discard(spark, f"{folder}/{name}")
     return spark.read.parquet(f"{folder}/out").select("id", "shape.fixed_shape")
 
 
