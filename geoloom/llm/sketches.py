@@ -7,7 +7,7 @@ compressed, not as a row for each counter.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,24 +34,45 @@ def blocks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(counts), BLOCK_CELLS):
         part = counts[at : at + BLOCK_CELLS]
         if part.any():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([at // BLOCK_CELLS], pa.int32()), "raw": [packed(part)]})
+            yield _row(at // BLOCK_CELLS, packed(part))
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sparse_blocks(cell: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of SCHEMA of how often each cell is in ``cell``."""
+    cell, n = np.unique(cell, return_counts=True)
+    ends = np.flatnonzero(np.diff(cell // BLOCK_CELLS, append=-1)) + 1
+    for at, to in zip(np.append(0, ends[:-1]), ends):
+        part = np.zeros(BLOCK_CELLS, np.int64)
+        part[cell[at:to] % BLOCK_CELLS] = n[at:to]
+        yield _row(int(cell[at]) // BLOCK_CELLS, packed(part))
+
+
+def _row(block: int, raw: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "raw": [raw]})
+
+
+def _sums(batches: Iterator[pa.RecordBatch], finish: Callable[[np.ndarray], np.ndarray] | None) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             counts = unpacked(raw)
             held[block] = held[block] + counts if block in held else counts
     for block, counts in held.items():
-        yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "raw": [packed(counts)]})
+        yield _row(block, zlib.compress(finish(counts).tobytes(), 1) if finish else packed(counts))
+
 
+def summed(rows: DataFrame, cells: int, finish: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """The sum of the counters of all tasks, of which there are ``cells``.
 
-def summed(rows: DataFrame, cells: int) -> np.ndarray:
-    """The sum of the counters of all tasks, of which there are ``cells``."""
-    out = np.zeros(cells, np.int64)
-    tasks = min(rows.sparkSession.sparkContext.defaultParallelism, -(-cells // BLOCK_CELLS))
-    for row in rows.repartition(tasks, "block").mapInArrow(_sums, SCHEMA).collect():  # one for each block
-        at = row["block"] * BLOCK_CELLS
-        out[at : at + BLOCK_CELLS] = unpacked(row["raw"])
-    return out
+    With ``finish``, the result is bytes: what it makes of each block, the same number of them for
+    each; it must make zeros of zeros.
+    """
+    size = BLOCK_CELLS if finish is None else len(finish(np.zeros(BLOCK_CELLS, np.int64)))
+    n = -(-cells // BLOCK_CELLS)
+    out = np.zeros(n * size, np.int64 if finish is None else np.uint8)
+    tasks = min(rows.sparkSession.sparkContext.defaultParallelism, n)
+    made = rows.repartition(tasks, "block").mapInArrow(lambda it: _sums(it, finish), SCHEMA)
+    for row in made.collect():  # one for each block
+        part = unpacked(row["raw"]) if finish is None else np.frombuffer(zlib.decompress(row["raw"]), np.uint8)
+        out[row["block"] * size : row["block"] * size + len(part)] = part
+    return out if finish else out[:cells]

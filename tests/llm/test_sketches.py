@@ -24,3 +24,17 @@ def test_sums_of_tasks(spark, cells):
     want = np.bincount(np.arange(5000) * 977 % cells, minlength=cells)
     assert (got == want).all()
     assert not sketches.summed(spark.range(0).mapInArrow(fill, sketches.SCHEMA), cells).any()
+
+
+def test_bytes_of_sums(spark):
+    cells = 1 << 17
+
+    def fill(batches):
+        for batch in batches:
+            yield from sketches.sparse_blocks(batch.column(0).to_numpy() * 40 % cells)
+
+    rows = spark.range(0, 5000, 1, 7).mapInArrow(fill, sketches.SCHEMA)
+    want = np.bincount(np.arange(5000) * 40 % cells, minlength=cells)
+    assert (sketches.summed(rows, cells) == want).all()
+    bits = sketches.summed(rows, cells, lambda c: np.packbits(c > 0, bitorder="little"))
+    assert (np.unpackbits(bits, bitorder="little") == (want > 0)).all()
