@@ -5,22 +5,34 @@ H = (s + b)(1 - t)/(1 + t) tokens. The universe of tokens is hashed into m segme
 band of sizes. If a set spends more than H units over the segments - one on a segment for which it
 looks up equal segments, two on one for which it also looks up segments that differ by one token -
 then at least one look-up meets every partner (pigeonhole). The index holds each segment and each
-segment less one token. Which segments get units is decided by cost: a sketch of bounded size of how
-often each signature is in the index is sent to all tasks, and the cheapest units are taken. A look-up
-of which the sketch says that it meets nothing but the set itself counts as a unit, but is not made;
-nor are index entries made that no look-up can meet, as a bitmap of the look-ups' cells tells. So what
-is shuffled is little more than what may match. Candidates are verified on the whole sets.
+segment less one token. Which segments get units is decided by cost: a sketch of how often each
+signature is in the index is sent to all tasks, and the cheapest units are taken. A look-up of which
+the sketch says that it meets nothing but the set itself counts as a unit, but is not made; nor are
+index entries made that no look-up can meet, as a bitmap of the look-ups' cells tells. So what is
+shuffled is little more than what may match. Candidates are verified on the whole sets.
+
+Equal sets are one class from the start, so copies cost nothing. Sets are told apart by a digest of
+128 bits, so tokens are moved once to make the classes and once with each candidate; the classes stay
+where they are while candidates come to them.
+
+The sketch has eight cells a token at least and up to MOST_CELLS cells of a byte, the bitmap a bit a
+cell: that is what is broadcast. From about two million sets of 40 tokens on, cells are shared by
+signatures of chance, and less can be left out: up to about as many rows of 32 bytes a set as it has
+tokens and look-ups. Heavy signatures stand out from any load, so they are still avoided, and the
+number of rows stays in proportion to the data. Signatures and classes that hold much are split over
+tasks.
 
 A segment's hash is the sum of its tokens' hashes, so all of this is array arithmetic. Empty segments
 are neither indexed nor looked up, and a segment of one token gets one unit at most; the few sets
-that cannot place enough units so look up single tokens instead: as many as are sure to meet each
-partner. Sets that are equal are one class from the start, so copies cost nothing.
+that cannot place enough units so look up single tokens instead: the rarest, as many as are sure to
+meet each partner, among sets of the sizes that partners may have.
 
 Defined results
     null sets, empty sets    in no class and no link
     repeated tokens          count once
     ties                     a pair at the threshold is linked; a class is named after its least id
-    repeated ids             the same set: one member; different sets: a member of each class
+    repeated ids             the same set: one member; different sets: a member of each class, or,
+                             with ``one_set``, of the class of the least weight and digest
     very long sets           as any other; bands follow the sizes without end
     empty table              empty results
 """
@@ -33,14 +45,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.operators.balance import join_balanced
+from geoloom.llm import sketches
+from geoloom.operators.balance import join_balanced, plan_load, tasks_for
 from geoloom.plans.lineage import cut
 
-#: Bounds of the number of cells of the sketch, at four bytes each.
-LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 22
+#: Bounds of the number of cells of the sketch, at a byte each.
+LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 26
+#: Sets in a task while they are made, and rows up to which a side is sent to every task.
+LEAST_SETS, MOST_BROADCAST = 2000, 100_000
 _BAND_RATIO = 1.2
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,37 +127,33 @@ PART_TOKENS = 1 << 20
 
 @dataclass
 class _Part:
-    """Sets of a batch: ids, least and greatest weights, sizes, and the tokens end to end."""
+    """Sets of a batch: ids, what is known of them as one number, sizes, and the tokens end to end."""
 
     ids: np.ndarray
-    lo: np.ndarray
-    hi: np.ndarray
+    info: np.ndarray
     sizes: np.ndarray
     tokens: np.ndarray
 
     def rows(self, sig: np.ndarray, at: np.ndarray, known: np.ndarray | None = None) -> pa.RecordBatch:
         """A row for each signature, with what is known of the set ``at`` which it belongs."""
-        columns = (sig.view(np.int64), self.ids[at], self.sizes[at], self.lo[at], self.hi[at])
-        first, *rest = (pa.array(c) for c in columns)
-        if known is not None:
-            first = pa.array(columns[0], mask=~known)
-        return pa.RecordBatch.from_arrays([first, *rest], ["sig", "cid", "n", "lo", "hi"])
+        made = pa.array(sig.view(np.int64), mask=None if known is None else ~known)
+        return pa.RecordBatch.from_arrays([made, pa.array(self.ids[at]), pa.array(self.info[at])], ["sig", "cid", "info"])
 
 
-_ROW = "sig long, cid long, n long, lo double, hi double"
+_ROW = "sig long, cid long, info long"
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[_Part]:
-    """Batches of (cid, lo, hi, tokens) in parts of PART_TOKENS tokens at most."""
+    """Batches of (cid, info, tokens) in parts of PART_TOKENS tokens at most."""
     for batch in batches:
-        ids, lo, hi = (batch.column(i).to_numpy() for i in range(3))
-        lists = batch.column(3)
+        ids, info = (batch.column(i).to_numpy() for i in range(2))
+        lists = batch.column(2)
         upto = lists.offsets.to_numpy().astype(np.int64)
         tokens = lists.values.to_numpy()
         at = 0
         while at < len(ids):
             to = max(at + 1, int(np.searchsorted(upto, upto[at] + PART_TOKENS, "right")) - 1)
-            yield _Part(ids[at:to], lo[at:to], hi[at:to], np.diff(upto[at : to + 1]), tokens[upto[at] : upto[to]])
+            yield _Part(ids[at:to], info[at:to], np.diff(upto[at : to + 1]), tokens[upto[at] : upto[to]])
             at = to
 
 
@@ -157,14 +168,39 @@ def _cells(sig: np.ndarray, cells: int) -> np.ndarray:
     return (sig & np.uint64(cells - 1)).astype(np.int64)
 
 
+#: Counts up to EXACT stand for themselves, larger ones for eighths of powers of two.
+EXACT = 64
+_COUNTS = np.append(np.arange(EXACT), np.round(EXACT * 2 ** (np.arange(256 - EXACT) / 8)).astype(np.int64))
+
+
+def _codes(counts: np.ndarray) -> np.ndarray:
+    """A byte for each count; those of counts above what a byte can say are the largest."""
+    return (np.searchsorted(_COUNTS, counts, "right") - 1).astype(np.uint8)
+
+
+def _bits(counts: np.ndarray) -> np.ndarray:
+    return np.packbits(counts > 0, bitorder="little")
+
+
+#: Signatures that a task holds before it sends their counts.
+HELD = 1 << 23
+
+
+def _counts_of(cells: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for cell in cells:
+        held.append(cell)
+        size += len(cell)
+        if size > HELD:
+            yield from sketches.sparse_blocks(np.concatenate(held))
+            held, size = [], 0
+    if size:
+        yield from sketches.sparse_blocks(np.concatenate(held))
+
+
 def _count(batches: Iterator[pa.RecordBatch], bands: Bands, cells: int) -> Iterator[pa.RecordBatch]:
-    """One task's sketch of the index, as rows of the cells that are not 0."""
-    sketch = np.zeros(cells, np.int32)
-    for part in _parts(batches):
-        cell, n = np.unique(_cells(_entries(part, bands)[0], cells), return_counts=True)
-        sketch[cell] += n.astype(np.int32)
-    used = np.flatnonzero(sketch)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sketch[used].astype(np.int64))], ["cell", "n"])
+    """One task's counts of the index."""
+    return _counts_of(_cells(_entries(part, bands)[0], cells) for part in _parts(batches))
 
 
 def _index(batches: Iterator[pa.RecordBatch], bands: Bands, cells: int, wanted) -> Iterator[pa.RecordBatch]:
@@ -179,7 +215,9 @@ def _index(batches: Iterator[pa.RecordBatch], bands: Bands, cells: int, wanted)
 
 def _look_up(batches: Iterator[pa.RecordBatch], bands: Bands, sketch) -> Iterator[pa.RecordBatch]:
     """Signatures that each set looks up; sets that cannot place their units come with a null."""
-    counts = sketch.value
+    codes = sketch.value
+    n_cells = len(codes)
+    count = lambda sig: _COUNTS[codes[_cells(sig, n_cells)]]
     lows, t = bands.lows, bands.threshold
     for part in _parts(batches):
         sizes, tokens = part.sizes, part.tokens
@@ -195,8 +233,8 @@ def _look_up(batches: Iterator[pa.RecordBatch], bands: Bands, sketch) -> Iterato
             s = _Segments(tokens[at], owner, band, bands)
             need = bands.differ(n + np.minimum(n, lows[band + 1] - 1)) + 1
             # of its own band, the index has the set itself among the equal segments
-            equal = counts[_cells(s.equal, len(counts))] - (down == 0)
-            within, less = counts[_cells(s.within, len(counts))], counts[_cells(s.less_equal, len(counts))]
+            equal = count(s.equal) - (down == 0)
+            within, less = count(s.within), count(s.less_equal)
             second = np.maximum(np.bincount(s.of, less, len(s.size)) + within, equal)
             two = np.flatnonzero(s.size > 1)
             unit_seg = np.append(np.arange(len(s.size)), two)
@@ -220,81 +258,156 @@ def _look_up(batches: Iterator[pa.RecordBatch], bands: Bands, sketch) -> Iterato
 
 @dataclass
 class NearSets:
-    """``members``: id, class_id, one row for each set. ``links``: a_class, b_class, similarity."""
+    """Classes of equal sets and the links between classes.
 
-    members: DataFrame
+    ``sets``: id, w, key, key2, one row for each set. ``classes``: key, key2, class_id, one (whether it
+    has a single member), lo and hi (least and greatest weight). ``links``: for a and b class, key, one
+    and lo, and the similarity; each pair of classes once.
+    """
+
+    sets: DataFrame
+    classes: DataFrame
     links: DataFrame
 
+    @property
+    def members(self) -> DataFrame:
+        """(id, w, class_id, key), one row for each set."""
+        several = self.several().select("id", "w", "class_id", "key")
+        lone = self.classes.where("one").select(F.col("class_id").alias("id"), F.col("lo").alias("w"), "class_id", "key")
+        return several.union(lone)
+
+    def several(self) -> DataFrame:
+        """The same of classes of several members."""
+        named = self.classes.where("NOT one").select("key", F.col("key2").alias("of"), "class_id")
+        if named.count() <= MOST_BROADCAST:
+            found = self.sets.join(F.broadcast(named), "key")
+        else:
+            found = join_balanced(self.sets, named, "key", ["id"])
+        return found.where("key2 = of").select("id", "w", "class_id", "key")
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set of a batch once, so that copies are not moved."""
+    for batch in batches:
+        if batch.num_rows:
+            keys = np.stack([batch.column(i).to_numpy() for i in range(2)])
+            yield batch.take(pa.array(np.sort(np.unique(keys, axis=1, return_index=True)[1])))
+
+
+def _at_class(rows: DataFrame, candidates: DataFrame, classes: DataFrame, side: str) -> DataFrame:
+    """A row for each candidate with the class whose number is in the column ``side``, without moving the classes.
 
-def near_sets(df: DataFrame, id_column: str, tokens: Column, threshold: float, mate: Column | None = None) -> NearSets:
+    Only classes that many candidates name go to the tasks over which these are spread.
+    """
+    plan = plan_load(candidates.select(side), side)
+    hot = [k for k, tasks in plan.shards if len(tasks) > 1]  # fewer than tasks
+    of = classes.withColumnRenamed("cid", side)
+    if not hot:
+        return rows.join(of.hint("shuffle_merge"), side)
+    other = "y" if side == "x" else "x"
+    is_hot = F.col(side).isin(hot)
+    cool = rows.where(~is_hot).join(of.hint("shuffle_merge"), side)
+    return cool.unionByName(join_balanced(rows.where(is_hot), of.where(is_hot), side, [other], plan))
+
+
+def near_sets(
+    df: DataFrame, id_column: str, tokens: Column, threshold: float, weight_ratio: float | None = None, one_set: bool = False, sorted_sets: bool = False
+) -> NearSets:
     """Classes of equal sets, and the pairs of classes with Jaccard similarity ``threshold`` or more.
 
-    ``tokens`` is an array of 64-bit integers. ``mate``, if given, is a condition over the structs
-    ``a`` and ``b`` of class statistics (lo, hi: least and greatest of column ``_weight`` in ``df``)
-    that pairs must meet to be worth verifying.
+    ``tokens`` is an array of 64-bit integers; ``sorted_sets`` says that they are sorted and distinct.
+    With ``weight_ratio``, pairs of classes are left out if no two weights of theirs (the positive
+    column ``_weight`` of ``df``) are in that ratio or closer.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
-    weight = F.col("_weight") if mate is not None else F.lit(0.0)
-    rows = df.select(F.col(id_column).cast("long").alias("id"), F.array_sort(F.array_distinct(F.array_compact(tokens))).alias("tokens"), weight.alias("w"))
-    rows = cut(rows.where("id IS NOT NULL AND size(tokens) > 0").withColumn("key", F.xxhash64("tokens")))
-    classes = rows.groupBy("key", "tokens").agg(
-        F.min("id").alias("class_id"), F.min("w").alias("lo"), F.max("w").alias("hi")
+    spark = df.sparkSession
+    weight = F.col("_weight").cast("double") if weight_ratio is not None else F.lit(1.0)
+    sets = tokens if sorted_sets else F.array_sort(F.array_distinct(F.array_compact(tokens)))
+    rows = df.select(F.col(id_column).cast("long").alias("id"), sets.alias("tokens"), weight.alias("w")).where("id IS NOT NULL AND size(tokens) > 0")
+    rows = rows.withColumns({"key": F.xxhash64("tokens"), "key2": F.xxhash64(F.lit(1), "tokens")})
+
+    known = rows.select("id", "w", "key", "key2")
+    if one_set:
+        known = known.groupBy("id").agg(F.min(F.struct("w", "key", "key2")).alias("s")).select("id", "s.*")
+    else:
+        known = known.groupBy("id", "key", "key2").agg(F.min("w").alias("w"))
+    known = cut(known.select("id", "w", "key", "key2"))
+    owners = known.groupBy("key", F.col("key2").alias("of")).agg(
+        F.min("id").alias("class_id"), (F.min("id") == F.max("id")).alias("one"), F.min("w").alias("lo"), F.max("w").alias("hi")
+    )
+
+    # the ratio's logarithm is a step at most, so weights in that ratio are a step apart at most
+    step = max(-math.log(weight_ratio), 0.025) if weight_ratio else 1.0
+    of_weight = lambda c: F.floor(F.log(c) / step).cast("long") + 32768
+    info = F.shiftleft(F.size("tokens").cast("long"), 32).bitwiseOR(F.shiftleft(of_weight("lo"), 16)).bitwiseOR(of_weight("hi"))
+    tasks = tasks_for(spark, known.count(), LEAST_SETS)
+    whole = rows.select("key", "key2", "tokens").mapInArrow(_once, "key long, key2 long, tokens array<long>")
+    whole = whole.repartition(tasks, "key").groupBy("key", "key2").agg(F.first("tokens").alias("tokens"))
+    # equality of key2 is no join key here: the sides meet where ``key`` has brought them
+    classes = whole.join(owners, "key").where(F.col("key2").bitwiseXOR(F.col("of")) == 0)
+    classes = cut(
+        classes.select(F.col("key").alias("cid"), "key2", "class_id", "one", "lo", "hi", info.alias("info"), "tokens"), keep_partitions=True
     )
-    classes = cut(classes.select("class_id", "key", "tokens", F.size("tokens").alias("n"), "lo", "hi"))
-    # an id with several sets may name two classes: their key tells them apart
-    classes = classes.withColumn("cid", F.xxhash64("class_id", "key"))
-    largest, total = classes.agg(F.max("n"), F.sum("n")).first()
+    largest, total = classes.agg(F.max(F.size("tokens")), F.sum(F.size("tokens"))).first()
     bands = Bands(threshold, largest or 1)
     cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (4 * (total or 1)).bit_length()))
 
-    context, sets = df.sparkSession.sparkContext, classes.select("cid", "lo", "hi", "tokens")
-    held = sets.mapInArrow(lambda it: _count(it, bands, cells), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(cells, np.int32)
-    counts[held.column("cell").to_numpy()] = np.minimum(held.column("n").to_numpy(), np.iinfo(np.int32).max)
-    sketch = context.broadcast(counts)
-    look = cut(sets.mapInArrow(lambda it: _look_up(it, bands, sketch), _ROW))
-    probes, short = look.where("sig IS NOT NULL"), look.where("sig IS NULL").select("cid")
-    met = np.zeros(cells // 8, np.uint8)
-    cell = F.col("sig").bitwiseAND(F.lit(cells - 1)).cast("int").alias("cell")
-    hit = probes.select(cell).distinct().toArrow().column("cell").to_numpy()  # at most ``cells`` rows
-    np.bitwise_or.at(met, hit >> 3, (1 << (hit & 7)).astype(np.uint8))
-    wanted = context.broadcast(met)
-    index = sets.mapInArrow(lambda it: _index(it, bands, cells, wanted), _ROW)
+    context, numbered = spark.sparkContext, classes.select("cid", "info", "tokens")
+    sketch = context.broadcast(sketches.summed(numbered.mapInArrow(lambda it: _count(it, bands, cells), sketches.SCHEMA), cells, _codes))
+    look = cut(numbered.mapInArrow(lambda it: _look_up(it, bands, sketch), _ROW))
+    probes, short = look.where("sig IS NOT NULL"), look.where("sig IS NULL").select("cid", "info")
+    marks = probes.select("sig").mapInArrow(
+        lambda it: _counts_of(_cells(b.column(0).to_numpy().view(np.uint64), cells) for b in it), sketches.SCHEMA
+    )
+    wanted = context.broadcast(sketches.summed(marks, cells, _bits))
+    index = numbered.mapInArrow(lambda it: _index(it, bands, cells, wanted), _ROW)
 
     def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-        a, b = (side.select("sig", F.struct("cid", "n", "lo", "hi").alias(name)) for side, name in ((left, "a"), (right, "b")))
-        worth = (F.struct("a.n", "a.cid") > F.struct("b.n", "b.cid")) & (F.col("b.n") >= F.col("a.n") * threshold - 1e-9)
-        if mate is not None:
-            worth &= mate
-        return a.join(b, "sig").where(worth).select(F.col("a.cid").alias("x"), F.col("b.cid").alias("y"))
+        met = join_balanced(left, right.withColumnsRenamed({"cid": "y", "info": "y_info"}), "sig", ["cid"])
+        size = lambda c: F.shiftrightunsigned(c, 32)
+        low = lambda c: F.shiftrightunsigned(c, 16).bitwiseAND(F.lit(65535))
+        high = lambda c: F.col(c).bitwiseAND(F.lit(65535))
+        worth = (size("info") > size("y_info")) | ((size("info") == size("y_info")) & (F.col("cid") > F.col("y")))
+        worth &= size("y_info") >= size("info") * threshold - 1e-9
+        if weight_ratio is not None:
+            worth &= (low("info") <= high("y_info") + 1) & (low("y_info") <= high("info") + 1)
+        return met.where(worth).select(F.col("cid").alias("x"), "y")
 
     candidates = pairs(probes, index)
     if not short.isEmpty():
-        # any partner shares more tokens than these leave out
-        some = F.slice("tokens", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
-        lone = classes.join(short, "cid", "left_semi").select(F.explode(some).alias("sig"), "cid", "n", "lo", "hi")
-        every = classes.select(F.explode("tokens").alias("sig"), "cid", "n", "lo", "hi")
-        candidates = candidates.union(pairs(lone, every))
-    candidates = candidates.distinct()
-
-    left = classes.select(F.col("cid").alias("x"), F.col("class_id").alias("x_class"), F.col("key").alias("x_key"), F.col("tokens").alias("x_tokens"))
-    right = classes.select(F.col("cid").alias("y"), F.col("class_id").alias("y_class"), F.col("key").alias("y_key"), F.col("tokens").alias("y_tokens"))
+        candidates = candidates.union(pairs(*_single_tokens(classes, short, threshold)))
+    candidates = cut(candidates.distinct())
+
+    side = lambda s: classes.select("cid", *(F.col(c).alias(f"{s}_{c}") for c in ("class_id", "one", "lo", "tokens")))
+    both = _at_class(_at_class(candidates, candidates, side("x"), "x"), candidates, side("y"), "y")
     shared = F.size(F.array_intersect("x_tokens", "y_tokens"))
-    similarity = shared / (F.size("x_tokens") + F.size("y_tokens") - shared)
-    links = (
-        candidates.join(left, "x")
-        .join(right, "y")
-        .withColumn("similarity", similarity)
-        .where(F.col("similarity") >= threshold)
-        .select("x_class", "x_key", "y_class", "y_key", "similarity")
-    )
-    first = F.struct("x_class", "x_key") < F.struct("y_class", "y_key")
-    links = links.select(
-        *(F.when(first, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")).alias(f"a_{c}") for c in ("class", "key")),
-        *(F.when(first, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")).alias(f"b_{c}") for c in ("class", "key")),
-        "similarity",
-    )
-    owners = classes.select("key", F.col("tokens").alias("own"), "class_id")
-    members = join_balanced(rows.select("id", "w", "key", "tokens"), owners, "key", ["id"]).where("tokens = own")
-    return NearSets(members.select("id", "w", "key", "class_id"), links)
+    both = both.withColumn("similarity", shared / (F.size("x_tokens") + F.size("y_tokens") - shared)).where(F.col("similarity") >= threshold)
+    first = F.struct("x_class_id", "x") < F.struct("y_class_id", "y")
+    named = {"class": "class_id", "key": None, "one": "one", "lo": "lo"}
+
+    def end(name: str, s: str, t: str) -> list[Column]:
+        of = lambda s, c: F.col(f"{s}_{c}" if c else s)
+        return [F.when(first, of(s, c)).otherwise(of(t, c)).alias(f"{name}_{n}") for n, c in named.items()]
+
+    links = both.select(*end("a", "x", "y"), *end("b", "y", "x"), "similarity")
+    return NearSets(known, classes.select(F.col("cid").alias("key"), "key2", "class_id", "one", "lo", "hi"), links)
+
+
+def _single_tokens(classes: DataFrame, short: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Look-ups by the rarest tokens of each set of ``short``, and the index that they need.
+
+    Any partner shares more tokens than these leave out.
+    """
+    short = cut(classes.join(short.select("cid"), "cid", "left_semi").select("cid", "info", "tokens"))
+    n = F.size("tokens")
+    least, most = short.agg(F.min(n), F.max(n)).first()
+    sized = classes.where((n >= least * threshold - 1e-9) & (n <= most))
+    every = sized.select(F.explode("tokens").alias("sig"), "cid", "info")
+    own = short.select(F.explode("tokens").alias("sig"), "cid", "info")
+    counts = every.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    counted = join_balanced(own, counts, "sig", ["cid"])
+    rarest = Window.partitionBy("cid").orderBy("n", "sig")  # over the tokens of one set
+    size = F.shiftrightunsigned("info", 32)
+    some = counted.withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= size - F.ceil(size * threshold - 1e-9) + 1)
+    return some.select("sig", "cid", "info"), every

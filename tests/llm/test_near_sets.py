@@ -3,10 +3,12 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from geoloom.llm.near_sets import Bands, near_sets
-from geoloom.llm.outlines import near_outlines, outline_pairs, vertex_tokens
+from geoloom.llm.outlines import _rounded, batch_tokens, near_outlines, outline_pairs, vertex_tokens
 
 
 def brute(sets, threshold):
@@ -78,8 +80,7 @@ def test_small_parts(spark, monkeypatch):
     from geoloom.llm import near_sets as module
 
     lists = pa.array([[5, 6], [7], [8, 9, 10]], pa.list_(pa.int64()))
-    zeros = pa.array([0.0, 0.0, 0.0])
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), zeros, zeros, lists], ["cid", "lo", "hi", "tokens"])
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([0, 0, 0]), lists], ["cid", "info", "tokens"])
     monkeypatch.setattr(module, "PART_TOKENS", 3)
     parts = [(p.ids.tolist(), p.sizes.tolist(), p.tokens.tolist()) for p in module._parts(iter([batch.slice(0, 0), batch, batch.slice(1)]))]
     assert parts == [([1, 2], [2, 1], [5, 6, 7]), ([3], [3], [8, 9, 10]), ([2], [1], [7]), ([3], [3], [8, 9, 10])]
@@ -136,3 +137,66 @@ def test_outlines_against_brute_force(spark):
 def test_vertex_tokens():
     assert vertex_tokens("POINT (1.000004 -2)") == vertex_tokens("POINT (1 -2)") != vertex_tokens("POINT (1.00001 -2)")
     assert len(vertex_tokens("POLYGON ((0 0, 3000000.5 0, 1 1, 0 0))")) == 3 and vertex_tokens(None) is None
+
+
+TEXTS = [
+    None, "", "nonsense 5 and 6", "POLYGON EMPTY", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5,6 5,6 6.000005,5 5)))", "POLYGON Z ((0 0 1, 1 0 1, 1 1 1, 0 0 1))",
+    "POLYGON ((0 0 1, 1 0 1, 1 1 1, 0 0 1))", "POLYGON ((0 0, 1e1 0, 1 1, 0 0))", "POLYGON ((0 0, 1 0, 1 1", "POLYGON ((0 0, 1 0, 1))", "POLYGON ((0 0, 40000.5 0, 1 1, 0 0))",
+    '{"type":"Polygon","coordinates":[[[0,0],[1.5,0],[-1.000015,1],[0,0]]]}', '{"type": "Polygon", "coordinates": [[[0,0,9],[1,0,9],[1,1,9],[0,0,9]]]}',
+    '{"coordinates":[[[0,0],[1.5,0],[1,1],[0,0]]],"type":"Polygon"}', "POLYGON ((12.345675 -0.000005, 12.345665 0.000015, 1 1, 12.345675 -0.000005))", "polygon ((0 0, 1 0, 1 1, 0 0))",
+    "POLYGON ((0 0, 1-2 0, 1 1, 0 0))", "POLYGON ((0 0, 1..2 0, 1 1, 0 0))", "POLYGON ((. -, 1 0, 1 1, 0 0))",
+]
+
+
+def test_tokens_of_batches():
+    rng = np.random.default_rng(8)
+    texts = [*TEXTS, *(f"POLYGON (({', '.join(f'{x:.6f} {y:.5f}' for x, y in rng.uniform(-180, 180, (20, 2)))}))" for _ in range(50))]
+    for some in (texts, texts[::-1], texts[-20:], [], [None], *([t] for t in TEXTS)):
+        tokens, n = batch_tokens(some)
+        ends = np.cumsum(n)
+        assert [tokens[e - k : e].tolist() for e, k in zip(ends, n)] == [vertex_tokens(t) or [] for t in some]
+
+
+@given(st.lists(st.one_of(st.floats(-1e4, 1e4), st.integers(-(10**9), 10**9).map(lambda v: v / 10**6)), max_size=50))
+def test_rounding(values):
+    assert _rounded(np.array(values), 1e5).tolist() == [float(round(round(v, 5) * 10**5)) for v in values]
+
+
+def test_hot_signatures_and_classes(spark, monkeypatch):
+    """A hub that hundreds of sets resemble, none of which resembles another."""
+    from geoloom.llm import near_sets as module
+    from geoloom.operators import balance
+
+    monkeypatch.setattr(balance, "ROWS_PER_TASK", 10)
+    monkeypatch.setattr(module, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(module, "HELD", 100)
+    sets = {0: set(range(40))} | {i: set(range(40)) - {i % 40, (7 * i + 1) % 40, (11 * i + 5) % 40} | {100 * i, 100 * i + 1} for i in range(1, 120)}
+    sets |= {200: sets[5], 201: sets[0]}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, t array<long>")
+    near = near_sets(df, "id", F.col("t"), 0.86, sorted_sets=True)
+    assert expanded(near) == brute(sets, 0.86)
+
+
+def test_weights(spark):
+    rows = [(1, [1, 2, 3, 4], 1.0), (2, [1, 2, 3, 4, 5], 1.1), (3, [1, 2, 3, 4, 6], 2.0), (4, [1, 2, 3, 4, 5], 1.9), (1, [1, 2, 3, 4], 1.0)]
+    df = spark.createDataFrame(rows, "id long, t array<long>, _weight double")
+    near = near_sets(df, "id", F.col("t"), 0.6, weight_ratio=0.9)
+    assert {(r.a_class, r.b_class) for r in near.links.collect()} >= {(1, 2), (2, 3)}
+    none = near_sets(df.where("id <> 4"), "id", F.col("t"), 0.6, weight_ratio=0.99)
+    assert (1, 3) not in {(r.a_class, r.b_class) for r in none.links.collect()}
+
+
+def test_deliveries_that_differ(spark):
+    rows = [(1, SQUARE, 1.0), (1, "POLYGON ((5 5, 6 5, 6 6, 5 5))", 0.5), (2, SQUARE, 1.0), (3, "POLYGON ((5 5, 6 5, 6 6, 5 5))", 0.5)]
+    df = spark.createDataFrame(rows, "oid long, shape string, area double")
+    assert [tuple(r) for r in outline_pairs(near_outlines(df, "oid", "shape", "area")).collect()] == [(1, 3)]
+
+
+def test_codes_of_counts():
+    from geoloom.llm import near_sets as module
+
+    counts = np.array([0, 1, 5, 63, 64, 65, 1000, 10**6, 2**40])
+    codes = module._codes(counts)
+    assert (np.diff(module._COUNTS) > 0).all() and (np.diff(codes.astype(int)) >= 0).all()
+    read = module._COUNTS[codes]
+    assert read[:5].tolist() == counts[:5].tolist() and (read[:-1] <= counts[:-1]).all() and (read[:-1] >= counts[:-1] * 0.91).all()
