@@ -20,6 +20,7 @@ Defined results
 from __future__ import annotations
 
 import heapq
+import json
 import math
 from dataclasses import dataclass
 
@@ -54,8 +55,9 @@ class LoadPlan:
         )
         return spark.createDataFrame([(k, list(t)) for k, t in self.shards], schema)
 
-    def bin_table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(enumerate(self.bins)), "_bin int, _bin_task int")
+    def bin_task(self, key: Column) -> Column:
+        """The task of a key's bin; the optimizer makes one literal of the list."""
+        return F.get(F.from_json(F.lit(json.dumps(self.bins)), "array<int>"), _bin(key, len(self.bins)))
 
 
 def pack(bin_loads: list[float], key_loads: list[tuple[object, float]], tasks: int, key_type: T.DataType) -> LoadPlan:
@@ -123,17 +125,15 @@ def plan_load(df: DataFrame, key: str, tasks: int | None = None, weight: Column
 def _placed(df: DataFrame, key: str, plan: LoadPlan, task, name: str) -> DataFrame:
     """``df`` with the column ``name``, ``task`` (tasks of a heavy key or null, task of the bin), in that partition.
 
-    The plan's tables are broadcast; their sizes are bounded by the plan.
+    The heavy keys are broadcast; their number is bounded by the plan.
     """
-    spark, columns = df.sparkSession, df.columns
-    names = {c: _fresh(c, df) for c in ("_bin", "_bin_task", "_hkey", "_tasks")}
-    bins, heavy = plan.bin_table(spark).toDF(names["_bin"], names["_bin_task"]), plan.heavy_table(spark).toDF(names["_hkey"], names["_tasks"])
-    placed = df.withColumn(names["_bin"], _bin(F.col(f"`{key}`"), len(plan.bins))).join(F.broadcast(bins), names["_bin"], "left")
-    tasks = F.lit(None).cast("array<int>")
+    placed, tasks = df, F.lit(None).cast("array<int>")
     if plan.shards:
-        placed = placed.join(F.broadcast(heavy), placed[f"`{key}`"].eqNullSafe(heavy[names["_hkey"]]), "left")
-        tasks = F.col(names["_tasks"])
-    placed = placed.select(*(f"`{c}`" for c in columns), task(tasks, F.col(names["_bin_task"])).alias(name))
+        names = [_fresh(c, df) for c in ("_hkey", "_tasks")]
+        heavy = plan.heavy_table(df.sparkSession).toDF(*names)
+        placed = df.join(F.broadcast(heavy), df[f"`{key}`"].eqNullSafe(heavy[names[0]]), "left")
+        tasks = F.col(names[1])
+    placed = placed.select(*(f"`{c}`" for c in df.columns), task(tasks, plan.bin_task(F.col(f"`{key}`"))).alias(name))
     return placed.repartitionById(plan.tasks, name)
 
 
