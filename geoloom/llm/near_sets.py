@@ -261,8 +261,8 @@ class NearSets:
     """Classes of equal sets and the links between classes.
 
     ``sets``: id, w, key, key2, one row for each set. ``classes``: key, key2, class_id, one (whether it
-    has a single member), lo and hi (least and greatest weight). ``links``: for a and b class, key, one
-    and lo, and the similarity; each pair of classes once.
+    has a single member), lo and hi (least and greatest weight). ``links``: for a and b class, key, one,
+    lo and hi, and the similarity; each pair of classes once.
     """
 
     sets: DataFrame
@@ -316,8 +316,8 @@ def near_sets(
     """Classes of equal sets, and the pairs of classes with Jaccard similarity ``threshold`` or more.
 
     ``tokens`` is an array of 64-bit integers; ``sorted_sets`` says that they are sorted and distinct.
-    With ``weight_ratio``, pairs of classes are left out if no two weights of theirs (the positive
-    column ``_weight`` of ``df``) are in that ratio or closer.
+    With ``weight_ratio``, pairs of classes are left out if the ranges of their weights (the positive
+    column ``_weight`` of ``df``) do not come within that ratio of each other.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
@@ -379,12 +379,14 @@ def near_sets(
         candidates = candidates.union(pairs(*_single_tokens(classes, short, threshold)))
     candidates = cut(candidates.distinct())
 
-    side = lambda s: classes.select("cid", *(F.col(c).alias(f"{s}_{c}") for c in ("class_id", "one", "lo", "tokens")))
+    side = lambda s: classes.select("cid", *(F.col(c).alias(f"{s}_{c}") for c in ("class_id", "one", "lo", "hi", "tokens")))
     both = _at_class(_at_class(candidates, candidates, side("x"), "x"), candidates, side("y"), "y")
     shared = F.size(F.array_intersect("x_tokens", "y_tokens"))
     both = both.withColumn("similarity", shared / (F.size("x_tokens") + F.size("y_tokens") - shared)).where(F.col("similarity") >= threshold)
+    if weight_ratio is not None:
+        both = both.where((F.col("x_lo") * weight_ratio <= F.col("y_hi")) & (F.col("y_lo") * weight_ratio <= F.col("x_hi")))
     first = F.struct("x_class_id", "x") < F.struct("y_class_id", "y")
-    named = {"class": "class_id", "key": None, "one": "one", "lo": "lo"}
+    named = {"class": "class_id", "key": None, "one": "one", "lo": "lo", "hi": "hi"}
 
     def end(name: str, s: str, t: str) -> list[Column]:
         of = lambda s, c: F.col(f"{s}_{c}" if c else s)
@@ -405,8 +407,13 @@ def _single_tokens(classes: DataFrame, short: DataFrame, threshold: float) -> tu
     sized = classes.where((n >= least * threshold - 1e-9) & (n <= most))
     every = sized.select(F.explode("tokens").alias("sig"), "cid", "info")
     own = short.select(F.explode("tokens").alias("sig"), "cid", "info")
-    counts = every.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-    counted = join_balanced(own, counts, "sig", ["cid"])
+    named = cut(own.select("sig").distinct())
+    if named.count() <= MOST_BROADCAST:
+        every = every.join(F.broadcast(named), "sig", "left_semi")
+        counts = every.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+        counted = own.join(F.broadcast(counts), "sig")  # as many rows as ``named`` at most
+    else:
+        counted = join_balanced(own, every.groupBy("sig").agg(F.count(F.lit(1)).alias("n")), "sig", ["cid"])
     rarest = Window.partitionBy("cid").orderBy("n", "sig")  # over the tokens of one set
     size = F.shiftrightunsigned("info", 32)
     some = counted.withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= size - F.ceil(size * threshold - 1e-9) + 1)

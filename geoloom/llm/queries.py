@@ -109,6 +109,32 @@ n AS (SELECT field, count(*) AS rows_seen FROM v GROUP BY ALL)
 SELECT {columns} FROM c JOIN n USING (field) WHERE cnt >= 0.005 * rows_seen
 """
 
+#: Canonical texts, written for records whose ``props`` have the fields that those of ``shape_feed`` have.
+_P3 = r"""
+WITH c AS (
+  SELECT rec_id,
+    CASE WHEN regexp_matches(hash, '^[^\p{L}\p{N}]*-\.?[0-9]') THEN '-' ELSE '' END || replace(regexp_replace(regexp_replace(
+      regexp_replace(lower(hash), '([0-9])\.([0-9])', '\1' || chr(57344) || '\2', 'g'), '([0-9])\.([0-9])', '\1' || chr(57344) || '\2', 'g'),
+      '[^\p{L}\p{N}' || chr(57344) || ']', '', 'g'), chr(57344), '.') AS hash,
+    regexp_replace(lower(wkb), '[^\p{L}\p{N}]', '', 'g') AS wkb,
+    array_to_string(regexp_extract_all(lower(fixed_shape), '-?(?:[0-9]+\.[0-9]+|[0-9]+|\.[0-9]+)(?:e[+-]?[0-9]+)?|\p{L}+'), ' ') AS fixed_shape,
+    '{dataset:' || regexp_replace(props ->> '$.dataset', '[^\p{L}\p{N}]', '', 'g') || ',height:' || regexp_extract(props, '"height"\s*:\s*([-+0-9.e]+)', 1)
+      || ',level:' || regexp_extract(props, '"level"\s*:\s*([-+0-9.e]+)', 1) || ',name:' || regexp_replace(props ->> '$.name', '[^\p{L}\p{N}]', '', 'g')
+      || ',survey:{crew:' || regexp_replace(props ->> '$.survey.crew', '[^\p{L}\p{N}]', '', 'g') || ',day:' || regexp_replace(props ->> '$.survey.day', '[^\p{L}\p{N}]', '', 'g')
+      || '},tags:[' || array_to_string(list_transform(props ->> '$.tags[*]', lambda t: regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')), ',') || ']}' AS props
+  FROM (SELECT * REPLACE (lower(props) AS props) FROM shape_feed)
+), r AS (SELECT *, min(rec_id) OVER w AS keep_id FROM c WINDOW w AS (PARTITION BY hash, wkb, fixed_shape, props))
+"""
+
+#: Sets of vertices, and their numbers; digits decide how an ordinate is rounded.
+_P4 = r"""
+WITH o AS (
+  SELECT outline_id, min(area) AS area, list_transform(regexp_extract_all(min_by(geoshape, area), '-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?'), lambda t: printf('%.5f', t::DOUBLE)::DOUBLE + 0.0) AS n
+  FROM outlines WHERE outline_id IS NOT NULL AND geoshape IS NOT NULL AND area > 0 GROUP BY outline_id
+), v AS (SELECT DISTINCT outline_id, area, n[2 * i - 1] AS x, n[2 * i] AS y FROM (SELECT outline_id, area, n, unnest(range(1, len(n) // 2 + 1)) AS i FROM o)),
+s AS (SELECT outline_id, area, count(*) AS size FROM v GROUP BY ALL)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
@@ -127,4 +153,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "p1_found": _P1.format(columns="field, val"),
     "p1_counts": _P1.format(columns="field, val, cnt, rows_seen"),
+    "p3_found": _P3 + "SELECT keep_id, rec_id AS dup_id FROM r WHERE rec_id <> keep_id",
+    "p3_records": _P3 + "SELECT keep_id, count(*) AS copies, hash, wkb, fixed_shape, props FROM r GROUP BY ALL",
+    "p4_found": _P4
+    + """,
+p AS (SELECT a.outline_id AS a_id, b.outline_id AS b_id, count(*) AS shared FROM v a JOIN v b ON a.x = b.x AND a.y = b.y AND a.outline_id < b.outline_id
+  AND least(a.area, b.area) / greatest(a.area, b.area) >= 0.9 GROUP BY ALL)
+SELECT a_id, b_id FROM p JOIN s a ON a.outline_id = a_id JOIN s b ON b.outline_id = b_id WHERE shared / (a.size + b.size - shared) >= 0.7""",
+    "p4_classes": _P4
+    + """, k AS (SELECT outline_id, area, list_sort(list({'x': x, 'y': y})) AS vertices FROM v GROUP BY ALL),
+c AS (SELECT vertices, min(outline_id) AS class_id, min(area) AS lo, max(area) AS hi, len(vertices) AS size FROM k GROUP BY vertices),
+t AS (SELECT class_id, unnest(vertices) AS xy FROM c),
+p AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS shared FROM t a JOIN t b ON a.xy = b.xy AND a.class_id <> b.class_id GROUP BY ALL),
+n AS (SELECT a AS class_id, count(*) AS n_links FROM p JOIN c l ON l.class_id = a JOIN c r ON r.class_id = b
+  WHERE shared / (l.size + r.size - shared) >= 0.7 AND l.lo * 0.9 <= r.hi AND r.lo * 0.9 <= l.hi GROUP BY a)
+SELECT k.outline_id, c.class_id, coalesce(n_links, 0) AS n_links FROM k JOIN c USING (vertices) LEFT JOIN n USING (class_id)""",
 }

@@ -129,13 +129,13 @@ def collapse_spellings(
     at = [3 + i for i, form in enumerate(forms.values()) if form == "json"]
     if at:
         texts = texts.mapInArrow(lambda it: _with_json(it, at), texts.schema)
-    texts = cut(texts.withColumn("_record", F.unhex(F.md5(F.to_json(F.struct(*fields))))))
+    texts = cut(texts)
+    record = F.unhex(F.md5(F.to_json(F.struct(*fields)))).alias("_record")
 
-    records = texts.groupBy(*fields).agg(
-        F.min("_first").alias("keep_id"), F.sum("_n").alias("copies"), F.first("_record").alias("_record")
-    )
+    records = texts.groupBy(*fields).agg(F.min("_first").alias("keep_id"), F.sum("_n").alias("copies"))
+    records = records.select("*", record)
     named = records.select("_record", "keep_id", "copies")
-    spellings = texts.select("_raw", "_record")
+    spellings = texts.select("_raw", record)
     if only_repeated:
         named = named.where("copies > 1")
     named = named.select("_record", "keep_id")
