@@ -374,10 +374,13 @@ def near_sets(
             worth &= (low("info") <= high("y_info") + 1) & (low("y_info") <= high("info") + 1)
         return met.where(worth).select(F.col("cid").alias("x"), "y")
 
-    candidates = pairs(probes, index)
-    if not short.isEmpty():
-        candidates = candidates.union(pairs(*_single_tokens(classes, short, threshold)))
-    candidates = cut(candidates.distinct())
+    size = F.shiftrightunsigned("info", 32)
+    n_short, least, most = short.agg(F.count(F.lit(1)), F.min(size), F.max(size)).first()
+    if n_short:
+        some, every = _single_tokens(classes, short, least, most, threshold)
+        # signatures and tokens may be equal by chance: such candidates are verified like others
+        probes, index = probes.union(some), index.union(every)
+    candidates = cut(pairs(probes, index).distinct())
 
     side = lambda s: classes.select("cid", *(F.col(c).alias(f"{s}_{c}") for c in ("class_id", "one", "lo", "hi", "tokens")))
     both = _at_class(_at_class(candidates, candidates, side("x"), "x"), candidates, side("y"), "y")
@@ -396,14 +399,13 @@ def near_sets(
     return NearSets(known, classes.select(F.col("cid").alias("key"), "key2", "class_id", "one", "lo", "hi"), links)
 
 
-def _single_tokens(classes: DataFrame, short: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Look-ups by the rarest tokens of each set of ``short``, and the index that they need.
+def _single_tokens(classes: DataFrame, short: DataFrame, least: int, most: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Look-ups by the rarest tokens of each set of ``short``, of ``least`` to ``most`` tokens, and the index that they need.
 
     Any partner shares more tokens than these leave out.
     """
     short = cut(classes.join(short.select("cid"), "cid", "left_semi").select("cid", "info", "tokens"))
     n = F.size("tokens")
-    least, most = short.agg(F.min(n), F.max(n)).first()
     sized = classes.where((n >= least * threshold - 1e-9) & (n <= most))
     every = sized.select(F.explode("tokens").alias("sig"), "cid", "info")
     own = short.select(F.explode("tokens").alias("sig"), "cid", "info")
@@ -417,4 +419,4 @@ def _single_tokens(classes: DataFrame, short: DataFrame, threshold: float) -> tu
     rarest = Window.partitionBy("cid").orderBy("n", "sig")  # over the tokens of one set
     size = F.shiftrightunsigned("info", 32)
     some = counted.withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= size - F.ceil(size * threshold - 1e-9) + 1)
-    return some.select("sig", "cid", "info"), every
+    return cut(some.select("sig", "cid", "info")), every
