@@ -103,25 +103,28 @@ def _fit_softmax(x: np.ndarray, y: np.ndarray, weight: np.ndarray, hidden: int,
     return weights
 
 
-def mixtures(labels: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
+def mixtures(labels: np.ndarray, size: np.ndarray, longest: int) -> list[tuple[int, int]]:
     """Pairs of texts, one of them prose, to be put end to end: contexts that single texts lack.
 
-    Each text that is no prose meets MIXED prose texts, before it or behind it.
+    Each text that is no prose meets MIXED prose texts, before it or behind it; texts of ``longest``
+    characters or more meet none.
     """
     rng = np.random.default_rng(3)
-    prose = np.flatnonzero((labels == 0) & (size < 20_000))
+    prose = np.flatnonzero((labels == 0) & (size < longest))
     out = []
-    for other in np.flatnonzero((labels > 0) & (size < 20_000)):
+    for other in np.flatnonzero((labels > 0) & (size < longest)):
         for p in rng.choice(prose, MIXED) if len(prose) else ():
             out.append((int(p), int(other)) if rng.random() < 0.5 else (int(other), int(p)))
     return out
 
 
-def fit(texts: list[str], label_of_text: np.ndarray, common: np.ndarray, turns: int = 3, hidden: int = 12, rounds: int = 200) -> LineModel:
+def fit(
+    texts: list[str], label_of_text: np.ndarray, common: np.ndarray, longest_mixed: int = 20_000, turns: int = 3, hidden: int = 12, rounds: int = 200
+) -> LineModel:
     """A model from labelled texts; ``label_of_text`` are numbers of LABELS, ``common`` as of ``common_hashes``."""
     k = len(LABELS)
     single = Lines(pa.array(texts, pa.string()), common)
-    pairs = mixtures(label_of_text, single.text_chars)
+    pairs = mixtures(label_of_text, single.text_chars, longest_mixed)
     mixed = Lines(pa.array([texts[a] + "\n" + texts[b] for a, b in pairs], pa.string()), common)
     # a mixture has the lines of its parts, in order
     first = np.searchsorted(single.text, np.arange(len(texts) + 1))

@@ -15,12 +15,13 @@ Defined results
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,26 +42,50 @@ class QualityModel:
 
 def fit_quality(
     documents: DataFrame, labels: DataFrame, common_words: DataFrame, id_column: str = "doc_id", text: str = "text",
-    most_labelled: int = 2000, longest_labelled: int = 200_000, most_common: int = 10_000,
+    most_labelled: int = 2000, most_bytes: int = 32 << 20, longest_mixed: int = 20_000, most_common: int = 10_000,
 ) -> QualityModel:
     """A model from labelled texts.
 
-    The sample is bounded: the ``most_labelled`` labelled ids that are first by hash, less those whose
-    text has over ``longest_labelled`` characters; it comes to the driver whole. So do the
-    ``most_common`` first words of ``common_words``.
+    The sample comes to the driver and is bounded: the ``most_labelled`` labelled ids that are first by
+    hash, and of their texts, in that order, as many as have ``most_bytes`` bytes together; texts of
+    more than an eighth of that are left out. Only texts of under ``longest_mixed`` characters are also put together in mixtures. The ``most_common`` first
+    words of ``common_words`` come to the driver too.
     """
     words = common_words.where("word IS NOT NULL").orderBy("word_rank", "word").limit(most_common).select("word").collect()
     sample = labels.where(F.col("label").isin(*LABELS) & F.col(id_column).isNotNull())
     sample = sample.orderBy(F.xxhash64(id_column), "label").limit(most_labelled).select(F.col(id_column).alias("_id"), "label")
     texts = documents.select(F.col(id_column).alias("_id"), F.col(text).alias("_text"))
-    texts = texts.where(F.col("_text").isNotNull() & (F.length("_text") <= longest_labelled))
-    rows = texts.join(F.broadcast(sample), "_id").where("trim(_text) <> ''").select("_id", "_text", "label").collect()
+    texts = texts.where((F.trim("_text") != "") & (F.octet_length("_text") <= most_bytes // 8)).join(F.broadcast(sample), "_id")
+    first = Window.orderBy(F.xxhash64("_id"), "_id", "label", "_text")  # over the texts of ``most_labelled`` ids
+    texts = texts.withColumn("_upto", F.sum(F.octet_length("_text")).over(first)).where(F.col("_upto") <= most_bytes)
+    rows = texts.select("_id", "_text", "label").collect()
     rows.sort(key=lambda r: (r["_id"], r["label"], r["_text"]))
     common = common_hashes([r["word"] for r in words])
     if not rows:
         return QualityModel(None, common)
     numbers = np.array([LABELS.index(r["label"]) for r in rows])
-    return QualityModel(fit([r["_text"] for r in rows], numbers, common), common)
+    return QualityModel(fit([r["_text"] for r in rows], numbers, common, longest_mixed), common)
+
+
+def save_model(spark: SparkSession, model: QualityModel, path: str) -> None:
+    """Writes a model as a table of one row, so that texts to come need no new fit."""
+    arrays = {"common": model.common}
+    if model.lines:
+        arrays |= {n: getattr(model.lines, n) for n in _ARRAYS} | {f"weights_{i}": w for i, w in enumerate(model.lines.weights)}
+    raw = io.BytesIO()
+    np.savez_compressed(raw, **arrays)
+    spark.createDataFrame([(bytearray(raw.getvalue()),)], "model binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> QualityModel:
+    with np.load(io.BytesIO(spark.read.parquet(path).first()["model"]), allow_pickle=False) as held:
+        if "shift" not in held:
+            return QualityModel(None, held["common"])
+        weights = [held[f"weights_{i}"] for i in range(2)]
+        return QualityModel(LineModel(weights, *(held[n] for n in _ARRAYS)), held["common"])
+
+
+_ARRAYS = ("shift", "scale", "log_share", "log_start", "log_step")
 
 
 _STATS = [

@@ -5,7 +5,7 @@ import pytest
 
 from geoloom.llm import line_features as L
 from geoloom.llm import line_hmm as H
-from geoloom.llm.quality import fit_quality, text_quality
+from geoloom.llm.quality import fit_quality, load_model, save_model, text_quality
 
 FOLDER = "/root/testdata/sf0.1"
 
@@ -98,3 +98,19 @@ def test_table(spark):
     labels = spark.createDataFrame([], "doc_id long, label string")
     nothing = fit_quality(df, labels, words.limit(0))
     assert {r.label for r in text_quality(df, "doc_id", "text", nothing).collect()} == {None, "prose"}
+
+
+def test_saved_models(spark, tmp_path):
+    texts = [(i, t) for i, t in enumerate([TABLE, "A plain sentence, and another one. " * 5, "- item\n- item two\n- three"] * 4)]
+    documents = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, ("table", "prose", "list")[i % 3]) for i, _ in texts], "doc_id long, label string")
+    words = spark.createDataFrame([("and", 1)], "word string, word_rank int")
+    model = fit_quality(documents, labels, words)
+    for m in (model, fit_quality(documents, labels.limit(0), words)):
+        save_model(spark, m, str(tmp_path / "model"))
+        again = load_model(spark, str(tmp_path / "model"))
+        rows = [sorted(text_quality(documents, "doc_id", "text", x).collect()) for x in (m, again)]
+        assert rows[0] == rows[1]
+    small = fit_quality(documents, labels, words, most_bytes=8 * len(TABLE) - 1)
+    assert small.lines is not None  # without the tables
+    assert fit_quality(documents, labels, words, most_bytes=8).lines is None
