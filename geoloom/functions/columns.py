@@ -78,11 +78,14 @@ def wkb_is_point(wkb: Column) -> Column:
 
 
 def wkb_type(wkb: Column) -> Column:
-    """Type name from the header alone; null of other kinds."""
+    """Type name from the header alone, with or without further ordinates; null of other kinds."""
     head = F.hex(F.substring(wkb, 1, 5))
-    code = F.when(F.substring(head, 1, 2) == "00", F.substring(head, 9, 2)).otherwise(F.substring(head, 3, 2))
-    names = F.create_map(*(x for kind, name in TYPE_NAMES.items() for x in (F.lit(f"{kind:02X}"), F.lit(name))))
-    return F.try_element_at(names, code)
+    big = F.substring(head, 1, 2) == "00"
+    # the lower half of the code; the upper one has flags
+    code = F.when(big, F.substring(head, 7, 4)).otherwise(F.concat(F.substring(head, 5, 2), F.substring(head, 3, 2)))
+    number = F.conv(code, 16, 10).cast("int") % 1000
+    names = F.array(*(F.lit(TYPE_NAMES[kind]) for kind in sorted(TYPE_NAMES)))
+    return F.when((F.length(wkb) >= 5) & (number > 0), F.get(names, number - 1))
 
 
 def meter_by_pixel(zoom: Column, lat: Column) -> Column:

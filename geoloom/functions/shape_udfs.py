@@ -1,7 +1,9 @@
 """Scalar functions over shapes, as Arrow functions over whole batches.
 
 They take WKB of either byte order, or GeoJSON or WKT text. A null gives a null; bytes or text that
-are no shape give a null too, unless a function says otherwise.
+are no shape give a null too, unless a function says otherwise. A value that recurs in a batch is worked
+on once. Measures are taken of all shapes of a batch at once (``kernel.flat``); the few that this does
+not read are taken one by one.
 """
 
 from __future__ import annotations
@@ -9,12 +11,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from geoloom.functions import columns
 from geoloom.functions.options import Algorithm, OutputFormat, algorithm, output_format, zoom_level
 from geoloom.kernel import measures, murmur
+from geoloom.kernel.flat import FlatShapes, flat_shapes
 from geoloom.kernel.normal import dedup, normalize
 from geoloom.kernel.shapes import (
     TYPE_NAMES,
@@ -25,7 +30,6 @@ from geoloom.kernel.shapes import (
     parse,
     to_geojson,
     to_wkt,
-    wkb_is_point,
 )
 from geoloom.kernel.simplify import simplify_or_point
 
@@ -33,15 +37,35 @@ POINT_TYPE = "struct<lat:double,lon:double>"
 _POINT = pa.struct([("lat", pa.float64()), ("lon", pa.float64())])
 
 
+def distinct(values: pa.Array, of: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """``of``, an array function that keeps nulls, of the distinct values."""
+    held = values.dictionary_encode()
+    if len(held.dictionary) == len(values):
+        return of(held.dictionary)
+    return of(held.dictionary).take(held.indices)
+
+
+def _one(v, what: Callable):
+    try:
+        return None if v is None else what(v)
+    except (ShapeError, RecursionError):
+        return None
+
+
 def _each(values: pa.Array, what: Callable, kind: pa.DataType) -> pa.Array:
     """``what`` of each value that is not null; null where it raises ShapeError."""
-    out = []
-    for v in values.to_pylist():
-        try:
-            out.append(None if v is None else what(v))
-        except (ShapeError, RecursionError):
-            out.append(None)
-    return pa.array(out, kind)
+    return distinct(values, lambda some: pa.array([_one(v, what) for v in some.to_pylist()], kind))
+
+
+def _patched(values: pa.Array, made: pa.Array, known: np.ndarray, what: Callable) -> pa.Array:
+    """``made`` where it is known, else ``what`` of the value."""
+    rest = np.flatnonzero(~known)
+    if not len(rest):
+        return made
+    more = pa.array([_one(v, what) for v in values.take(pa.array(rest)).to_pylist()], made.type)
+    at = np.arange(len(values))
+    at[rest] = len(values) + np.arange(len(rest))
+    return pa.concat_arrays([made, more]).take(pa.array(at))
 
 
 @dataclass(frozen=True)
@@ -93,22 +117,85 @@ wkb_to_wkt = ShapeFunction("wkb_to_wkt", "string", pa.string(), lambda w: to_wkt
 wkb_to_host_wkt = ShapeFunction("wkb_to_host_wkt", "string", pa.string(), lambda w: to_wkt(decode_wkb(w), host=True))
 wkb_to_geojson = ShapeFunction("wkb_to_geojson", "string", pa.string(), lambda w: to_geojson(decode_wkb(w)))
 shape_digest = ShapeFunction("shape_digest", "string", pa.string(), lambda w: str(murmur.digest(w)))
-shape_area = ShapeFunction("shape_area", "double", pa.float64(), lambda w: measures.area(decode_wkb(w)))
-shape_length = ShapeFunction("shape_length", "double", pa.float64(), lambda w: measures.length(decode_wkb(w)))
-shape_centroid = ShapeFunction("shape_centroid", POINT_TYPE, _POINT, lambda w: _latlon(measures.centroid(decode_wkb(w))))
-shape_bbox = ShapeFunction("shape_bbox", f"array<{POINT_TYPE}>", pa.list_(_POINT), lambda w: _bbox(decode_wkb(w)))
-shape_type = ShapeFunction("shape_type", "string", pa.string(), lambda w: TYPE_NAMES[decode_wkb(w)[0]])
-shape_vertices = ShapeFunction(
-    "shape_vertices", "int", pa.int32(), lambda w: sum(1 for _ in measures.vertices(decode_wkb(w)))
+
+
+@dataclass(frozen=True)
+class Measure:
+    """A function of WKB: ``many`` gives values, and which of them are known, of all shapes; ``one`` is for the rest."""
+
+    sql_name: str
+    returns: str
+    kind: pa.DataType
+    many: Callable[[FlatShapes], tuple[pa.Array, np.ndarray]]
+    one: Callable
+
+    def of(self, values: pa.Array) -> pa.Array:
+        def measured(some: pa.Array) -> pa.Array:
+            flat = flat_shapes(some)
+            made, known = self.many(flat)
+            return _patched(some, made, known & (flat.kind > 0), lambda raw: self.one(decode_wkb(raw)))
+
+        return distinct(values, measured)
+
+    def udf(self) -> Callable:
+        of = self.of
+
+        def over(values: pa.Array) -> pa.Array:
+            return of(values)
+
+        over.__name__ = self.sql_name
+        return F.arrow_udf(over, self.returns)
+
+    def __call__(self, c: Column | str) -> Column:
+        return self.udf()(c)
+
+
+def _points(x: np.ndarray, y: np.ndarray) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(y), pa.array(x)], fields=list(_POINT))
+
+
+def _centroids(flat: FlatShapes) -> tuple[pa.Array, np.ndarray]:
+    x, y = flat.centroids()
+    return _points(x, y), np.isfinite(x) & np.isfinite(y)
+
+
+def _boxes(flat: FlatShapes) -> tuple[pa.Array, np.ndarray]:
+    west, south, east, north = flat.boxes()
+    has = (west == east) == (south == north)
+    x, y = (np.stack(c, 1)[has].ravel() for c in ((west, east), (south, north)))
+    ends = np.append(0, np.cumsum(2 * has)).astype(np.int32)
+    made = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~has, False)), _points(x, y))
+    return made.cast(pa.list_(_POINT)), np.ones(len(has), bool)
+
+
+def _every(values: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    return pa.array(values), np.ones(len(values), bool)
+
+
+shape_area = Measure("shape_area", "double", pa.float64(), lambda flat: _every(flat.areas()), measures.area)
+shape_length = Measure("shape_length", "double", pa.float64(), lambda flat: _every(flat.lengths()), measures.length)
+shape_centroid = Measure("shape_centroid", POINT_TYPE, _POINT, _centroids, lambda shape: _latlon(measures.centroid(shape)))
+shape_bbox = Measure("shape_bbox", f"array<{POINT_TYPE}>", pa.list_(_POINT), _boxes, _bbox)
+shape_vertices = Measure(
+    "shape_vertices", "int", pa.int32(), lambda flat: _every(flat.vertex_counts().astype(np.int32)), lambda shape: sum(1 for _ in measures.vertices(shape))
 )
-is_point_wkb = ShapeFunction("is_point_wkb", "boolean", pa.bool_(), wkb_is_point)
 
 SCALARS = (
     shape_to_wkb, clean_wkb, dedup_wkb, normalize_wkb, wkb_big_endian, wkb_to_wkt, wkb_to_host_wkt, wkb_to_geojson,
-    shape_digest, shape_area, shape_length, shape_centroid, shape_bbox, shape_type, shape_vertices, is_point_wkb,
+    shape_digest, shape_area, shape_length, shape_centroid, shape_bbox, shape_vertices,
 )
 
 
+def shape_type(wkb: Column | str) -> Column:
+    """Type name by the header alone; an expression of the JVM."""
+    return columns.wkb_type(F.col(wkb) if isinstance(wkb, str) else wkb)
+
+
+def is_point_wkb(wkb: Column | str) -> Column:
+    """Whether the header is that of a plain point; an expression of the JVM."""
+    return columns.wkb_is_point(F.col(wkb) if isinstance(wkb, str) else wkb)
+
+
 def render(wkb: Column, fmt: OutputFormat) -> Column:
     """The key of a bucket; as WKB, the hexadecimal digits of the bytes as they are."""
     if fmt is OutputFormat.WKB:
@@ -120,22 +207,18 @@ _ATTRIBUTES = pa.struct([("digest", pa.string()), ("perimeter", pa.float64()), (
 
 
 def _attributes(values: pa.Array) -> pa.Array:
-    known, out = [], []
-    for raw in values.to_pylist():
-        made = None
-        try:
-            if raw is not None:
-                shape = decode_wkb(raw)
-                perimeter = measures.length(shape)
-                if perimeter == perimeter:
-                    made = {"perimeter": perimeter, "type": TYPE_NAMES[shape[0]]}
-                    known.append((raw, made))
-        except ShapeError:
-            pass
-        out.append(made)
-    for (_, made), d in zip(known, murmur.digests([raw for raw, _ in known]).tolist()):
-        made["digest"] = str(d)
-    return pa.array(out, _ATTRIBUTES)
+    flat = flat_shapes(values)
+    made = _patched(values, pa.array(flat.lengths()), flat.kind > 0, lambda raw: measures.length(decode_wkb(raw)))
+    names = np.array([None, *(TYPE_NAMES[k] for k in sorted(TYPE_NAMES))], object)[flat.kind]
+    rest = np.flatnonzero((flat.kind == 0) & made.is_valid().to_numpy(zero_copy_only=False))
+    names[rest] = [TYPE_NAMES[decode_wkb(raw)[0]] for raw in values.take(pa.array(rest)).to_pylist()]
+    perimeter, kind = made, names
+    known = perimeter.is_valid().to_numpy(zero_copy_only=False) & ~np.isnan(perimeter.to_numpy(zero_copy_only=False))
+    kept = values.filter(pa.array(known))
+    digests = np.full(len(values), "", object)
+    digests[known] = murmur.digests(kept.to_pylist()).astype(str)
+    columns_ = [pa.array(digests, pa.string()), perimeter, pa.array(kind, pa.string())]
+    return pa.StructArray.from_arrays(columns_, fields=list(_ATTRIBUTES), mask=pa.array(~known))
 
 
 def attributes(wkb: Column | str) -> Column:
@@ -170,13 +253,14 @@ def simplify_row(raw: bytes, tolerance: float, name: str, fmt: OutputFormat) ->
 
 def _simplified(values: pa.Array, tolerance: float, name: str, fmt: OutputFormat) -> pa.Array:
     """Bad bytes are an error, unlike nulls."""
-    out = []
-    for raw in values.to_pylist():
+
+    def over(some: pa.Array) -> pa.Array:
         try:
-            out.append(None if raw is None else simplify_row(raw, tolerance, name, fmt))
+            return pa.array([None if raw is None else simplify_row(raw, tolerance, name, fmt) for raw in some.to_pylist()], _SIMPLIFIED)
         except ShapeError as e:
             raise ValueError(f"can't parse WKB: {e}") from None
-    return pa.array(out, _SIMPLIFIED)
+
+    return distinct(values, over)
 
 
 def _simplify_sql(wkb: pa.Array, zoom: pa.Array, name: pa.Array, fmt: pa.Array) -> pa.Array:

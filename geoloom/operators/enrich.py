@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.functions.shape_udfs import POINT_TYPE, _POINT, _bbox, _latlon
+from geoloom.functions.shape_udfs import POINT_TYPE, _POINT, _bbox, _latlon, distinct
 from geoloom.kernel import measures, murmur
 from geoloom.kernel.normal import dedup, normalize
 from geoloom.kernel.shapes import TYPE_NAMES, ShapeError, encode_wkb, parse, to_wkt
@@ -113,7 +113,7 @@ def _derived(texts: Column, options: EnrichOptions, mode: str) -> Column:
         columns = [pa.array([row.get(what) for row in made], kind) for what, _, _, kind in members]
         return pa.StructArray.from_arrays([*columns, pa.array(errors, pa.string())], fields=fields_)
 
-    return F.arrow_udf(over, returns)(texts)
+    return F.arrow_udf(lambda values: distinct(values, over), returns)(texts)
 
 
 def _text(df: DataFrame, c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions.options import Algorithm, OutputFormat, ScriptParams, ShapeAggRequest, Simplify
 from geoloom.functions.registry import register
-from geoloom.functions.shape_udfs import clean_wkb, shape_area, shape_bbox, shape_centroid, shape_type, shape_to_wkb
+from geoloom.functions.shape_udfs import clean_wkb, is_point_wkb, shape_area, shape_bbox, shape_centroid, shape_length, shape_to_wkb, shape_type, shape_vertices
 from geoloom.operators.enrich import EnrichOptions, enrich, matching
 from geoloom.operators.shape_agg import result_json, shape_agg
 from geoloom.operators.simplify import compile_script, geo_simplify
@@ -123,6 +123,25 @@ def test_sql_functions(spark):
     wkb_frame(spark, square(9), None).createOrReplaceTempView("shapes_for_sql")
     rows = spark.sql("SELECT geo_simplify(wkb, 0, null, 'wkt') AS s, shape_area(wkb) AS a FROM shapes_for_sql ORDER BY id").collect()
     assert rows[0].s.type == "Polygon" and rows[0].a == 81 and rows[1].s is None and rows[1].a is None
+    heads = ["0101000000", "0000000001", "0107000000", "01EB030000", "0103000080", "0000000006", "01", "0108000000", "0000000000", "00000003EA"]
+    df = spark.createDataFrame([(bytes.fromhex(h),) for h in heads] + [(None,)], "wkb binary")
+    df.createOrReplaceTempView("headers_for_sql")
+    called = spark.sql("SELECT shape_type(wkb) AS t, is_point_wkb(wkb) AS p FROM headers_for_sql")
+    assert "Arrow" not in called._jdf.queryExecution().toString()
+    got = [tuple(r) for r in called.collect()]
+    assert got == [tuple(r) for r in df.select(shape_type("wkb"), is_point_wkb("wkb")).collect()]
+    names = ["Point", "Point", "GeometryCollection", "Polygon", "Polygon", "MultiPolygon", None, None, None, "LineString", None]
+    assert [t for t, _ in got] == names and [p for _, p in got] == [True, True, *[False] * 8, None]
+
+
+def test_measures_of_broken_and_rare_shapes(spark):
+    texts = [square(2), "GEOMETRYCOLLECTION (POINT (9 9), LINESTRING (0 0, 3 4))", "POLYGON EMPTY", "LINESTRING (0 0, 5 0)", square(2)]
+    df = wkb_frame(spark, *texts, "nonsense").union(spark.createDataFrame([(9, b"\x01\x03")], "id int, wkb binary")).coalesce(1)
+    rows = df.select("id", shape_area("wkb"), shape_length("wkb"), shape_vertices("wkb"), shape_bbox("wkb"), shape_centroid("wkb")).collect()
+    got = [(r[1], r[2], r[3], r[4] and [tuple(c) for c in r[4]], r[5] and tuple(r[5])) for r in sorted(rows)]
+    two = (4.0, 8.0, 5, [(0, 0), (2, 2)], (1, 1))
+    none = (None,) * 5
+    assert got == [two, (0.0, 5.0, 3, [(0, 0), (9, 9)], (2, 1.5)), (0.0, 0.0, 0, None, None), (0.0, 5.0, 2, None, (0, 2.5)), two, none, none]
 
 
 def test_options():
