@@ -46,7 +46,7 @@ class FlatShapes:
         return np.flatnonzero(inner)
 
     def _by_shape(self, values: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return np.bincount(self.part_shape[self.part[at]], values, len(self.kind))
+        return _sums(self.part_shape[self.part[at]], values, len(self.kind))
 
     def lengths(self) -> np.ndarray:
         a = self._edges()
@@ -61,11 +61,11 @@ class FlatShapes:
         """Signed area of each part, over the edges ``a``."""
         x0 = self.x[self.part_start[self.part[a]]]
         terms = (self.x[a] - x0) * self.y[a + 1] - (self.x[a + 1] - x0) * self.y[a]
-        return np.bincount(self.part[a], terms, len(self.part_shape)) / 2
+        return _sums(self.part[a], terms, len(self.part_shape)) / 2
 
     def areas(self) -> np.ndarray:
         own = np.abs(self._signed(self._areal_edges()))
-        return np.bincount(self.part_shape, np.where(self.part_role == _HOLE, -own, own), len(self.kind))
+        return _sums(self.part_shape, np.where(self.part_role == _HOLE, -own, own), len(self.kind))
 
     def centroids(self) -> tuple[np.ndarray, np.ndarray]:
         """(x, y); not a number where a shape has no extent of its dimension."""
@@ -112,6 +112,10 @@ class FlatShapes:
         return np.bincount(self.shape, minlength=len(self.kind))
 
 
+def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(at, values, n).astype(float)  # of nothing, it would be integers
+
+
 class _Reader:
     """Parts that are found, and values that cannot be read."""
 

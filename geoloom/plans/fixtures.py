@@ -2,7 +2,8 @@
 
 Squares of ``customer``: k = c_custkey * 37 mod 40, side a = (1 + k) / 8, lower left corner
 (k mod 5 * 10 - 20, 0). Zig-zag lines of ``part``: (0 0, 1 A, 2 0) with A = 1 + p_size / 64. Points
-of ``events``: longitude user_id mod 360 - 180, latitude event_id mod 180 - 90.
+of ``events``: longitude user_id mod 360 - 180, latitude event_id mod 180 - 90. Roofs of ``part``: squares
+of side 40 with a vertex 1 + p_size / 64 above the middle of their upper side, and a small hole beneath it.
 """
 
 from __future__ import annotations
@@ -58,3 +59,14 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.pmod("event_id", F.lit(180)) - 90).cast("double").alias("lat"),
     )
     return df.withColumn("wkt", wkt_of((F.col("lon"), F.col("lat")), kind="POINT"))
+
+
+def roofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p_partkey, height, wkb, holed): polygons without and with a hole that a flattened roof would jump over."""
+    df = table(spark, sf_dir, "part").select("p_partkey", (1 + F.col("p_size") / F.lit(64.0)).alias("height"))
+    at = lambda *xy: [tuple(F.lit(float(v)) for v in p) for p in xy]
+    ring = [*at((0, 0), (40, 0), (40, 40)), (F.lit(20.0), 40 + F.col("height")), *at((0, 40), (0, 0))]
+    hole = F.lit("(19.875 40.125, 20.125 40.125, 20 40.25, 19.875 40.125)")
+    whole = wkt_of(*ring)
+    holed = F.concat(F.substring(whole, F.lit(1), F.length(whole) - 1), F.lit(", "), hole, F.lit(")"))
+    return df.select("p_partkey", "height", shape_to_wkb(whole).alias("wkb"), shape_to_wkb(holed).alias("holed"))

@@ -11,6 +11,7 @@ from geoloom.functions import columns as C
 from geoloom.functions.registry import register
 from geoloom.functions.shape_udfs import (
     dedup_wkb,
+    shape_digest,
     shape_length,
     shape_to_wkb,
     shape_vertices,
@@ -60,23 +61,36 @@ def _enriched(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     return enrich(spread(rows.where("shape IS NOT NULL"), "id"), "shape", keep_original_shape=False)
 
 
-_LITTLE = "hex(substring(stored.wkb, 1, 1)) = '01'"
-_LITTLE_SQL = "hex(geo_shape_0.wkb)[1:2] = '01'"
-
-
 @query("SELECT id, geo_shape_0.fixed_shape AS fixed_shape FROM enriched_shapes WHERE geo_shape_0.shape IS NOT NULL")
 def enrich_fixed_wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _enriched(spark, sf_dir).select("id", "shape.fixed_shape")
 
 
-@query(f"SELECT id, hex(geo_shape_0.wkb) AS wkb_hex FROM enriched_shapes WHERE {_LITTLE_SQL}")
+def _as_stored() -> Column:
+    """The new bytes, in the byte order of the stored ones."""
+    older = F.hex(F.substring("stored.wkb", 1, 1)) == "00"
+    return F.when(older, wkb_big_endian("shape.wkb")).otherwise(F.col("shape.wkb"))
+
+
+@query("SELECT id, hex(geo_shape_0.wkb) AS wkb_hex FROM enriched_shapes WHERE geo_shape_0.wkb IS NOT NULL")
 def enrich_wkb_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _enriched(spark, sf_dir).where(_LITTLE).select("id", F.hex("shape.wkb").alias("wkb_hex"))
+    return _enriched(spark, sf_dir).where("stored.wkb IS NOT NULL").select("id", F.hex(_as_stored()).alias("wkb_hex"))
 
 
-@query(f"SELECT id, geo_shape_0.hash AS hash FROM enriched_shapes WHERE {_LITTLE_SQL} AND geo_shape_0.hash IS NOT NULL")
+@query("SELECT id, geo_shape_0.hash AS hash FROM enriched_shapes WHERE geo_shape_0.wkb IS NOT NULL AND geo_shape_0.hash IS NOT NULL")
 def enrich_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _enriched(spark, sf_dir).where(f"{_LITTLE} AND stored.hash IS NOT NULL").select("id", "shape.hash")
+    """Digests as of enrichment, and those of the older byte order."""
+    rows = _enriched(spark, sf_dir).where("stored.wkb IS NOT NULL AND stored.hash IS NOT NULL")
+    older = F.hex(F.substring("stored.wkb", 1, 1)) == "00"
+    return rows.select("id", F.when(older, shape_digest(_as_stored())).otherwise(F.col("shape.hash")).alias("hash"))
+
+
+@query("SELECT id, geo_shape_0.hash AS hash FROM enriched_shapes WHERE geo_shape_0.wkb IS NOT NULL AND geo_shape_0.hash IS NOT NULL")
+def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the stored bytes."""
+    rows = table(spark, sf_dir, "enriched_shapes").select("id", "geo_shape_0.wkb", F.col("geo_shape_0.hash").alias("stored"))
+    rows = rows.where("wkb IS NOT NULL AND stored IS NOT NULL")
+    return rows.select("id", shape_digest("wkb").alias("hash"))
 
 
 @query("SELECT id, geo_shape_0.type AS type FROM enriched_shapes WHERE geo_shape_0.shape IS NOT NULL")
@@ -152,6 +166,74 @@ def enrich_geojson_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", "geo_shape_0.fixed_shape")
 
 
+_NUMBERS = """
+WITH s AS (SELECT c_custkey, (1 + CAST((c_custkey * 37) % 40 AS INTEGER)) / 8.0::DOUBLE AS a FROM customer)
+"""
+
+
+@query(
+    _NUMBERS
+    + """SELECT c_custkey, 'MULTIPOLYGON (((180.0 0.0, 180.0 ' || a || ', ' || (180 - a / 2) || ' ' || a || ', ' || (180 - a / 2) || ' 0.0, 180.0 0.0)'
+  || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ',(' || (180 - a / 4) || ' ' || a / 4 || ', ' || (180 - a / 4) || ' ' || a / 2 || ', ' || (180 - a / 8) || ' ' || a / 2
+    || ', ' || (180 - a / 8) || ' ' || a / 4 || ', ' || (180 - a / 4) || ' ' || a / 4 || ')' END
+  || '),((-180.0 ' || a || ', -180.0 0.0, ' || (a / 2 - 180) || ' 0.0, ' || (a / 2 - 180) || ' ' || a || ', -180.0 ' || a || ')))' AS fixed_shape, 'MultiPolygon' AS type,
+  a * a - CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE a * a / 32 END AS area, -180.0::DOUBLE AS low_lon, 180.0::DOUBLE AS high_lon,
+  'MULTILINESTRING ((179.0 0.0, 180.0 ' || a / 2 || '),(-180.0 ' || a / 2 || ', -179.0 ' || a || '))' AS line FROM s"""
+)
+def enrich_dateline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares, some with a hole, and lines over longitude 180."""
+    a, zero = F.col("a"), F.lit(0.0)
+    left, right = 180 - a / 2, 180 + a / 2
+    whole = fixtures.wkt_of((left, zero), (right, zero), (right, a), (left, a), (left, zero))
+    west, east = 180 - a / 4, 180 - a / 8
+    hole = fixtures.wkt_of((west, a / 4), (east, a / 4), (east, a / 2), (west, a / 2), (west, a / 4))
+    holed = F.concat(F.substring(whole, F.lit(1), F.length(whole) - 1), F.lit(", "), F.regexp_extract(hole, r"\((\(.*\))\)", 1), F.lit(")"))
+    rows = fixtures.squares(spark, sf_dir).withColumns(
+        {"geo_a": F.when(F.col("c_custkey") % 2 == 0, whole).otherwise(holed), "geo_b": fixtures.wkt_of((F.lit(179.0), zero), (F.lit(181.0), a), kind="LINESTRING")}
+    )
+    rows = enrich(rows.select("c_custkey", "geo_a", "geo_b"), "geo_*")
+    return rows.select(
+        "c_custkey", "geo_a.fixed_shape", "geo_a.type", "geo_a.area", F.col("geo_a.bbox")[0]["lon"].alias("low_lon"),
+        F.col("geo_a.bbox")[1]["lon"].alias("high_lon"), F.col("geo_b.fixed_shape").alias("line"),
+    )
+
+
+@query(
+    _NUMBERS
+    + """SELECT c_custkey, 'MULTILINESTRING ((0.0 0.0, 1.0 ' || a || '),(2.0 0.0, 3.0 ' || a || ', 3.0 ' || a || '))' AS fixed_shape, 'MultiLineString' AS type,
+  0.0::DOUBLE AS area, round(a / 2, 9) AS lat, 1.5::DOUBLE AS lon, a AS high_lat FROM s"""
+)
+def enrich_multilines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubled vertices stay in lines of several."""
+    a, one = F.col("a"), lambda v: F.lit(float(v))
+    first = fixtures.wkt_of((one(0), one(0)), (one(1), a), kind="")
+    second = fixtures.wkt_of((one(2), one(0)), (one(3), a), (one(3), a), kind="")
+    text = F.concat(F.lit("MULTILINESTRING ("), F.trim(first), F.lit(", "), F.trim(second), F.lit(")")).alias("shape")
+    rows = enrich(fixtures.squares(spark, sf_dir).select("c_custkey", text), "shape")
+    centre = F.col("shape.centroid")
+    return rows.select(
+        "c_custkey", "shape.fixed_shape", "shape.type", "shape.area", F.round(centre["lat"], 9).alias("lat"), F.round(centre["lon"], 9).alias("lon"),
+        F.col("shape.bbox")[1]["lat"].alias("high_lat"),
+    )
+
+
+@query(
+    _SQUARES
+    + """SELECT c_custkey, 'GEOMETRYCOLLECTION (POINT (' || x0 || ' ' || a || '),' || wkt || ',GEOMETRYCOLLECTION (LINESTRING (0.0 0.0, 1.0 ' || a || ')))' AS fixed_shape,
+  'GeometryCollection' AS type, a * a AS area, a / 2 AS lat, x0 + a / 2 AS lon FROM t"""
+)
+def enrich_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collections in collections, with doubled vertices; the polygon alone counts for area and centroid."""
+    a, x0, zero = F.col("a"), F.col("x0"), F.lit(0.0)
+    line = fixtures.wkt_of((zero, zero), (zero, zero), (F.lit(1.0), a), kind="LINESTRING")
+    parts = [F.lit("GEOMETRYCOLLECTION ("), fixtures.wkt_of((x0, a), kind="POINT"), F.lit(", "), F.col("raw"), F.lit(", GEOMETRYCOLLECTION ("), line, F.lit("))")]
+    rows = enrich(fixtures.squares(spark, sf_dir).select("c_custkey", F.concat(*parts).alias("shape")), "shape")
+    centre = F.col("shape.centroid")
+    return rows.select(
+        "c_custkey", "shape.fixed_shape", "shape.type", F.round("shape.area", 9).alias("area"), F.round(centre["lat"], 9).alias("lat"), F.round(centre["lon"], 9).alias("lon")
+    )
+
+
 @query(
     """SELECT event_id, (user_id % 360 - 180)::DOUBLE AS lon, (event_id % 180 - 90)::DOUBLE AS lat, true AS has_box, false AS line_has_box
 FROM events"""
@@ -289,15 +371,40 @@ def agg_malformed_wkb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT geo_shape_0.wkb AS wkb, count(*) AS doc_count FROM enriched_shapes
+    """WITH p AS (SELECT geo_shape_0.wkb AS wkb, count(*) AS doc_count, max(geo_shape_0.hash) AS digest FROM enriched_shapes
   WHERE geo_shape_0.type = 'Point' AND geo_shape_0.wkb IS NOT NULL GROUP BY 1)
-SELECT hex(wkb) AS key, 'Point' AS type, doc_count, (SELECT sum(doc_count) FROM p)::BIGINT - sum(doc_count) OVER ()::BIGINT AS sum_other_doc_count
+SELECT hex(wkb) AS key, digest, 'Point' AS type, doc_count, (SELECT sum(doc_count) FROM p)::BIGINT - sum(doc_count) OVER ()::BIGINT AS sum_other_doc_count
 FROM (SELECT * FROM p ORDER BY doc_count DESC, wkb LIMIT 20)"""
 )
 def agg_points_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points all have the perimeter 0, so the counts and then the bytes rank them."""
     rows = table(spark, sf_dir, "enriched_shapes").where("geo_shape_0.type = 'Point'")
-    return shape_agg(rows, "geo_shape_0.wkb", size=20, fmt="wkb").drop("digest")
+    return shape_agg(rows, "geo_shape_0.wkb", size=20, fmt="wkb")
+
+
+#: Perimeters of lines and polygons by the text that the tables hold.
+_PERIMETERS = r"""
+WITH e AS (SELECT geo_shape_0.wkb AS wkb, geo_shape_0.type AS type, geo_shape_0.hash AS hash, geo_shape_0.fixed_shape AS wkt, dataset, ingested_at FROM enriched_shapes
+  WHERE geo_shape_0.wkb IS NOT NULL),
+g AS (SELECT wkb, any_value(type) AS type, max(hash) AS digest, any_value(wkt) AS wkt, count(*) AS doc_count, count(DISTINCT dataset) AS n_datasets, max(ingested_at) AS last_seen
+  FROM e GROUP BY wkb),
+r AS (SELECT wkb, list_transform(regexp_extract_all(unnest(regexp_extract_all(wkt, '\([^()]+\)')), '-?[0-9.]+(?:E-?[0-9]+)?'), lambda t: t::DOUBLE) AS v
+  FROM g WHERE type NOT IN ('Point', 'MultiPoint')),
+p AS (SELECT wkb, sum(list_sum(list_transform(range(1, len(v) // 2), lambda i: sqrt((v[2 * i + 1] - v[2 * i - 1]) ** 2 + (v[2 * i + 2] - v[2 * i]) ** 2)))) AS perimeter FROM r GROUP BY wkb)
+"""
+
+
+@query(
+    _PERIMETERS
+    + """SELECT hex(wkb) AS key, digest, type, doc_count, n_datasets, last_seen, ((SELECT count(*) FROM e) - sum(doc_count) OVER ())::BIGINT AS sum_other_doc_count
+FROM (SELECT * FROM g JOIN p USING (wkb) ORDER BY round(perimeter, 9) DESC, doc_count DESC, wkb LIMIT 50)"""
+)
+def agg_top_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top shapes of the largest table, with the datasets that have them, and their digests where the table has them too."""
+    rows = table(spark, sf_dir, "enriched_shapes")
+    subs = {"n_datasets": F.countDistinct("dataset"), "last_seen": F.max("ingested_at"), "stored": F.max("geo_shape_0.hash")}
+    top = shape_agg(rows, "geo_shape_0.wkb", size=50, fmt="wkb", sub_aggs=subs)
+    return top.withColumn("digest", F.when(F.col("stored").isNotNull(), F.col("digest"))).drop("stored")
 
 
 @query()
@@ -310,13 +417,16 @@ def agg_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    """WITH p AS (SELECT geo_shape_0.wkb AS wkb, count(*) AS n, max(geo_shape_0.hash) AS digest FROM enriched_shapes
+  WHERE geo_shape_0.type = 'Point' AND geo_shape_0.wkb IS NOT NULL GROUP BY 1),
+t AS (SELECT * FROM p ORDER BY n DESC, wkb LIMIT 3)
+SELECT '{"sum_other_doc_count":' || ((SELECT sum(n) FROM p) - (SELECT sum(n) FROM t))::BIGINT || ',"buckets":['
+  || (SELECT string_agg('{"key":"' || hex(wkb) || '","digest":"' || digest || '","type":"Point","doc_count":' || n || '}', ',' ORDER BY n DESC, wkb) FROM t) || ']}' AS json"""
+)
 def agg_result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return result_json(shape_agg(fixtures.square_wkb(spark, sf_dir), "wkb", size=3, fmt="wkt"))
-
-
-def _trim(c: str) -> str:
-    return f"regexp_replace(({c})::VARCHAR, '\\.0$', '')"
+    rows = table(spark, sf_dir, "enriched_shapes").where("geo_shape_0.type = 'Point'")
+    return result_json(shape_agg(rows, "geo_shape_0.wkb", size=3, fmt="wkb"))
 
 
 @query(_SQUARES + "SELECT c_custkey, regexp_replace(wkt, '\\.0([ ,)])', '\\1', 'g') AS wkt FROM t")
@@ -443,6 +553,63 @@ def simplify_dp_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", geo_simplify(F.col("wkb"), 0, fmt="WKT").alias("s")).select("p_partkey", "s.*")
 
 
+_ROOF = """WITH s AS (SELECT p_partkey, 1 + p_size / 64.0::DOUBLE AS h FROM part),
+t AS (SELECT *, 'POLYGON ((0 0, 40 0, 40 40, ' AS head, '20 ' || regexp_replace((40 + h)::VARCHAR, '\\.0$', '') || ', ' AS roof, '0 40, 0 0)' AS tail,
+  ', (19.875 40.125, 20.125 40.125, 20 40.25, 19.875 40.125)' AS hole FROM s)
+SELECT p_partkey, {shape} AS shape, 'Polygon' AS type, 'Polygon' AS real_type FROM t"""
+_FLAT = "head || CASE WHEN h <= 1.40625 THEN '' ELSE roof END || tail || ')'"
+
+
+def _roofs(spark: SparkSession, sf_dir: str, column: str, how: str) -> DataFrame:
+    rows = fixtures.roofs(spark, sf_dir)
+    return rows.select("p_partkey", geo_simplify(F.col(column), 0, how, "WKT").alias("s")).select("p_partkey", "s.*")
+
+
+@query(_ROOF.format(shape=_FLAT))
+def simplify_tp_roof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _roofs(spark, sf_dir, "wkb", "TOPOLOGY_PRESERVING")
+
+
+@query(_ROOF.format(shape="head || roof || tail || hole || ')'"))
+def simplify_tp_hole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hole under a roof keeps it from being flattened, and small holes stay."""
+    return _roofs(spark, sf_dir, "holed", "TOPOLOGY_PRESERVING")
+
+
+@query(_ROOF.format(shape=_FLAT))
+def simplify_dp_hole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small holes go, and roofs over them are flattened."""
+    return _roofs(spark, sf_dir, "holed", "DOUGLAS_PEUCKER")
+
+
+@query(
+    """WITH s AS (SELECT p_partkey, 1 + p_size / 64.0::DOUBLE AS h FROM part)
+SELECT p_partkey, CASE WHEN h <= 1.40625 THEN 'LINESTRING (0 0, 2 0)' ELSE 'LINESTRING (0 0, 1 ' || regexp_replace(h::VARCHAR, '\\.0$', '') || ', 2 0)' END AS shape,
+  'LineString' AS type, 'LineString' AS real_type FROM s"""
+)
+def simplify_tp_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.zigzags(spark, sf_dir)
+    return rows.select("p_partkey", geo_simplify(F.col("wkb"), 0, "TOPOLOGY_PRESERVING", "WKT").alias("s")).select("p_partkey", "s.*")
+
+
+@query(_SQUARES + "SELECT c_custkey, regexp_replace(wkt, '\\.0([ ,)])', '\\1', 'g') AS shape, 'Polygon' AS type, 'Polygon' AS real_type FROM t")
+def simplify_tp_square(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ring of four vertices stays, however small."""
+    rows = fixtures.square_wkb(spark, sf_dir)
+    return rows.select("c_custkey", geo_simplify(F.col("wkb"), 0, "TOPOLOGY_PRESERVING", "WKT").alias("s")).select("c_custkey", "s.*")
+
+
+@query(
+    _SQUARES
+    + f"""SELECT {_HEX} AS key, n AS doc_count, ((SELECT count(*) FROM s) - sum(n) OVER ())::BIGINT AS sum_other_doc_count
+FROM (SELECT * FROM g ORDER BY a DESC LIMIT 12)"""
+)
+def agg_tp_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregation that simplifies, of shapes that topology keeps as they are; its keys are of the older byte order."""
+    top = shape_agg(fixtures.square_wkb(spark, sf_dir), "wkb", size=12, simplify={"zoom": 0, "algorithm": "TOPOLOGY_PRESERVING"}, fmt="wkb")
+    return top.select(F.hex(shape_to_wkb(wkb_to_wkt(F.unhex("key")))).alias("key"), "doc_count", "sum_other_doc_count")
+
+
 @query()
 def simplify_tp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every shape of the largest table, keeping the topology, for zoom 8."""

@@ -44,6 +44,12 @@ def test_every_kind():
     assert check([None, *raws, None]) == 20 and check([]) == 0 and check([None]) == 0
 
 
+def test_points_alone():
+    flat = flat_shapes(pa.array([encode_wkb(parse_wkt("POINT (1 2)"))], pa.binary()))
+    for values in (flat.areas(), flat.lengths(), *flat.centroids(), *flat.boxes()):
+        assert values.dtype == float
+
+
 def test_slices():
     raws = pa.array([encode_wkb(parse_wkt(t)) for t in TEXTS], pa.binary())
     assert flat_shapes(raws.slice(3, 2)).areas().tolist() == [15, 16]
