@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.functions import columns as C
+from geoloom.functions.options import ScriptParams, ShapeAggRequest
 from geoloom.functions.registry import register
 from geoloom.functions.shape_udfs import (
     dedup_wkb,
@@ -263,6 +264,26 @@ def stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select("id", "shape.fixed_shape")
 
 
+@query(
+    _SQUARES
+    + """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN wkt WHEN 1 THEN 'POLYGON EMPTY' WHEN 4 THEN 'POINT EMPTY' END AS fixed_shape, c_custkey % 5 IN (2, 3) AS failed,
+  CASE WHEN c_custkey % 5 = 2 THEN 'unable to parse the geometry [LINESTRING (' || x0 || ' 0.0, ' || x0 || ' 0.0)]' END AS why,
+  CASE c_custkey % 5 WHEN 0 THEN a * a WHEN 1 THEN 0 WHEN 4 THEN 0 END AS area, c_custkey % 5 = 0 AS has_box, c_custkey % 5 = 0 AS has_centroid FROM t"""
+)
+def enrich_permissive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good, empty and bad shapes: lines that clean away to a single vertex, and texts that are no shape."""
+    x0 = F.col("x0").cast("string")
+    line = F.concat(F.lit("LINESTRING ("), x0, F.lit(" 0, "), x0, F.lit(" 0)"))
+    n = F.col("c_custkey") % 5
+    text = F.when(n == 0, F.col("raw")).when(n == 1, "POLYGON EMPTY").when(n == 2, line).when(n == 3, "no shape").otherwise("POINT EMPTY")
+    rows = enrich(fixtures.squares(spark, sf_dir).select("c_custkey", text.alias("shape")), "shape", mode="PERMISSIVE", error_column="error")
+    why = F.when(F.col("error").startswith("unable"), F.regexp_extract("error", r"^[^\]]*\]", 0))
+    return rows.select(
+        "c_custkey", "shape.fixed_shape", F.col("error").isNotNull().alias("failed"), why.alias("why"), "shape.area",
+        F.col("shape.bbox").isNotNull().alias("has_box"), F.col("shape.centroid").isNotNull().alias("has_centroid"),
+    )
+
+
 # --- aggregation -------------------------------------------------------------------------------
 
 
@@ -286,6 +307,58 @@ def agg_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_request(fixtures.square_wkb(spark, sf_dir), body).select("key", "doc_count", "sum_other_doc_count")
 
 
+@query(
+    _SQUARES
+    + f""", f AS (SELECT wkt, a, count(*) AS n FROM t WHERE c_nationkey = 7 GROUP BY ALL)
+SELECT {_HEX} AS key, n AS doc_count, ((SELECT sum(n) FROM f) - sum(n) OVER ())::BIGINT AS sum_other_doc_count FROM (SELECT * FROM f ORDER BY a DESC LIMIT 2)"""
+)
+def agg_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows are filtered first, so what is filtered out is in no count."""
+    rows = fixtures.square_wkb(spark, sf_dir).where("c_nationkey = 7")
+    return shape_agg(rows, "wkb", size=2, fmt="wkb").select("key", "doc_count", "sum_other_doc_count")
+
+
+_CHECKS = {
+    "agg_size_zero": lambda: ShapeAggRequest.parse({"field": "wkb", "size": 0}),
+    "agg_size_negative": lambda: ShapeAggRequest.parse({"field": "wkb", "size": -3}),
+    "agg_shard_size_zero": lambda: ShapeAggRequest.parse({"field": "wkb", "shard_size": 0}),
+    "agg_shard_size_minus_one": lambda: ShapeAggRequest.parse({"field": "wkb", "shard_size": -1}),
+    "agg_no_field": lambda: ShapeAggRequest.parse({"size": 3}),
+    "agg_unknown_parameter": lambda: ShapeAggRequest.parse({"field": "wkb", "precision": 3}),
+    "agg_format": lambda: ShapeAggRequest.parse({"field": "wkb", "output_format": "svg"}),
+    "agg_algorithm": lambda: ShapeAggRequest.parse({"field": "wkb", "simplify": {"zoom": 1, "algorithm": "other"}}),
+    "agg_good": lambda: ShapeAggRequest.parse({"field": "wkb", "output_format": "wKt", "size": 3, "shard_size": 1}).cut,
+    "agg_simplify_by_half": lambda: ShapeAggRequest.parse({"field": "wkb", "simplify": {"zoom": 1}}).simplify,
+    "same_requests": lambda: ShapeAggRequest.parse({"field": "wkb", "size": 10}) == ShapeAggRequest.parse({"size": 10, "field": "wkb", "output_format": "geojson"}),
+    "other_requests": lambda: ShapeAggRequest.parse({"field": "wkb"}) == ShapeAggRequest.parse({"field": "wkb", "size": 11}),
+    "script_no_parameters": lambda: compile_script("geo_simplify", {}),
+    "script_no_field": lambda: compile_script("geo_simplify", {"zoom": 1}),
+    "script_no_zoom": lambda: compile_script("geo_simplify", {"field": "wkb"}),
+    "script_zoom_text": lambda: compile_script("geo_simplify", {"field": "wkb", "zoom": "1"}),
+    "script_unknown": lambda: compile_script("other", {"field": "wkb", "zoom": 1}),
+    "script_good": lambda: ScriptParams.parse({"field": "wkb", "zoom": 1}).algorithm.value,
+}
+
+
+@query(
+    """SELECT * FROM (VALUES ('agg_size_zero', 'error'), ('agg_size_negative', 'error'), ('agg_shard_size_zero', 'error'), ('agg_shard_size_minus_one', 'error'),
+  ('agg_no_field', 'error'), ('agg_unknown_parameter', 'error'), ('agg_format', 'error'), ('agg_algorithm', 'error'), ('agg_good', '3'), ('agg_simplify_by_half', 'None'),
+  ('same_requests', 'True'), ('other_requests', 'False'), ('script_no_parameters', 'error'), ('script_no_field', 'error'), ('script_no_zoom', 'error'), ('script_zoom_text', 'error'),
+  ('script_unknown', 'error'), ('script_good', 'DOUGLAS_PEUCKER'), ('agg_of_numbers', 'error')) AS t("check", outcome)"""
+)
+def option_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of parameters, good and bad, and of columns that hold no shapes."""
+    checks = _CHECKS | {"agg_of_numbers": lambda: shape_agg(table(spark, sf_dir, "customer"), "c_custkey")}
+
+    def outcome(run) -> str:
+        try:
+            return str(run())
+        except (ValueError, TypeError):
+            return "error"
+
+    return spark.createDataFrame([(name, outcome(run)) for name, run in checks.items()], "check string, outcome string")
+
+
 @query(_SQUARES + "SELECT (SELECT count(*) FROM s) - (SELECT n FROM g ORDER BY a DESC LIMIT 1) AS sum_other_doc_count")
 def agg_sum_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape_agg(fixtures.square_wkb(spark, sf_dir), "wkb", size=1, shard_size=10).select("sum_other_doc_count")
@@ -499,10 +572,14 @@ def tolerance_by_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("zoom", C.tolerance_of_zoom(F.col("zoom")).alias("tolerance"), F.round(meters, 6).alias("meters"), "n_nationkey")
 
 
-@query("SELECT s_suppkey, round(s_acctbal * 360 / (2 * pi() * 6378137 * cos(radians(s_nationkey))), 9) AS degrees FROM supplier")
+@query(
+    """SELECT s_suppkey, round(s_acctbal * 360 / (2 * pi() * 6378137 * cos(radians(s_nationkey))), 9) AS degrees,
+  round(s_acctbal * 360 / (2 * pi() * 6378137), 9) AS at_equator FROM supplier"""
+)
 def degrees_by_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
     degrees = C.degrees_of_meters(F.col("s_acctbal"), F.col("s_nationkey"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(degrees, 9).alias("degrees"))
+    at_equator = C.degrees_of_meters(F.col("s_acctbal"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(degrees, 9).alias("degrees"), F.round(at_equator, 9).alias("at_equator"))
 
 
 _COLLAPSE = (
