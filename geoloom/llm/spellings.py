@@ -97,7 +97,8 @@ def _with_json(batches: Iterator[pa.RecordBatch], at: list[int]) -> Iterator[pa.
     for batch in batches:
         columns = [batch.column(i) for i in range(batch.num_columns)]
         for i in at:
-            columns[i] = pa.array(map(json_text, columns[i].to_pylist()), pa.string())
+            held = columns[i].dictionary_encode()  # texts that recur with other fields are read once
+            columns[i] = pa.array(map(json_text, held.dictionary.to_pylist()), pa.string()).take(held.indices)
         yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
 
