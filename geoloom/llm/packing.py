@@ -95,9 +95,12 @@ class _Stock:
             return None
         first = np.flatnonzero((self.left[1 : gap - 1] > 0) & self.pairs[2:gap][::-1]) + 1
         for a in first[::-1].tolist():
-            self.left[a] -= 1
-            found = self.pair(gap - a, for_good=False)
-            self.left[a] += 1
+            found = self.pair(gap - a)
+            if found and self.left[a] <= found.count(a):
+                # the pair took up the last of this size
+                self.left[a] -= 1
+                found = self.pair(gap - a, for_good=False)
+                self.left[a] += 1
             if found:
                 return (a, *found)
         self.triples[gap] = False
@@ -194,18 +197,24 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
-    return _pack(cut(items.select("id", "size")), capacity)
+    items = cut(items.select("id", "size"))
+    return _pack(items, capacity, *_pieces_of(items, [capacity]))
+
+
+def _pieces_of(items: DataFrame, capacities: list[int]) -> list[int]:
+    """The number of pieces for each capacity."""
+    size = F.greatest(F.coalesce("size", F.lit(0)), F.lit(0))
+    sums = [F.sum(F.greatest(F.ceil(size / c), F.lit(1))).alias(f"n{i}") for i, c in enumerate(capacities)]
+    return [n or 0 for n in items.agg(*sums).first()]
 
 
-def _pack(items: DataFrame, capacity: int) -> DataFrame:
-    rows = _pieces(items, capacity)
-    total = rows.count()
-    parts = max(LEAST_PARTS, 1 << (total // PART_ITEMS).bit_length())
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.lit(parts)).cast("int"))
+def _pack(items: DataFrame, capacity: int, pieces: int) -> DataFrame:
+    parts = max(LEAST_PARTS, 1 << (pieces // PART_ITEMS).bit_length())
+    rows = _pieces(items, capacity).withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.lit(parts)).cast("int"))
     some = rows.where("size > 0")
-    held = cut(some.groupBy("size", "part").agg(F.count(F.lit(1)).alias("n")))
+    held = some.groupBy("size", "part").agg(F.count(F.lit(1)).alias("n"))
     counts = np.zeros(capacity + 1, np.int64)
-    for size, n in held.groupBy("size").agg(F.sum("n")).collect():  # at most ``capacity`` rows
+    for size, n in some.groupBy("size").count().collect():  # at most ``capacity`` rows
         counts[size] = n
     patterns = plan(counts, capacity)
     sent = items.sparkSession.sparkContext.broadcast(_Ranges(patterns, capacity))
@@ -229,8 +238,9 @@ def pack_all(items: DataFrame, capacities: DataFrame, kind: str, capacity: str)
     """``pack`` for each row of a small table of capacities, with its ``kind``; null capacities are left out."""
     items = cut(items.select("id", "size"))
     out = None
-    for row in capacities.where(F.col(capacity) > 0).select(kind, capacity).distinct().orderBy(kind, capacity).collect():
-        one = _pack(items, int(row[capacity]))
+    kinds = capacities.where(F.col(capacity) > 0).select(kind, capacity).distinct().orderBy(kind, capacity).collect()
+    for row, n in zip(kinds, _pieces_of(items, [int(row[capacity]) for row in kinds]) if kinds else ()):
+        one = _pack(items, int(row[capacity]), n)
         one = one.select(F.lit(row[kind]).alias(kind), F.lit(int(row[capacity])).alias(capacity), *one.columns)
         out = one if out is None else out.union(one)
     if out is None:
