@@ -160,22 +160,27 @@ def replicate(df: DataFrame, key: str, plan: LoadPlan, name: str = "_task") -> D
 
 
 def join_balanced(
-    df: DataFrame, other: DataFrame, key: str, row_key: list[str], plan: LoadPlan | None = None, how: str = "inner"
+    df: DataFrame, other: DataFrame, key: str, row_key: list[str], plan: LoadPlan | None = None, how: str = "inner", most_sent: int = 0
 ) -> DataFrame:
     """``df`` joined with ``other`` on ``key``; ``how`` is inner, left, left_semi or left_anti.
 
     No task gets all rows of a heavy key of ``df``, and no row of ``other`` goes where its key is not.
+    With ``most_sent``, the rows of ``other``, which should be cheap to count, are counted; up to so many
+    go to every task, and those of ``df`` stay where they are.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"how: {how}")
-    plan = plan or plan_load(df.select(key), key)
     own = {c.lower() for c in df.columns}
     for c in other.columns:
         if c != key and c.lower() in own:
             other = other.withColumnRenamed(c, _fresh(f"{c.lower()}_other", df, other))
-    name = _fresh("_task", df, other)
-    left = to_tasks(df, key, row_key, plan, name)
-    joined = left.join(replicate(other, key, plan, name), [name, key], how)
+    if most_sent and other.count() <= most_sent:
+        joined = df.join(F.broadcast(other), key, how)
+    else:
+        plan = plan or plan_load(df.select(key), key)
+        name = _fresh("_task", df, other)
+        left = to_tasks(df, key, row_key, plan, name)
+        joined = left.join(replicate(other, key, plan, name), [name, key], how)
     rest = [] if how in ("left_semi", "left_anti") else [c for c in other.columns if c != key]
     return joined.select(*(f"`{c}`" for c in (*df.columns, *rest)))
 

@@ -323,10 +323,10 @@ def point_pairs(near: NearPoints) -> DataFrame:
     # a shared place is linked to itself
     own = members.where("id = place").select(F.col("place").alias("a"), F.col("place").alias("b"), F.lit(True).alias("a_shared"), F.lit(True).alias("b_shared"))
     several = links.where("a_shared OR b_shared").union(own)
-    from_shared = join_balanced(members.select(F.col("id").alias("l"), F.col("place").alias("a")), several.where("a_shared"), "a", ["l"])
+    from_shared = join_balanced(members.select(F.col("id").alias("l"), F.col("place").alias("a")), several.where("a_shared"), "a", ["l"], most_sent=MOST_BROADCAST)
     linked = cut(from_shared.union(several.where("NOT a_shared").select(F.col("a").alias("l"), "a", "b", "a_shared", "b_shared")))
     right = members.select(F.col("id").alias("r"), F.col("place").alias("b"))
-    across = join_balanced(linked.where("b_shared").select("l", "a", "b"), right, "b", ["l"])
+    across = join_balanced(linked.where("b_shared").select("l", "a", "b"), right, "b", ["l"], most_sent=MOST_BROADCAST)
     across = across.where("a <> b OR l < r").select("l", "r")
     across = across.union(linked.where("NOT b_shared").select("l", F.col("b").alias("r")))
     return single.union(across).select(F.least("l", "r").alias("a_id"), F.greatest("l", "r").alias("b_id"))
@@ -493,5 +493,5 @@ def points_inside(
     members = at.members().where("shared").select("id", "place")
     found = cut(found)
     single = found.where("NOT shared").select(F.col("place").alias("a_id"), F.col("region").alias("b_id"))
-    several = join_balanced(members, found.where("shared").select("place", "region"), "place", ["id"])
+    several = join_balanced(members, found.where("shared").select("place", "region"), "place", ["id"], most_sent=MOST_BROADCAST)
     return single.union(several.select(F.col("id").alias("a_id"), F.col("region").alias("b_id")))

@@ -34,12 +34,13 @@ def test_other_side_goes_only_where_needed(spark):
     assert copies["hot"] == len(set(dict(plan.shards)["hot"])) and all(n == 1 for k, n in copies.items() if k not in dict(plan.shards))
 
 
+@pytest.mark.parametrize("most_sent", [0, 2, 100])
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_join(spark, how):
+def test_join(spark, how, most_sent):
     df = skewed(spark).union(spark.createDataFrame([(-1, None)], "id long, key string"))
     other = df.where("key IN ('hot', 'k1', 'k2')").select("key").distinct().withColumn("value", F.length("key"))
     other = other.union(spark.createDataFrame([(None, 7)], "key string, value int"))
-    got = join_balanced(df, other, "key", ["id"], plan_load(df, "key", 8), how)
+    got = join_balanced(df, other, "key", ["id"], plan_load(df, "key", 8), how, most_sent)
     want = df.join(other, "key", how)
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
     with pytest.raises(ValueError):
@@ -50,10 +51,11 @@ def test_clashing_names(spark):
     names = ["id", "key", "_bin", "_TASK", "_tasks", "_bin_task", "_hkey", "b"]
     df = skewed(spark, 300).select("id", "key", *(F.lit(n).alias(n) for n in names[2:]))
     other = df.groupBy("key").agg(F.count("*").alias("B"), F.min("id").alias("_task"))
-    got = join_balanced(df, other, "key", ["id"], plan_load(df, "key", 8))
-    assert got.columns == [*names, "b_other", "_task_other"] and got.count() == 300
-    row = got.where("id = 3").first()
-    assert (row.b, row.b_other, row._task_other, row._bin) == ("b", 100, 0, "_bin")
+    for most_sent in (0, 1000):
+        got = join_balanced(df, other, "key", ["id"], plan_load(df, "key", 8), most_sent=most_sent)
+        assert got.columns == [*names, "b_other", "_task_other"] and got.count() == 300
+        row = got.where("id = 3").first()
+        assert (row.b, row.b_other, row._task_other, row._bin) == ("b", 100, 0, "_bin")
 
 
 def test_aggregate_with_nulls_and_clashing_names(spark):
