@@ -279,10 +279,7 @@ class NearSets:
     def several(self) -> DataFrame:
         """The same of classes of several members."""
         named = self.classes.where("NOT one").select("key", F.col("key2").alias("of"), "class_id")
-        if named.count() <= MOST_BROADCAST:
-            found = self.sets.join(F.broadcast(named), "key")
-        else:
-            found = join_balanced(self.sets, named, "key", ["id"])
+        found = join_balanced(self.sets, named, "key", ["id"], most_sent=MOST_BROADCAST)
         return found.where("key2 = of").select("id", "w", "class_id", "key")
 
 

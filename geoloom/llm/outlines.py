@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.kernel.shapes import ShapeError, parse, vertices
-from geoloom.llm.near_sets import NearSets, near_sets
+from geoloom.llm.near_sets import MOST_BROADCAST, NearSets, near_sets
 from geoloom.operators.balance import join_balanced
 from geoloom.plans.lineage import cut
 
@@ -160,7 +160,7 @@ def outline_pairs(near: NearSets, area_ratio: float = 0.9) -> DataFrame:
     swapped = links.where("a_one AND NOT b_one").select(*(F.col(f"{x}_{c}").alias(f"{n}_{c}") for n, x in (("a", "b"), ("b", "a")) for c in ("class", "key", "one", "lo")))
     several = links.where("NOT a_one").select(swapped.columns).union(swapped)
     left = members.select(F.col("id").alias("l"), F.col("w").alias("lw"), F.col("key").alias("a_key"))
-    linked = cut(join_balanced(left, several.select("a_key", "b_class", "b_key", "b_one", "b_lo"), "a_key", ["l"]))
+    linked = cut(join_balanced(left, several.select("a_key", "b_class", "b_key", "b_one", "b_lo"), "a_key", ["l"], most_sent=MOST_BROADCAST))
     to_one = linked.where("b_one").select("l", "lw", F.col("b_class").alias("r"), F.col("b_lo").alias("rw"))
 
     own = left.select("l", "lw", F.col("a_key").alias("b_key"), F.lit(True).alias("same"))
@@ -168,6 +168,6 @@ def outline_pairs(near: NearSets, area_ratio: float = 0.9) -> DataFrame:
     near_by = F.explode(F.sequence(bucket(F.col("lw")) - 1, bucket(F.col("lw")) + 1)).alias("l_bucket")
     met = met.select("l", "lw", "b_key", "same", near_by).withColumn("at", F.xxhash64("b_key", "l_bucket"))
     right = members.select(F.col("id").alias("r"), F.col("w").alias("rw"), "key", "bucket", F.xxhash64("key", "bucket").alias("at"))
-    met = join_balanced(met, right, "at", ["l"]).where("b_key = key AND l_bucket = bucket AND (NOT same OR l < r)")
+    met = join_balanced(met, right, "at", ["l"], most_sent=MOST_BROADCAST).where("b_key = key AND l_bucket = bucket AND (NOT same OR l < r)")
     every = single.union(to_one).union(met.select("l", "lw", "r", "rw")).where(agree & (F.col("l") != F.col("r")))
     return every.select(F.least("l", "r").alias("a_id"), F.greatest("l", "r").alias("b_id"))

@@ -113,7 +113,10 @@ def test_outlines(spark):
     assert outline_pairs(near_outlines(df.limit(0), "oid", "shape", "area")).count() == 0
 
 
-def test_outlines_against_brute_force(spark):
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_outlines_against_brute_force(spark, monkeypatch, most):
+    for module in ("near_sets", "outlines"):
+        monkeypatch.setattr(f"geoloom.llm.{module}.MOST_BROADCAST", most)
     rng = np.random.default_rng(4)
     rows, sets = [], {}
     for i in range(120):
