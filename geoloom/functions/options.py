@@ -102,6 +102,8 @@ class ShapeAggRequest:
     simplify: Simplify | None = None
     size: int = 10
     shard_size: int = -1
+    #: WKB that stands for shapes that are not there.
+    missing: bytes | None = None
 
     def __post_init__(self):
         if self.size <= 0:
@@ -116,16 +118,18 @@ class ShapeAggRequest:
 
     @staticmethod
     def parse(body: dict) -> ShapeAggRequest:
-        if unknown := set(body) - {"field", "output_format", "simplify", "size", "shard_size"}:
+        if unknown := set(body) - {"field", "output_format", "simplify", "size", "shard_size", "missing"}:
             raise ValueError(f"unknown parameters: {sorted(unknown)}")
         if not body.get("field"):
             raise ValueError("parameter field is missing")
         if "shard_size" in body and body["shard_size"] <= 0:
             raise ValueError(f"shard_size must be over 0, not {body['shard_size']}")
+        missing = body.get("missing")  # bytes, or their hexadecimal digits
         return ShapeAggRequest(
             body["field"],
             output_format(body.get("output_format", "GEOJSON")),
             Simplify.parse(body.get("simplify")),
             body.get("size", 10),
             body.get("shard_size", -1),
+            bytes.fromhex(missing) if isinstance(missing, str) else missing,
         )

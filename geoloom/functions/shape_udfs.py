@@ -116,7 +116,30 @@ wkb_big_endian = ShapeFunction("wkb_big_endian", "binary", pa.binary(), lambda w
 wkb_to_wkt = ShapeFunction("wkb_to_wkt", "string", pa.string(), lambda w: to_wkt(decode_wkb(w)))
 wkb_to_host_wkt = ShapeFunction("wkb_to_host_wkt", "string", pa.string(), lambda w: to_wkt(decode_wkb(w), host=True))
 wkb_to_geojson = ShapeFunction("wkb_to_geojson", "string", pa.string(), lambda w: to_geojson(decode_wkb(w)))
-shape_digest = ShapeFunction("shape_digest", "string", pa.string(), lambda w: str(murmur.digest(w)))
+
+
+@dataclass(frozen=True)
+class BatchFunction:
+    """A function of one column that takes all distinct values of a batch, none of them null, at once."""
+
+    sql_name: str
+    returns: str
+    of: Callable[[pa.Array], pa.Array]
+
+    def udf(self) -> Callable:
+        of = self.of
+
+        def over(values: pa.Array) -> pa.Array:
+            return distinct(values, of)
+
+        over.__name__ = self.sql_name
+        return F.arrow_udf(over, self.returns)
+
+    def __call__(self, c: Column | str) -> Column:
+        return self.udf()(c)
+
+
+shape_digest = BatchFunction("shape_digest", "string", lambda values: pa.array(murmur.digests(values.to_pylist()).astype(str), pa.string()))
 
 
 @dataclass(frozen=True)

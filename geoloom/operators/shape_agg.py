@@ -164,9 +164,9 @@ def _has_map(kind: T.DataType) -> bool:
 
 
 def run_request(df: DataFrame, body: dict, sub_aggs: dict[str, Column] | None = None, shard: str | None = None) -> DataFrame:
-    """``shape_agg`` for the parameters of a mapping: field, output_format, simplify, size, shard_size."""
+    """``shape_agg`` for the parameters of a mapping: field, output_format, simplify, size, shard_size, missing."""
     r = ShapeAggRequest.parse(body)
-    return shape_agg(df, r.field, r.size, r.shard_size, r.simplify, r.output_format, sub_aggs, shard)
+    return shape_agg(df, r.field, r.size, r.shard_size, r.simplify, r.output_format, sub_aggs, shard, r.missing)
 
 
 def result_json(buckets: DataFrame) -> DataFrame:

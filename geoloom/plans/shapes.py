@@ -318,6 +318,18 @@ def agg_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape_agg(rows, "wkb", size=2, fmt="wkb").select("key", "doc_count", "sum_other_doc_count")
 
 
+@query(
+    _SQUARES
+    + f""", m AS (SELECT c_custkey % 4 = 0 AS gone, CASE WHEN c_custkey % 4 = 0 THEN 'POINT (1 2)' ELSE wkt END AS wkt FROM t)
+SELECT {_HEX} AS key, count(*) AS doc_count FROM m GROUP BY wkt"""
+)
+def agg_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shape that stands for those that are not there."""
+    rows = fixtures.square_wkb(spark, sf_dir).select(F.when(F.col("c_custkey") % 4 > 0, F.col("wkb")).alias("wkb"))
+    point = "0101000000000000000000F03F0000000000000040"
+    return run_request(rows, {"field": "wkb", "output_format": "wkb", "size": 100, "missing": point}).select("key", "doc_count")
+
+
 _CHECKS = {
     "agg_size_zero": lambda: ShapeAggRequest.parse({"field": "wkb", "size": 0}),
     "agg_size_negative": lambda: ShapeAggRequest.parse({"field": "wkb", "size": -3}),
@@ -327,6 +339,7 @@ _CHECKS = {
     "agg_unknown_parameter": lambda: ShapeAggRequest.parse({"field": "wkb", "precision": 3}),
     "agg_format": lambda: ShapeAggRequest.parse({"field": "wkb", "output_format": "svg"}),
     "agg_algorithm": lambda: ShapeAggRequest.parse({"field": "wkb", "simplify": {"zoom": 1, "algorithm": "other"}}),
+    "agg_missing_no_digits": lambda: ShapeAggRequest.parse({"field": "wkb", "missing": "xyz"}),
     "agg_good": lambda: ShapeAggRequest.parse({"field": "wkb", "output_format": "wKt", "size": 3, "shard_size": 1}).cut,
     "agg_simplify_by_half": lambda: ShapeAggRequest.parse({"field": "wkb", "simplify": {"zoom": 1}}).simplify,
     "same_requests": lambda: ShapeAggRequest.parse({"field": "wkb", "size": 10}) == ShapeAggRequest.parse({"size": 10, "field": "wkb", "output_format": "geojson"}),
@@ -342,7 +355,7 @@ _CHECKS = {
 
 @query(
     """SELECT * FROM (VALUES ('agg_size_zero', 'error'), ('agg_size_negative', 'error'), ('agg_shard_size_zero', 'error'), ('agg_shard_size_minus_one', 'error'),
-  ('agg_no_field', 'error'), ('agg_unknown_parameter', 'error'), ('agg_format', 'error'), ('agg_algorithm', 'error'), ('agg_good', '3'), ('agg_simplify_by_half', 'None'),
+  ('agg_no_field', 'error'), ('agg_unknown_parameter', 'error'), ('agg_format', 'error'), ('agg_algorithm', 'error'), ('agg_missing_no_digits', 'error'), ('agg_good', '3'), ('agg_simplify_by_half', 'None'),
   ('same_requests', 'True'), ('other_requests', 'False'), ('script_no_parameters', 'error'), ('script_no_field', 'error'), ('script_no_zoom', 'error'), ('script_zoom_text', 'error'),
   ('script_unknown', 'error'), ('script_good', 'DOUGLAS_PEUCKER'), ('agg_of_numbers', 'error')) AS t("check", outcome)"""
 )
