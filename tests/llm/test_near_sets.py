@@ -1,4 +1,5 @@
 import itertools
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -203,3 +204,24 @@ def test_codes_of_counts():
     assert (np.diff(module._COUNTS) > 0).all() and (np.diff(codes.astype(int)) >= 0).all()
     read = module._COUNTS[codes]
     assert read[:5].tolist() == counts[:5].tolist() and (read[:-1] <= counts[:-1]).all() and (read[:-1] >= counts[:-1] * 0.91).all()
+
+
+def test_a_sketch_that_is_too_small(spark, monkeypatch):
+    """Nothing is lost where all cells are shared by chance."""
+    from geoloom.llm import near_sets as module
+
+    monkeypatch.setattr(module, "MOST_CELLS", 1 << 16)
+    rng = np.random.default_rng(12)
+    sets = {}
+    for i in range(3000):
+        base = rng.choice(20_000, 45, replace=False) if i % 3 == 0 else base
+        sets[i] = frozenset(base[rng.random(45) > 0.06].tolist())
+    counts, holders = Counter(), {}
+    for i, s in sets.items():
+        for t in s:
+            for j in holders.setdefault(t, []):
+                counts[j, i] += 1
+            holders[t].append(i)
+    want = {(i, j) for (i, j), n in counts.items() if n / (len(sets[i]) + len(sets[j]) - n) >= 0.8}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, t array<long>")
+    assert len(want) > 1000 and expanded(near_sets(df, "id", F.col("t"), 0.8)) == want
