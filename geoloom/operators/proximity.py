@@ -204,15 +204,17 @@ def _cut_full(places: DataFrame, row: Column, full: dict[int, int], radius: floa
 
 
 def _placed(batches: Iterator[pa.RecordBatch], tiles: Tiles) -> Iterator[pa.RecordBatch]:
-    names = ["tile", "place", "lat", "lon", "x", "own", "shared"]
+    """Places in all tiles that need them; ``flags``: 1 where the tile owns it, 2 where several points share it, and
+    4 times by how many turns of the globe it is moved, plus one."""
+    names = ["tile", "place", "lat", "lon", "flags"]
     for batch in batches:
         if not batch.num_rows:
             continue
         ids, lat, lon, shared = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         tile, n, x, own = tiles.place(lat, lon)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(v) for v in (tile.astype(np.int32), ids[n], lat[n], lon[n], x, own, shared[n])], names
-        )
+        turns = np.rint((x - lon[n]) / 360.0).astype(np.int32)
+        flags = own + 2 * shared[n].astype(np.int32) + 4 * (turns + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (tile.astype(np.int32), ids[n], lat[n], lon[n], flags.astype(np.int32))], names)
 
 
 def _sweep(batches: Iterator[pa.RecordBatch], tiles: Tiles) -> Iterator[pa.RecordBatch]:
@@ -222,6 +224,8 @@ def _sweep(batches: Iterator[pa.RecordBatch], tiles: Tiles) -> Iterator[pa.Recor
         return
     table = pa.Table.from_batches(held)
     columns = {c: table.column(c).to_numpy() for c in table.column_names}
+    flags = columns.pop("flags")
+    columns |= {"own": flags & 1 > 0, "shared": flags & 2 > 0, "x": columns["lon"] + 360.0 * ((flags >> 2) - 1)}
     for tile in np.unique(columns["tile"]):
         at = np.flatnonzero(columns["tile"] == tile)
         row = tiles.row(columns["lat"][at])
@@ -304,7 +308,7 @@ def near_points(points: DataFrame | Places, radius: float, most_in_tile: int = 1
     tiles = plan_tiles(at.places, radius, most_in_tile)
     kind = dict(at.places.dtypes)["place"]
     placed = at.places.mapInArrow(
-        lambda it: _placed(it, tiles), f"tile int, place {kind}, lat double, lon double, x double, own boolean, shared boolean"
+        lambda it: _placed(it, tiles), f"tile int, place {kind}, lat double, lon double, flags int"
     )
     made = f"a {kind}, b {kind}, a_shared boolean, b_shared boolean"
     links = placed.repartitionById(tiles.count, "tile").mapInArrow(lambda it: _sweep(it, tiles), made)
