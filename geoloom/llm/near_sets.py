@@ -15,7 +15,7 @@ Equal sets are one class from the start, so copies cost nothing. Sets are told a
 128 bits, so tokens are moved once to make the classes and once with each candidate; the classes stay
 where they are while candidates come to them.
 
-The sketch has eight cells a token at least and up to MOST_CELLS cells of a byte, the bitmap a bit a
+The sketch has four to eight cells a token, MOST_CELLS cells of a byte at most, the bitmap a bit a
 cell: that is what is broadcast. From about two million sets of 40 tokens on, cells are shared by
 signatures of chance, and less can be left out: up to about as many rows of 32 bytes a set as it has
 tokens and look-ups. Heavy signatures stand out from any load, so they are still avoided, and the
