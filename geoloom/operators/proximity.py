@@ -156,10 +156,11 @@ def plan_tiles(places: DataFrame, radius: float, most_in_tile: int) -> Tiles:
     strip_of, used = np.zeros(n_rows, np.int64), [False]
     strip = held = 0
     full: dict[int, int] = {}  # strip of each full row
+    counts = counts.tolist()
     for r in range(n_rows):
         alone = counts[r] > 0 and counts[r] + counts[r + 1] > load
         # a strip also gets the row above it
-        if r and (alone or strip_of[r - 1] in full.values() or held + counts[r] + counts[r + 1] > load):
+        if r and (alone or r - 1 in full or held + counts[r] + counts[r + 1] > load):
             strip, held = strip + 1, 0
             used.append(False)
         strip_of[r] = strip

@@ -99,6 +99,7 @@ def test_hot_cells_are_cut(spark):
     n, most = 60_000, 5000
     lat, lon = rng.uniform(10, 10.004, n), rng.uniform(20, 20.3, n)
     lat[:10], lon[:10] = rng.uniform(-80, 80, 10), rng.uniform(-180, 180, 10)
+    lat[10:20] = rng.uniform(9.996, 9.9999, 10)  # the rows beneath, which also get the full one
     at = proximity.places_of(spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "lat": lat, "lon": lon})))
     tiles = proximity.plan_tiles(at.places, 1e-5, most)
     held = np.bincount(tiles.place(lat, lon)[0], minlength=tiles.count)
