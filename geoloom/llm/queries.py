@@ -44,7 +44,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collapse_spellings(table(spark, sf_dir, "shape_feed"), "rec_id", FORMS)[0]
+    return collapse_spellings(table(spark, sf_dir, "shape_feed"), "rec_id", FORMS, with_members=False)[0]
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

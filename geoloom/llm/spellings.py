@@ -2,7 +2,8 @@
 
 Three steps. Rows equal byte for byte are collapsed first, with their counts; only the distinct
 spellings are brought to a canonical text; spellings are then grouped on the whole canonical text,
-and their counts are summed. Members find their record again over digests, with hot keys split.
+and their counts are summed. Members of spellings of several rows find their record again over digests,
+with hot keys split.
 
 Canonical form of a field
     digits    letters and digits, lower case, with a minus sign right before the first digit and
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.operators.balance import join_balanced, plan_load
+from geoloom.operators.balance import join_balanced
 from geoloom.plans.lineage import cut
 
 _NUMBER = r"-?(?:\d+\.\d+|\d+|\.\d+)(?:e[+-]?\d+)?"
@@ -105,24 +106,29 @@ def _with_json(batches: Iterator[pa.RecordBatch], at: list[int]) -> Iterator[pa.
 FORMS = {"digits": digits_text, "hex": hex_text, "shape": shape_text}
 
 
+#: Byte-identical rows up to so many distinct ones are found by sending these to every task.
+MOST_SENT = 100_000
+
+
 def collapse_spellings(
-    df: DataFrame, id_column: str, forms: dict[str, str], only_repeated: bool = False
-) -> tuple[DataFrame, DataFrame]:
+    df: DataFrame, id_column: str, forms: dict[str, str], only_repeated: bool = False, with_members: bool = True
+) -> tuple[DataFrame, DataFrame | None]:
     """The records of ``df`` and their members.
 
     ``forms`` maps string columns to digits, hex, shape or json. Records are (keep_id, copies, and
     the canonical text of each field under its name); members are (id, keep_id), a row for each row
-    of ``df``, or, with ``only_repeated``, for each row of a record of several copies.
+    of ``df``, or, with ``only_repeated``, for each row of a record of several copies; None without
+    ``with_members``.
     """
     if unknown := set(forms.values()) - {*FORMS, "json"}:
         raise ValueError(f"forms: {sorted(unknown)}")
     fields = [f"_f{i}" for i in range(len(forms))]
     rows = df.select(F.col(id_column).alias("_id"), *(F.col(c).cast("string").alias(f) for c, f in zip(forms, fields)))
-    raw_key = F.unhex(F.md5(F.to_json(F.struct(*fields)))).alias("_raw")  # to_json leaves nulls out
+    digest = F.unhex(F.md5(F.to_json(F.struct(*fields))))  # to_json leaves nulls out
 
     raw = rows.groupBy(*fields).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     texts = raw.select(
-        raw_key,
+        digest.alias("_raw"),
         "_n",
         "_first",
         *((FORMS[form](F.col(f)) if form in FORMS else F.col(f)).alias(f) for f, form in zip(fields, forms.values())),
@@ -130,18 +136,21 @@ def collapse_spellings(
     at = [3 + i for i, form in enumerate(forms.values()) if form == "json"]
     if at:
         texts = texts.mapInArrow(lambda it: _with_json(it, at), texts.schema)
-    texts = cut(texts)
-    record = F.unhex(F.md5(F.to_json(F.struct(*fields)))).alias("_record")
+    texts = cut(texts.select("*", digest.alias("_record")))
 
     records = texts.groupBy(*fields).agg(F.min("_first").alias("keep_id"), F.sum("_n").alias("copies"))
-    records = records.select("*", record)
-    named = records.select("_record", "keep_id", "copies")
-    spellings = texts.select("_raw", record)
+    shown = records.select("keep_id", "copies", *(F.col(f).alias(c) for c, f in zip(forms, fields)))
+    if not with_members:
+        return shown, None
+    named = records.select(digest.alias("_record"), "keep_id", "copies")
     if only_repeated:
         named = named.where("copies > 1")
-    named = named.select("_record", "keep_id")
-    owners = join_balanced(spellings, named, "_record", ["_raw"]).select("_raw", "keep_id")
-    members = join_balanced(rows.select("_id", raw_key), owners, "_raw", ["_id"])
-    members = members.select(F.col("_id").alias("id"), "keep_id")
-    shown = records.select("keep_id", "copies", *(F.col(f).alias(c) for c, f in zip(forms, fields)))
+    owners = join_balanced(texts.select("_raw", "_n", "_first", "_record"), named.select("_record", "keep_id"), "_record", ["_raw"])
+    owners = cut(owners.select("_raw", "_n", "_first", "keep_id"))
+    # a spelling of one row has that row's id; of others, the rows are looked for
+    members = owners.where("_n = 1").select(F.col("_first").alias("id"), "keep_id")
+    several = owners.where("_n > 1").select("_raw", "keep_id")
+    if not several.isEmpty():
+        found = join_balanced(rows.select("_id", digest.alias("_raw")), several, "_raw", ["_id"], most_sent=MOST_SENT)
+        members = members.union(found.select("_id", "keep_id"))
     return shown, members

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from geoloom.llm import spellings
 from geoloom.llm.spellings import collapse_spellings, digits_text, json_text, shape_text
 
 FORMS = {"hash": "digits", "wkb": "hex", "fixed_shape": "shape", "props": "json"}
@@ -33,7 +34,9 @@ def test_json():
     assert json_text("[" * 100_000) is not None
 
 
-def test_groups_and_members(spark):
+@pytest.mark.parametrize("most_sent", [0, 100_000])
+def test_groups_and_members(spark, monkeypatch, most_sent):
+    monkeypatch.setattr(spellings, "MOST_SENT", most_sent)
     rows = [
         (3, "-12", "0A", "POINT (1 2)", '{"a": 1, "b": "x y"}', 0),
         (1, "'-12'", "0a", "point(1 2)", '{"B":"X-Y","A":1}', 0),
@@ -54,6 +57,9 @@ def test_groups_and_members(spark):
     assert copies == {1: 3, 4: 1, 5: 2, 7: 1, 8: 2, 100: 30} | {200 + i: 3 for i in range(7)}
     own = {r.id: r.keep_id for r in members.collect()}
     assert len(own) == len(rows) and (own[3], own[2], own[6], own[9], own[129], own[207]) == (1, 1, 5, 8, 100, 200)
+    assert collapse_spellings(df, "rec_id", FORMS, with_members=False)[1] is None
+    alone = df.dropDuplicates(["hash", "wkb", "fixed_shape", "props"])  # no spelling of several rows
+    assert collapse_spellings(alone, "rec_id", FORMS)[1].count() == alone.count()
     _, repeated = collapse_spellings(df, "rec_id", FORMS, only_repeated=True)
     assert {r.id for r in repeated.collect()} == set(own) - {4, 7}
 
