@@ -94,12 +94,38 @@ def _again(text: np.ndarray, key: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         own = key * np.uint64(0xD6E8FEB86659FD93) + (text.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         own ^= own >> np.uint64(29)
-    _, first = np.unique(own, return_index=True)
-    seen = np.ones(len(key), bool)
-    seen[first] = False
+    return repeated(own)
+
+
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """Whether the same 64-bit key came before.
+
+    Keys name slots of a table, in which the first key of each slot is left; keys that are another than
+    the one in their slot try again with other slots.
+    """
+    n = len(keys)
+    seen, rest = np.zeros(n, bool), np.arange(n)
+    bits = max(8, (2 * n).bit_length())
+    table = np.empty(1 << bits, np.int64)
+    while len(rest):
+        with np.errstate(over="ignore"):
+            slot = ((keys[rest] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+        table[slot[::-1]] = rest[::-1]  # of equal slots, the last one written stays
+        first = table[slot]
+        same = keys[first] == keys[rest]
+        seen[rest[same & (first != rest)]] = True
+        rest = rest[~same]
+        keys = _remixed(keys) if len(rest) else keys
     return seen
 
 
+def _remixed(keys: np.ndarray) -> np.ndarray:
+    """Other keys, different where the keys are."""
+    with np.errstate(over="ignore"):
+        keys = (keys ^ (keys >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return keys ^ (keys >> np.uint64(32))
+
+
 def _share(n: np.ndarray, of: np.ndarray) -> np.ndarray:
     return n / np.maximum(of, 1)
 
@@ -158,8 +184,8 @@ class Lines:
         # first and last sign that is no white space
         solid = np.flatnonzero((kind != BLANK) & (kind != BREAK) & (piece_of >= 0))
         owner = piece_of[solid]
-        head = solid[np.searchsorted(owner, np.arange(m), "left")]
-        tail = solid[np.searchsorted(owner, np.arange(m), "right") - 1]
+        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])[: len(owner)])  # every piece has one
+        head, tail = solid[first], solid[np.append(first[1:], len(solid))[: len(first)] - 1]
         p_head, p_tail = points[head], points[tail]
         p_next = points[np.minimum(head + 1, n - 1)]
         next_kind = kind[np.minimum(head + 1, n - 1)]
@@ -186,6 +212,9 @@ class Lines:
         title = kind[w_start] == UPPER
         numeric = kind[w_start] == DIGIT
 
+        w_first = np.flatnonzero(np.append(True, w_text[1:] != w_text[:-1])) if len(w_text) else w_text
+        far = np.arange(len(w_text)) - np.repeat(w_first, np.diff(np.append(w_first, len(w_text))))
+
         def grams(k: int) -> np.ndarray:
             """Whether the k words up to a word came before in its text."""
             key = np.zeros(len(w_hash), np.uint64)
@@ -193,7 +222,6 @@ class Lines:
                 for back in range(k):
                     moved = np.concatenate([np.zeros(min(back, len(w_hash)), np.uint64), w_hash[: max(len(w_hash) - back, 0)]])
                     key = key * np.uint64(0x100000001B3) + moved
-            far = np.arange(len(w_text)) - np.searchsorted(w_text, w_text, "left")
             return _again(w_text, key) & (far >= k - 1)
 
         again_5, again_2, again_1 = grams(5), grams(2), _again(w_text, w_hash)
@@ -214,9 +242,9 @@ class Lines:
             form = (head_class * 1200007 + tail_class * 31 + np.minimum(count[:, MARK], 5)).astype(np.uint64)
             own_form = (form + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + self.text.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         again_line = _again(self.text, line_key)
-        _, inverse, times = np.unique(own_form ^ (own_form >> np.uint64(32)), return_inverse=True, return_counts=True)
+        number = pa.array(own_form ^ (own_form >> np.uint64(32))).dictionary_encode().indices.to_numpy()
         in_text = np.bincount(self.text, minlength=n_texts)
-        same_form = times[inverse.ravel()] / np.maximum(in_text[self.text], 1)
+        same_form = np.bincount(number)[number] / np.maximum(in_text[self.text], 1)
 
         def signs(which: int) -> np.ndarray:
             own = piece_of[np.flatnonzero(group & which)]

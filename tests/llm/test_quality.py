@@ -49,6 +49,13 @@ def test_line_statistics(common):
     assert (lines.features[:3] == lines.features[3:]).all()  # texts do not see each other
 
 
+@pytest.mark.parametrize("texts", [[], [None], [""], [" \n\t "], [" ", None, "\n"], ["--- ***"], [" ", "x"]])
+def test_batches_with_little_in_them(common, texts):
+    lines = L.Lines(pa.array(texts, pa.string()), common)
+    solid = [i for i, t in enumerate(texts) if t and t.strip()]
+    assert lines.text.tolist() == solid and len(lines.features) == len(solid)
+
+
 def test_common_words_ignore_case(common):
     lines = L.Lines(pa.array(["THE xyzzy the Of"]), common)
     assert lines.common.tolist() == [3]
@@ -114,3 +121,12 @@ def test_saved_models(spark, tmp_path):
     small = fit_quality(documents, labels, words, most_bytes=8 * len(TABLE) - 1)
     assert small.lines is not None  # without the tables
     assert fit_quality(documents, labels, words, most_bytes=8).lines is None
+
+
+@pytest.mark.parametrize("n, top", [(0, 1), (1, 1), (1000, 10), (5000, 2**62), (200_000, 50_000)])
+def test_repeated_keys(n, top):
+    keys = np.random.default_rng(n).integers(0, top, n).astype(np.uint64)
+    want = np.ones(n, bool)
+    want[np.unique(keys, return_index=True)[1]] = False
+    assert (L.repeated(keys) == want).all()
+    assert (L.repeated(keys << np.uint64(40)) == L.repeated(keys % np.uint64(1 << 24))).all()
