@@ -18,15 +18,42 @@ SCHEMA = "block int, raw binary"
 _KINDS = (np.int8, np.int16, np.int32, np.int64)
 
 
-def packed(counts: np.ndarray) -> bytes:
-    """Bytes of integers; the first says how wide they are."""
+#: Blocks in which under one cell in so many is in use travel as the cells and their counters.
+SPARSE = 8
+
+
+def _kind(counts: np.ndarray) -> int:
     most = int(np.abs(counts).max(initial=0))
-    kind = next(i for i, k in enumerate(_KINDS) if most <= np.iinfo(k).max)
+    return next(i for i, k in enumerate(_KINDS) if most <= np.iinfo(k).max)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Bytes of integers; the first says how wide they are, and whether all or only some are there."""
+    used = np.flatnonzero(counts)
+    if len(used) * SPARSE < len(counts) <= BLOCK_CELLS:
+        return _packed_some(used, counts[used])
+    kind = _kind(counts)
     return bytes([kind]) + zlib.compress(counts.astype(_KINDS[kind]).tobytes(), 1)
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw[1:]), _KINDS[raw[0]]).astype(np.int64)
+def _packed_some(cell: np.ndarray, counts: np.ndarray) -> bytes:
+    """Of the counters of rising cells."""
+    kind = _kind(counts)
+    steps = np.diff(cell, prepend=0).astype(np.uint16)
+    return bytes([len(_KINDS) + kind]) + zlib.compress(counts.astype(_KINDS[kind]).tobytes() + steps.tobytes(), 1)
+
+
+def add(raw: bytes, total: np.ndarray) -> None:
+    """Adds packed counters to those of a block."""
+    kind, body = raw[0], zlib.decompress(raw[1:])
+    if kind < len(_KINDS):
+        counts = np.frombuffer(body, _KINDS[kind])
+        total[: len(counts)] += counts
+        return
+    width = np.dtype(_KINDS[kind - len(_KINDS)]).itemsize
+    n = len(body) // (width + 2)
+    cell = np.cumsum(np.frombuffer(body, np.uint16, n, n * width).astype(np.int64))
+    total[cell] += np.frombuffer(body, _KINDS[kind - len(_KINDS)], n)
 
 
 def blocks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -42,9 +69,13 @@ def sparse_blocks(cell: np.ndarray) -> Iterator[pa.RecordBatch]:
     cell, n = np.unique(cell, return_counts=True)
     ends = np.flatnonzero(np.diff(cell // BLOCK_CELLS, append=-1)) + 1
     for at, to in zip(np.append(0, ends[:-1]), ends):
+        block, own = int(cell[at]) // BLOCK_CELLS, cell[at:to] % BLOCK_CELLS
+        if (to - at) * SPARSE < BLOCK_CELLS:
+            yield _row(block, _packed_some(own, n[at:to]))
+            continue
         part = np.zeros(BLOCK_CELLS, np.int64)
-        part[cell[at:to] % BLOCK_CELLS] = n[at:to]
-        yield _row(int(cell[at]) // BLOCK_CELLS, packed(part))
+        part[own] = n[at:to]
+        yield _row(block, packed(part))
 
 
 def _row(block: int, raw: bytes) -> pa.RecordBatch:
@@ -55,8 +86,9 @@ def _sums(batches: Iterator[pa.RecordBatch], finish: Callable[[np.ndarray], np.n
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts = unpacked(raw)
-            held[block] = held[block] + counts if block in held else counts
+            if block not in held:
+                held[block] = np.zeros(BLOCK_CELLS, np.int64)
+            add(raw, held[block])
     for block, counts in held.items():
         yield _row(block, zlib.compress(finish(counts).tobytes(), 1) if finish else packed(counts))
 
@@ -73,6 +105,9 @@ def summed(rows: DataFrame, cells: int, finish: Callable[[np.ndarray], np.ndarra
     tasks = min(rows.sparkSession.sparkContext.defaultParallelism, n)
     made = rows.repartition(tasks, "block").mapInArrow(lambda it: _sums(it, finish), SCHEMA)
     for row in made.collect():  # one for each block
-        part = unpacked(row["raw"]) if finish is None else np.frombuffer(zlib.decompress(row["raw"]), np.uint8)
-        out[row["block"] * size : row["block"] * size + len(part)] = part
+        at = row["block"] * size
+        if finish is None:
+            add(row["raw"], out[at : at + size])
+        else:
+            out[at : at + size] = np.frombuffer(zlib.decompress(row["raw"]), np.uint8)
     return out if finish else out[:cells]

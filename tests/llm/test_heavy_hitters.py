@@ -47,5 +47,5 @@ def test_small_sketches_still_find_heavy_prefixes():
     sketch = np.zeros(shape.cells, np.int64)
     for part in np.array_split(hashes, 3):  # sketches of tasks add up
         for out in _fill(iter([pa.RecordBatch.from_arrays([pa.array(part)], ["h0"])]), 1, shape):
-            sketch += sketches.unpacked(out.column(1)[0].as_py())  # there is one block
+            sketches.add(out.column(1)[0].as_py(), sketch)  # there is one block
     assert set(heavy.tolist()) <= set(_descend(sketch, 1000, shape).view(np.int64).tolist())

@@ -6,10 +6,13 @@ from hypothesis import strategies as st
 from geoloom.llm import sketches
 
 
-@given(st.lists(st.one_of(st.integers(-3, 3), st.integers(-(2**62), 2**62)), max_size=30))
-def test_packing(values):
-    counts = np.array(values, np.int64)
-    assert sketches.unpacked(sketches.packed(counts)).tolist() == values
+@given(st.lists(st.one_of(st.just(0), st.integers(-3, 3), st.integers(-(2**62), 2**62)), max_size=30), st.integers(0, 60_000))
+def test_packing(values, zeros):
+    counts = np.append(np.array(values, np.int64), np.zeros(zeros, np.int64))
+    for some in (counts, counts[::-1]):
+        total = np.ones(len(some) + 3, np.int64)
+        sketches.add(sketches.packed(some), total)
+        assert (total[: len(some)] == some + 1).all() and (total[len(some) :] == 1).all()
 
 
 @pytest.mark.parametrize("cells", [1, 65_536, 200_000])
